@@ -75,20 +75,21 @@ def network_stats(e: DataFrame) -> DataFrame:
 def components(e: DataFrame) -> DataFrame:
     """(id, component): weakly connected components, named by their smallest node.
 
-    Every round points each node at its smallest neighbour, follows pointers and
-    contracts the graph to the nodes pointed at, so the number of rounds is
-    logarithmic; each round's tables are checkpointed.
+    Every round points each node at its smallest neighbour, follows the pointers
+    to their ends by doubling and contracts the graph to these ends, so the
+    number of rounds is logarithmic; each round's tables are checkpointed.
     """
     live = cut(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     labels = cut(live.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")))
     live = live.where("a <> b")
     while live.take(1):
         point = live.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("n")), F.struct(F.col("b").alias("v"), F.col("a").alias("n")))).alias("x")).groupBy("x.v").agg(F.min("x.n").alias("n")).select("v", F.least("v", "n").alias("to"))
-        point = cut(point)
-        for _ in range(2):
+        point, moved = cut(point), True
+        while moved:
             hop = point.select(F.col("v").alias("to"), F.col("to").alias("hop"))
-            point = point.join(hop, "to", "left").select("v", F.coalesce("hop", "to").alias("to"))
-        point = cut(point)
+            point = cut(point.join(hop, "to", "left").select("v", F.coalesce("hop", "to").alias("to"), (F.coalesce("hop", "to") != F.col("to")).alias("moved")))
+            moved = bool(point.where("moved").take(1))
+            point = point.select("v", "to")
         labels = cut(labels.join(point.withColumnRenamed("v", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
         ends = [point.select(F.col("v").alias(c), F.col("to").alias(f"{c}2")) for c in "ab"]
         live = live.join(ends[0], "a").join(ends[1], "b").where("a2 <> b2")
