@@ -26,7 +26,7 @@ from . import hashing
 from .common import small_batches
 
 #: Bounds of what is gathered for training: labelled documents, and words of the model.
-MAX_TRAIN, MAX_WORDS, MIN_DOCS = 8_000, 20_000, 3
+MAX_TRAIN, MAX_WORDS, MIN_DOCS = 6_000, 20_000, 3
 #: Lengths in bytes of the beginnings of longer words.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
 _STOP = np.zeros(256, dtype=bool)
@@ -84,29 +84,40 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 300, rate: float =
     none = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -20.0)
     if not len(y) or y.min() == y.max():  # nothing to tell apart: everything is what was seen, or clean
         return Model(none.words, none.weights, 20.0 if len(y) and y.min() == 1 else -20.0)
-    hs, sents, docs, n_sent = [], [], [], 0
-    done = 0
+    # pass 1, in slices: document frequencies of all features, and those of toxic documents
+    seen, toxic, done = [], [], 0
     for h, sentence, first, _, _ in sentences(pa.array(texts, pa.large_string())):
-        hs.append(h)
-        sents.append(sentence + n_sent)
-        docs.append(np.repeat(np.arange(len(first) - 1), np.diff(first)) + done)
-        n_sent += int(first[-1])
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[sentence]
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        seen.append(h[new])
+        toxic.append(h[new][y[done + owner[new]] == 1])
         done += len(first) - 1
-    h, sentence, doc = np.concatenate(hs), np.concatenate(sents), np.concatenate(docs)
-    words, at = np.unique(h, return_inverse=True)
-    seen = np.unique(at * len(y) + doc[sentence])
-    df = np.bincount(seen // len(y), minlength=len(words))
-    pos = np.bincount(seen // len(y), weights=y[seen % len(y)], minlength=len(words))
-    lift = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((df - pos + 0.5) / (len(y) - y.sum() + 1))
-    keep = np.flatnonzero(df >= MIN_DOCS)
-    keep = np.sort(keep[np.argsort(-np.abs(lift[keep]) * np.sqrt(df[keep]), kind="stable")][:MAX_WORDS])
-    words = words[keep]
+    words, df = np.unique(np.concatenate(seen), return_counts=True)
+    words, df = words[df >= MIN_DOCS], df[df >= MIN_DOCS]
+    del seen
     if not len(words):
         return none
-    to = np.full(len(lift), -1)
-    to[keep] = np.arange(len(keep))
-    pair = np.unique(sentence[to[at] >= 0] * len(keep) + to[at][to[at] >= 0])
-    s, f = pair // len(keep), pair % len(keep)
+    marked, n_marked = np.unique(np.concatenate(toxic), return_counts=True)
+    at = np.minimum(np.searchsorted(marked, words), max(0, len(marked) - 1))
+    pos = np.where(marked[at] == words, n_marked[at], 0) if len(marked) else np.zeros(len(words))
+    lift = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((df - pos + 0.5) / (len(y) - y.sum() + 1))
+    words = np.sort(words[np.argsort(-np.abs(lift) * np.sqrt(df), kind="stable")[:MAX_WORDS]])
+    keep = words
+    # pass 2: (sentence, feature) pairs of what was chosen, and each sentence's document
+    ss, ff, docs, n_sent, done = [], [], [], 0, 0
+    for h, sentence, first, _, _ in sentences(pa.array(texts, pa.large_string())):
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        hit = words[at] == h
+        pair = np.unique(sentence[hit] * len(words) + at[hit])
+        ss.append(pair // len(words) + n_sent)
+        ff.append(pair % len(words))
+        docs.append(np.repeat(np.arange(len(first) - 1), np.diff(first)) + done)
+        n_sent += int(first[-1])
+        done += len(first) - 1
+    s, f, doc = np.concatenate(ss), np.concatenate(ff), np.concatenate(docs)
     w = np.zeros(len(keep) + 1)
     w[-1] = -4.0
     m, v = np.zeros_like(w), np.zeros_like(w)
