@@ -12,8 +12,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root) for every vertex of ``edges``; root is the smallest vertex that v reaches.
 
     Each round points every vertex at its smallest neighbour, follows the
-    pointers twice and contracts the graph to the vertices pointed at, so a
-    component loses at least half of its vertices a round. Every round's tables
+    pointers to their ends by doubling and contracts the graph to these ends, so
+    a component loses at least half of its vertices a round. Every round's tables
     are checkpointed. Null ends and self-loops are ignored; an empty input
     gives an empty result; repeated edges count once.
     """
@@ -26,11 +26,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .groupBy("e.v").agg(F.min("e.to").alias("to"))
             .select("v", F.least("v", "to").alias("to"))
         )
-        point = cut(point)
-        for _ in range(2):
+        point, moved = cut(point), True
+        while moved:
             nxt = point.select(F.col("v").alias("to"), F.col("to").alias("nxt"))
-            point = point.join(nxt, "to", "left").select("v", F.coalesce("nxt", "to").alias("to"))
-        point = cut(point)
+            point = cut(point.join(nxt, "to", "left").select("v", F.coalesce("nxt", "to").alias("to"), (F.coalesce("nxt", "to") != F.col("to")).alias("moved")))
+            moved = bool(point.where("moved").take(1))
+            point = point.select("v", "to")
         labels = cut(labels.join(point.select(F.col("v").alias("root"), "to"), "root", "left").select("v", F.coalesce("to", "root").alias("root")))
         left, right = (point.select(F.col("v").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
         live = live.join(left, "a").join(right, "b").where("a_to <> b_to")

@@ -18,6 +18,10 @@ Steps, none of which gathers more than a bounded slice in one place:
    once. Pairs inside a component cannot change it and are never listed, so a
    group of n near copies costs about n verifications, and no link between
    components is lost.
+
+In the shuffles a shingle is its bucket and the upper 48 bits of its hash; that
+is enough to tell the shingles of two texts apart (a false match takes a chance
+of about |x| * |y| / 2^55), and sizes are counted on all 64 bits.
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ def _postings(n_buckets: int):
             rows["keys"].append(key[own].tobytes())
             rows["sizes"].append(size[own].tobytes())
             rows["counts"].append(counts.astype(np.int32).tobytes())
-            rows["hashes"].append(h[lo:hi].tobytes())
+            rows["hashes"].append(_short(h[lo:hi]))
         return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "counts", "hashes"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +94,19 @@ def _postings(n_buckets: int):
     return run
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The upper six bytes of 64-bit hashes."""
+    return h.astype("<u8").view("u1").reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(pdf: pd.DataFrame) -> np.ndarray:
+    """Shingles as numbers again: six bytes of the hash, then the bucket."""
+    raw = np.frombuffer(b"".join(pdf["hashes"]), dtype="u1").reshape(-1, 6)
+    out = np.zeros((len(raw), 8), dtype="u1")
+    out[:, 2:] = raw
+    return out.view("<u8").reshape(-1) | (np.uint64(pdf["bucket"].iloc[0]) & np.uint64(0xFFFF))
+
+
 def _flat(pdf: pd.DataFrame, *columns: tuple[str, str]) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in columns]
 
@@ -98,7 +115,8 @@ def _shared(n_owners: int):
     """Of a bucket's postings, those of shingles in two texts or more, with the frequency, packed by the owner of the text."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, counts, h = _flat(pdf, ("keys", "u8"), ("sizes", "i4"), ("counts", "i4"), ("hashes", "u8"))
+        keys, sizes, counts = _flat(pdf, ("keys", "u8"), ("sizes", "i4"), ("counts", "i4"))
+        h = _long(pdf)
         of = np.repeat(np.arange(len(keys), dtype=np.int64), counts)
         order = np.argsort(h, kind="stable")
         h, of = h[order], of[order]
@@ -197,9 +215,9 @@ def linked_texts(docs: DataFrame, text_col: str = "text", num: int = NUM, den: i
     """(key, root): the component of every text that has a link to a different text."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_buckets = 4 * partitions(spark)
+    n_buckets, n_owners = 2 * partitions(spark), partitions(spark)
     packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_postings(n_buckets), "bucket int, keys binary, sizes binary, counts binary, hashes binary")
-    shared = packed.groupBy("bucket").applyInPandas(_shared(n_buckets), "owner int, keys binary, sizes binary, counts binary, hashes binary, dfs binary")
+    shared = packed.groupBy("bucket").applyInPandas(_shared(n_owners), "owner int, keys binary, sizes binary, counts binary, hashes binary, dfs binary")
     texts = cut(shared.groupBy("owner").applyInPandas(_survivors(num, den), "key long, n long, own long, pre int, toks array<long>, classes array<int>"))
 
     posts = texts.select("key", "n", "own", "classes", F.posexplode(F.slice("toks", 1, F.col("pre")))).select("key", "n", "own", "classes", (F.col("own") + F.col("pos")).alias("pos"), F.col("col").alias("h"))
