@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, without
 
 #: One in MEAN line ends is a boundary; words of a long line; words of the shortest chunk that is removed.
 MEAN, LONG, LEAST = 4, 40, 12
@@ -23,26 +23,28 @@ MEAN, LONG, LEAST = 4, 40, 12
 
 def _words(line: Column) -> Column:
     """Words, counted by single blanks."""
-    return F.length(line) - F.length(F.translate(line, " \t", "")) + 1
+    return F.length(line) - F.length(without(line, " ")) + 1
 
 
 def chunks(text: Column) -> Column:
     """array<struct<text, h, lines, removable>> of a text, in order; joined by line ends they are the text."""
 
-    def make(lines: Column, hashes: Column, wide: Column) -> Column:
+    def make(lines: Column, hashes: Column, words: Column) -> Column:
         last = F.size(lines) - 1
         rolls = lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(MEAN)) == 0
-        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.get(wide, i) | F.get(wide, i + 1) | rolls(i))
+        wide = lambda i: F.get(words, i) >= LONG
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | wide(i) | wide(i + 1) | rolls(i))
 
         def one(e: Column, k: Column, ends: Column) -> Column:
             start = F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 1
             whole = F.array_join(F.slice(lines, start + 1, e - start + 1), "\n")
-            return F.struct(whole.alias("text"), F.xxhash64(whole).alias("h"), (e - start + 1).alias("lines"), (((e > start) | F.get(wide, e)) & (_words(whole) >= LEAST)).alias("removable"))
+            total = F.aggregate(F.slice(words, start + 1, e - start + 1), F.lit(0), lambda s, w: s + w)
+            return F.struct(whole.alias("text"), F.xxhash64(whole).alias("h"), (e - start + 1).alias("lines"), (((e > start) | wide(e)) & (total >= LEAST)).alias("removable"))
 
         return let(ends, lambda es: F.transform(es, lambda e, k: one(e, k, es)))
 
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return let(lines, lambda x: let(F.struct(F.transform(x, lambda v: F.xxhash64(v)).alias("h"), F.transform(x, lambda v: _words(v) >= LONG).alias("w")), lambda y: make(x, y["h"], y["w"])))
+    return let(lines, lambda x: let(F.struct(F.transform(x, lambda v: F.xxhash64(v)).alias("h"), F.transform(x, _words).alias("w")), lambda y: make(x, y["h"], y["w"])))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
