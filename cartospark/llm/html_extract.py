@@ -32,8 +32,9 @@ from pyspark.sql.window import Window
 
 from .common import cut, partitions, small_batches
 
-#: A tag, comment or declaration; attribute values may hold ">".
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag, comment or declaration; quoted attribute values may hold ">". No part of it backtracks.
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S)
+_OPENS = re.compile(r"<(?=[a-zA-Z/!?])")
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: HTML elements that start a new block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -93,7 +94,7 @@ def blocks(source: str) -> list[tuple[str, int]]:
 
     at = 0
     lowered = None
-    while m := _TAG.search(source, at):
+    while source.find(">", at) >= 0 and (m := _TAG.search(source, at)):
         if m.start() > at:
             buffer.append(source[at : m.start()])
         at = m.end()
@@ -143,7 +144,7 @@ def blocks(source: str) -> list[tuple[str, int]]:
         stack.append((tag, role))
         boiler += role == "boiler"
         main += role == "main"
-    buffer.append(source[at:])
+    buffer.append(_OPENS.split(source[at:], maxsplit=1)[0])  # a tag that never ends is no text
     flush()
     return out
 
