@@ -8,9 +8,9 @@ a text falls apart before blanks into chunks that cannot influence one another;
 each worker keeps the chunks that it has met, and the agendas of new short
 chunks advance together in numpy. Long chunks use a heap.
 
-Each Arrow batch is encoded and decoded a second time by the sentencepiece
-library. ``matches_library`` says whether both agree; where they ever differed,
-the library's answer would be returned.
+In each Arrow batch the sentencepiece library encodes every chunk that is new to
+the worker and decodes every text a second time. ``matches_library`` says
+whether both agree; where they ever differed, the library's answer is returned.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .common import small_batches
 
 BLANK = "▁"
 #: Chunks that a worker remembers at most, and the longest that the joint agenda takes.
-REMEMBERED, SHORT = 400_000, 40
+REMEMBERED, SHORT = 1_000_000, 40
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
@@ -77,6 +78,7 @@ class MergeCodec:
         if self.unk >= 0:
             self.text_of[self.unk] = " ⁇ ".encode()
         self.known: dict[str, bytes] = {}
+        self.check, self.differing = True, set()
 
     def _fallback(self, s: str) -> list[int]:
         return [self.byte_id[b] for b in s.encode()] if self.byte_id else [self.unk]
@@ -200,38 +202,55 @@ class MergeCodec:
         raw = sym.astype("<u4").tobytes()
         return [raw[4 * ends[i] : 4 * ends[i + 1]] if plain[i] else self._finish(sym[ends[i] : ends[i + 1]].tolist(), foreign) for i in range(len(chunks))]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks, named without the blank before them, and check each against the library."""
         known = self.known
-        if len(known) + len(chunks) > REMEMBERED:
-            known.clear()
-        short = [c for c in chunks if len(c) <= SHORT]
-        if short:
-            known.update(zip(short, self.agendas(short), strict=True))
-        for c in chunks:
-            if len(c) > SHORT:
-                known[c] = self.agenda(c)
+        short, long = [c for c in chunks if len(c) < SHORT], [c for c in chunks if len(c) >= SHORT]
+        found = dict(zip(short, self.agendas([BLANK + c for c in short]), strict=True)) if short else {}
+        found.update((c, self.agenda(BLANK + c)) for c in long)
+        if self.check:
+            # the library puts the blank before a text itself
+            named = [c for c in found if c]
+            theirs = self.library.encode([c.replace(BLANK, " ") for c in named], num_threads=1)
+            flat = np.fromiter(chain.from_iterable(theirs), dtype="<u4").tobytes()
+            if flat != b"".join([found[c] for c in named]) or any(4 * len(x) != len(found[c]) for c, x in zip(named, theirs, strict=True)):
+                for c, x in zip(named, theirs, strict=True):
+                    if (raw := np.array(x, dtype="<u4").tobytes()) != found[c]:
+                        self.differing.add(c)
+                        found[c] = raw
+        known.update(found)
+
+    def _chunks(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self.inner_blank:
+            return [text.replace(" ", BLANK)]
+        if "  " in text or text[0] == " " or BLANK in text:
+            return [c[1:] for c in _CHUNK.findall(BLANK + text.replace(" ", BLANK))]
+        return text.split(" ")
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts with begin and end ids, as little-endian unsigned 32-bit integers."""
-        split = []
+        chunks: list[str] = []
+        ends = [0]
         for t in texts:
-            t = BLANK + t.replace(" ", BLANK) if t else ""
-            if self.inner_blank:
-                split.append([t] if t else [])
-            elif BLANK * 2 in t:
-                split.append(_CHUNK.findall(t))
-            else:
-                split.append([BLANK + c for c in t.split(BLANK)[1:]])
-        # what was known may be forgotten while others are learned
-        need = set().union(*split)
-        new = need - self.known.keys()
-        if new:
+            chunks += self._chunks(t)
+            ends.append(len(chunks))
+        ids = list(map(self.known.get, chunks))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = list({chunks[i] for i in missing})
             if len(self.known) + len(new) > REMEMBERED:
-                new = need
+                self.known.clear()
             self._learn(new)
-        get = self.known.__getitem__
+            for i in missing:
+                ids[i] = self.known[chunks[i]]
         bos, eos = (np.array([i], dtype="<u4").tobytes() for i in (self.bos, self.eos))
-        return [bos + b"".join(map(get, chunks)) + eos for chunks in split]
+        return [bos + b"".join(ids[a:b]) + eos for a, b in pairwise(ends)]
+
+    def differs(self, text: str) -> bool:
+        """Whether a text has a chunk that the library encodes in another way."""
+        return bool(self.differing) and not self.differing.isdisjoint(self._chunks(text))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: control ids vanish, byte ids join to UTF-8, the blank put before the text goes."""
@@ -262,16 +281,16 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_path)
+        own.check = check
         for pdf in pdfs:
             texts = pdf["text"].tolist()
             ids = own.encode_batch(texts)
             decoded = [own.decode(i) for i in ids]
             agree: list[bool | None] = [None] * len(texts)
             if check:
-                theirs = [np.array(x, dtype="<u4").tobytes() for x in own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
-                back = own.library.decode([np.frombuffer(x, dtype="<u4").tolist() for x in theirs], num_threads=1)
-                agree = [a == b and c == d for a, b, c, d in zip(ids, theirs, decoded, back, strict=True)]
-                ids, decoded = theirs, back
+                back = own.library.decode([np.frombuffer(i, dtype="<u4").tolist() for i in ids], num_threads=1)
+                agree = [a == b and not own.differs(t) for a, b, t in zip(decoded, back, texts, strict=True)]
+                decoded = back
             out = pd.DataFrame({
                 "doc_id": pdf["doc_id"],
                 "n_tokens": [len(i) // 4 for i in ids],
