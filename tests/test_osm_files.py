@@ -215,3 +215,24 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert dict(spark.sql("select value, n from tag_counts").collect()) == {"primary": 1, "footway": 1}
     assert ordering.overlap(F.array(F.lit(1)), F.array(F.lit(1))) is not None
+
+
+def test_pictures_and_shapefiles(small, tmp_path):
+    import struct
+
+    from cartospark.sources import maps
+
+    m, _ = small
+    assert maps.png(m, str(tmp_path / "m.png"), 60, 40, "dark") == 5
+    raw = (tmp_path / "m.png").read_bytes()
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", raw[16:24]) == (60, 40)
+    assert maps.leaflet(m, str(tmp_path / "m.html"), "<t>") == 5 and "&lt;t&gt;" in (tmp_path / "m.html").read_text()
+    assert maps.shapefile(m, str(tmp_path / "s")) == {"points": 2, "lines": 2, "polygons": 1}
+    shp = (tmp_path / "s_polygons.shp").read_bytes()
+    assert struct.unpack(">i", shp[:4]) == (9994,) and struct.unpack(">i", shp[24:28])[0] * 2 == len(shp)
+    limit, maps.MAX_SHAPES = maps.MAX_SHAPES, 1
+    try:
+        with pytest.raises(ValueError, match="clip"):
+            maps.png(m, str(tmp_path / "n.png"))
+    finally:
+        maps.MAX_SHAPES = limit
