@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, WORD, cut, let, small
+from .common import BLANKS, WORD, cut, let, small, without
 
 #: Largest share of good documents of a stratum that the rules together may reject, and the chance of failing that.
 RISK, ALPHA = 0.02, 0.05
@@ -33,16 +33,16 @@ SYMBOLS = "#*$%&|<>"
 def measures(text: Column) -> dict[str, Column]:
     """Base measures of a text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_shouts, n_capitals, n_long."""
     t = F.coalesce(text, F.lit(""))
-    lost = lambda c, chars: (F.length(c) - F.length(F.translate(c, chars, ""))).cast("long")
+    lost = lambda c, chars: (F.length(c) - F.length(without(c, chars))).cast("long")
     words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeats(w).alias("r"), F.size(F.filter(w, lambda x: F.length(x) > 25)).cast("long").alias("l"))),
-        "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
+        "word_chars": F.length(without(t, BLANKS)).cast("long"),
         "n_symbols": lost(t, SYMBOLS),
         "n_lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))),
         "n_shouts": lost(t, "!?"),
-        "n_capitals": lost(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_capitals": F.regexp_count(t, F.lit("[A-Z]")).cast("long"),
     }
 
 
