@@ -75,10 +75,6 @@ def without(c: Column, chars: str) -> Column:
     return c
 
 
-def lower_ascii(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def n_words(c: Column) -> Column:
     """Number of words, null counting 0."""
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(WORD)).cast("long")

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import cut, without
 
 #: Phrase -> label of the base scan.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -71,7 +71,7 @@ def _places(spaced: Column, phrase: str) -> tuple[Column, Column, Column]:
     p = " " + phrase.replace(" ", "  ") + " "
     count = ((F.length(spaced) - F.length(F.replace(spaced, F.lit(p), F.lit("")))) / len(p)).cast("long")
     first, last = F.instr(spaced, p), F.instr(F.reverse(spaced), p[::-1])
-    blanks = lambda s: ((F.length(s) - F.length(F.translate(s, " ", ""))) / 2).cast("long")
+    blanks = lambda s: ((F.length(s) - F.length(without(s, " "))) / 2).cast("long")
     before = F.substring(spaced, F.lit(1), first - 1)
     before_last = F.substring(spaced, F.lit(1), F.length(spaced) - (last - 1) - len(p))
     return count, F.when(first > 0, blanks(before)), F.when(last > 0, blanks(before_last))
@@ -88,12 +88,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     equal results. Other columns are ignored.
     """
     spark = docs.sparkSession
-    text = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))  # of non-ASCII characters only U+212A gets an ASCII letter, k, by this
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.trim(F.regexp_replace(text, APART, " ")).alias("r"))
     keys = sorted({k for _, _, k in NOTICES} | set(BASE))
     keys = [k for k in keys if not any(o != k and o in k for o in keys)]  # whoever holds a longer phrase holds this one
     rare = _vocabulary()
-    n = F.when(F.col("r") == "", 0).otherwise(F.length("r") - F.length(F.translate("r", " ", "")) + 1).cast("long")
+    n = F.when(F.col("r") == "", 0).otherwise(F.length("r") - F.length(without(F.col("r"), " ")) + 1).cast("long")
     held = F.when(F.col("r").rlike("|".join(re.escape(k) for k in keys)), F.col("r"))
     rows = cut(rows.select("doc_id", n.alias("n_words"), F.array_intersect(F.split("r", " "), F.array(*map(F.lit, rare))).alias("hits"), F.xxhash64("r").alias("th"), held.alias("r")))
 
