@@ -50,12 +50,14 @@ EXTRACT_SPEEDS = {"motorway": 110, "motorway_link": 80, "trunk": 80, "trunk_link
 NETWORK_SPEEDS = {"motorway": 110, "motorway_link": 60, "trunk": 90, "trunk_link": 50, "primary": 60, "primary_link": 40, "secondary": 50, "secondary_link": 35, "tertiary": 40, "tertiary_link": 30, "residential": 30, "living_street": 20, "unclassified": 30, "service": 20, "road": 30, "track": 15, "path": 5, "footway": 5, "cycleway": 15, "pedestrian": 5, "steps": 3}
 MODE_SPEEDS = {
     "walk": {"default": 5, "steps": 3, "path": 4, "footway": 5, "pedestrian": 5, "residential": 5, "living_street": 5},
+    "walk_map": {"default": 5, "steps": 3, "path": 4, "footway": 5, "pedestrian": 5, "residential": 5, "living_street": 5, "primary": 4, "secondary": 4, "tertiary": 5, "service": 5, "unclassified": 5, "track": 4},
     "bike": {"default": 15, "cycleway": 18, "path": 12, "residential": 15, "tertiary": 18, "secondary": 20, "primary": 15},
     "drive": {"motorway": 110, "motorway_link": 60, "trunk": 90, "trunk_link": 50, "primary": 60, "primary_link": 40, "secondary": 50, "secondary_link": 35, "tertiary": 40, "tertiary_link": 30, "residential": 30, "living_street": 20, "unclassified": 30, "service": 20, "default": 30},
 }
 # --- Fixed values: roads open to each mode.
 MODE_ROADS = {
     "walk": _w("primary secondary tertiary residential living_street unclassified service pedestrian footway path steps track"),
+    "walk_map": _w("primary secondary tertiary residential living_street unclassified service pedestrian footway path steps track"),
     "bike": _w("primary secondary tertiary residential living_street unclassified service cycleway path track"),
     "drive": _w("motorway motorway_link trunk trunk_link primary primary_link secondary secondary_link tertiary tertiary_link residential living_street unclassified service road"),
     "all": tuple(NETWORK_SPEEDS),

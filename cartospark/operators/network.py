@@ -39,7 +39,7 @@ def edges(m: GeoMap, mode: str = "drive", directed: bool = True, speed: str = "d
         kmh = F.coalesce(F.element_at(_speed_map(C.MODE_SPEEDS[mode]), t["highway"]), F.lit(float(C.MODE_SPEEDS[mode]["default"])))
     attrs = roads.select(F.col("id").alias("way_id"), t["highway"].alias("highway"), t["name"].alias("name"), kmh.alias("kmh"), direction(t["oneway"], fix_reverse).alias("dir"))
     rows = seg.join(attrs, "way_id")
-    both = F.lit(not directed or mode in ("walk", "bike"))
+    both = F.lit(not directed or mode in ("walk", "walk_map", "bike"))
     ways = F.array_compact(F.array(F.when(both | (F.col("dir") >= 0), F.struct(F.col("src").alias("a"), F.col("dst").alias("b"))), F.when(both | (F.col("dir") <= 0), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))))
     rows = rows.withColumn("e", F.explode(ways))
     return rows.select(F.col("e.a").alias("src"), F.col("e.b").alias("dst"), "way_id", "pos", "highway", "name", "distance_m", (F.col("distance_m") / (F.col("kmh") * 1000 / 3600)).alias("time_s"))

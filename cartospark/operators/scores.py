@@ -82,6 +82,15 @@ def walkability(m: GeoMap, lat: float | None = None, lon: float | None = None, r
     return row.withColumn("grade", letter).withColumn("grade_text", words)
 
 
+def bike_car_nodes(m: GeoMap, lat: float, lon: float, radius: float) -> DataFrame:
+    """(id): nodes around a centre on both a bike way and a car road, as a semi join of the two node sets."""
+    t = F.col("tags")
+    bike = T.column(T.any_of(T.eq("highway", "cycleway"), T.eq("bicycle_road", "yes"), T.isin("cycleway", C.BIKE_LANES), T.isin("bicycle", ("designated", "yes"))), t)
+    car = t["highway"].isin(*(k for k, v in C.CAR_DANGER.items() if v >= 25))
+    nodes = lambda where: m.way_refs().join(m.ways.where(F.map_contains_key("tags", F.lit("highway")) & where).select(F.col("id").alias("way_id")), "way_id", "left_semi").select(F.col("ref").alias("id")).distinct()
+    return nodes(bike).join(nodes(car), "id", "left_semi").join(m.coords.where(_within(lat, lon, radius)), "id").select("id")
+
+
 def bike_intersections(m: GeoMap, lat: float, lon: float, radius: float) -> DataFrame:
     """(id, danger, has_signals, safety_score): nodes where a bike way meets a car road (danger 25 or more); signals count within 25 m."""
     t = F.col("tags")

@@ -706,6 +706,18 @@ def bike_crossings(m: GeoMap) -> DataFrame:
     return scores.bike_intersections(m, LAT, LON, 20_000.0).select("id", "danger")
 
 
+@query(M.with_("way", "refs", "coord") + f", b AS (SELECT ref AS id FROM refs JOIN way ON way.id = way_id WHERE tags['highway'] = 'cycleway' OR tags['cycleway'] = 'lane' OR tags['bicycle'] IN ('designated', 'yes')), c AS (SELECT ref AS id FROM refs JOIN way ON way.id = way_id WHERE tags['highway'] IN {_sql_in(k for k, v in C.CAR_DANGER.items() if v >= 25)}) SELECT id FROM coord WHERE id IN (SELECT id FROM b) AND id IN (SELECT id FROM c) AND {_AT}")
+def bike_car_nodes(m: GeoMap) -> DataFrame:
+    return scores.bike_car_nodes(m, LAT, LON, 20_000.0)
+
+
+@query()
+def walk_isochrone(m: GeoMap) -> DataFrame:
+    """The walking map's speeds."""
+    reached, _ = routing.isochrone(_slice(m, 2000), LAT, LON, [300.0, 900.0], "walk_map")
+    return reached.select("id", F.round("cost", 1).alias("cost"), "zone")
+
+
 @query()
 def multipolygons(m: GeoMap) -> DataFrame:
     """Rings assembled from relations whose members are closed ways made of the nodes around each."""
