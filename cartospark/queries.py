@@ -564,7 +564,7 @@ def degree(m: GeoMap) -> DataFrame:
 
 
 def _slice(m: GeoMap, n: int = 200) -> GeoMap:
-    """The graph that recursive SQL can close: the feature of these queries is the algorithm, on the same small road network on both engines."""
+    """The ways that the SQL of a few queries reads. Each of these has a query named _whole beside it, without SQL, over all ways."""
     return m.with_(ways=m.ways.where(F.col("id") < n))
 
 
@@ -581,6 +581,16 @@ def connectivity(m: GeoMap) -> DataFrame:
     return network.connectivity(network.network(_slice(m))[1])
 
 
+@query()
+def components_whole(m: GeoMap) -> DataFrame:
+    return network.components(network.network(m)[1])
+
+
+@query()
+def connectivity_whole(m: GeoMap) -> DataFrame:
+    return network.connectivity(network.network(m)[1])
+
+
 @query()
 def components_all(m: GeoMap) -> DataFrame:
     """Sizes of the components of the whole walking network."""
@@ -609,45 +619,57 @@ def sssp_packed(m: GeoMap) -> DataFrame:
     return routing.costs(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
 
 
+@query()
+def sssp_time_whole(m: GeoMap) -> DataFrame:
+    e = network.edges(m)
+    return routing.relax(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
+
+
+@query()
+def sssp_packed_whole(m: GeoMap) -> DataFrame:
+    e = network.edges(m)
+    return routing.costs(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
+
+
 @query()
 def distance_matrix(m: GeoMap) -> DataFrame:
-    e = network.edges(_slice(m, 2000))
+    e = network.edges(m)
     return routing.distance_matrix(e, _stops(e, 6)).select("origin", "destination", F.round("cost", 1).alias("cost"), F.round("distance_m", 1).alias("distance_m"))
 
 
 @query()
 def route(m: GeoMap) -> DataFrame:
-    e = network.edges(_slice(m, 2000), directed=False)
+    e = network.edges(m, directed=False)
     return routing.route_nodes(e, _stops(e, 4)).select("leg", "seq", "src", "dst", "way_id", F.round("distance_m", 1).alias("distance_m"))
 
 
 @query()
 def directions(m: GeoMap) -> DataFrame:
-    e = network.edges(_slice(m, 2000), directed=False)
+    e = network.edges(m, directed=False)
     return routing.directions(routing.route_nodes(e, _stops(e, 4)), m.coords).select("no", "instruction", "name", F.round("distance_m", 1).alias("distance_m"))
 
 
 @query()
 def alternatives(m: GeoMap) -> DataFrame:
-    e = network.edges(_slice(m, 2000), directed=False)
+    e = network.edges(m, directed=False)
     return routing.alternatives(e, *_stops(e, 2)).select("route", "seq", "src", "dst", F.round("distance_m", 1).alias("distance_m"))
 
 
 @query()
 def isochrone(m: GeoMap) -> DataFrame:
-    reached, _ = routing.isochrone(_slice(m, 2000), LAT, LON, [240.0, 480.0], "drive")
+    reached, _ = routing.isochrone(m, LAT, LON, [240.0, 480.0], "drive")
     return reached.select("id", F.round("cost", 1).alias("cost"), "zone")
 
 
 @query()
 def isochrone_bins(m: GeoMap) -> DataFrame:
-    _, rings = routing.isochrone(_slice(m, 2000), LAT, LON, [240.0, 480.0], "drive", 24)
+    _, rings = routing.isochrone(m, LAT, LON, [240.0, 480.0], "drive", 24)
     return rings.select("zone", "bin", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 @query()
 def catchment(m: GeoMap) -> DataFrame:
-    return routing.catchment(_slice(m, 2000), LAT, LON, [240.0, 480.0], "drive", 3000.0).select("id", "category", F.round("cost_s", 1).alias("cost_s"), "zone")
+    return routing.catchment(m, LAT, LON, [240.0, 480.0], "drive", 3000.0).select("id", "category", F.round("cost_s", 1).alias("cost_s"), "zone")
 
 
 _BRIDGE = M.with_("way", "seg", recursive=True) + f""", g AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM seg JOIN way ON id = way_id WHERE way.id < 30 AND tags['highway'] IN {_sql_in(C.MODE_ROADS['drive'])} AND src <> dst),
@@ -660,19 +682,24 @@ def bridges(m: GeoMap) -> DataFrame:
     return analysis.weak_points(network.network(_slice(m, 30))[1]).where("kind = 'bridge'").select("a", "b")
 
 
+@query()
+def bridges_whole(m: GeoMap) -> DataFrame:
+    return analysis.weak_points(network.network(m)[1]).where("kind = 'bridge'").select("a", "b")
+
+
 @query()
 def articulation(m: GeoMap) -> DataFrame:
-    return analysis.weak_points(network.network(_slice(m, 2000))[1]).where("kind = 'articulation'").select(F.col("a").alias("id"), "pieces")
+    return analysis.weak_points(network.network(m)[1]).where("kind = 'articulation'").select(F.col("a").alias("id"), "pieces")
 
 
 @query()
 def betweenness(m: GeoMap) -> DataFrame:
-    return analysis.betweenness(network.edges(_slice(m, 400), directed=False), samples=40).select("id", F.round("betweenness", 9).alias("betweenness"))
+    return analysis.betweenness(network.edges(m, directed=False), samples=40).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query()
 def detour(m: GeoMap) -> DataFrame:
-    e = network.edges(_slice(m, 1000), directed=False)
+    e = network.edges(m, directed=False)
     return analysis.detours(e, m.coords, 20).select("origin", "destination", F.round("straight_m", 1).alias("straight_m"), F.round("factor", 3).alias("factor"))
 
 
@@ -714,7 +741,7 @@ def bike_car_nodes(m: GeoMap) -> DataFrame:
 @query()
 def walk_isochrone(m: GeoMap) -> DataFrame:
     """The walking map's speeds."""
-    reached, _ = routing.isochrone(_slice(m, 2000), LAT, LON, [300.0, 900.0], "walk_map")
+    reached, _ = routing.isochrone(m, LAT, LON, [300.0, 900.0], "walk_map")
     return reached.select("id", F.round("cost", 1).alias("cost"), "zone")
 
 
