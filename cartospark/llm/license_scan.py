@@ -1,11 +1,10 @@
-"""Licence scans by a positional index of rare licence words.
+"""Licence scans by a positional index of licence words.
 
 The index holds, for every word of the licence notices below, the notices and
-positions where it stands. A file looks up the licence words it has that are
-rarest in the corpus (highest IDF over all files); each hit votes for a notice
-at an offset (position in the file less position in the notice), and votes at
-one offset meet only where the words stand as in the notice. The best offsets
-are verified: the notice's key phrase must stand at its place, and the share of
+positions where it stands. A file looks up all licence words it has; each hit votes for a
+notice at an offset (position in the file less position in the notice) with the
+word's IDF over all files, and votes at one offset meet only where the words
+stand as in the notice. Every offset with enough votes is verified: the notice's key phrase must stand at its place, and the share of
 the notice's IDF found at that offset is the score.
 
 The base labels count fixed phrases. Everything is DataFrame functions; only
@@ -46,8 +45,8 @@ NOTICES = (
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all rights", "dedicated the work to the public domain"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
-#: Rarest licence words that a file looks up, and the least score of a notice.
-LOOKUPS, LEAST = 8, 0.5
+#: The least score of a notice.
+LEAST = 0.5
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -113,11 +112,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     whole = F.broadcast(_index(spark).join(F.broadcast(idf), "word").groupBy("notice").agg(F.sum("idf").alias("all_idf")))
 
     words = hot.select("doc_id", "th", F.posexplode(F.split("r", " ")).alias("pos", "word")).dropDuplicates(["doc_id", "th", "pos"]).join(F.broadcast(idf), "word")
-    kinds = words.groupBy("doc_id", "th", "word", "idf").count().groupBy("doc_id", "th").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word")), asc=False), 1, LOOKUPS).alias("top"))
     hits = words.join(index.drop("idf"), "word").withColumn("offset", F.col("pos") - F.col("at"))
-    kinds = kinds.withColumn("e", F.lit(True)).select(F.col("doc_id").alias("k_id"), "th", "top")
-    cand = hits.join(kinds, hits["doc_id"].eqNullSafe(kinds["k_id"]) & (hits["th"] == kinds["th"])).select(hits["doc_id"], hits["th"], "notice", "offset", "word", "idf", F.exists("top", lambda t: t["word"] == F.col("word")).alias("looked"))
-    votes = cand.groupBy("doc_id", "th", "notice", "offset").agg(F.count_if("looked").alias("votes"), F.sum("idf").alias("got")).where("votes > 0").join(whole, "notice")
+    votes = hits.groupBy("doc_id", "th", "notice", "offset").agg(F.sum("idf").alias("got")).join(whole, "notice")
     table = F.broadcast(_constant(spark, [(i, label, key, len(notice[: notice.index(key)].split())) for i, (label, notice, key) in enumerate(NOTICES)], "notice", "label", "key", "key_at"))
     best = votes.join(table, "notice").withColumn("share", F.col("got") / F.col("all_idf")).where(F.col("share") >= LEAST)
     texts = hot.select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), "r").dropDuplicates(["t_id", "t_th"])

@@ -73,6 +73,17 @@ def test_licenses(docs, words, odd):
     assert license_scan.scan(docs([])).count() == 0
 
 
+def test_several_notices_in_one_file(docs):
+    """Every notice whose key phrase stands in a file is found, whatever other licence words are there."""
+    notice = {label: text for label, text, _ in license_scan.NOTICES}
+    pairs = [("gpl", "apache-2.0"), ("bsd", "apache-2.0"), ("bsd", "mit"), ("lgpl", "mpl-2.0")]
+    texts = [f"{notice[a]} x y z {notice[b]}" for a, b in pairs] + [" x ".join(t for _, t, _ in license_scan.NOTICES)]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(list(enumerate(texts)))).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert {(n["label"], n["offset"]) for n in got[i]["notices"]} >= {(a, 0), (b, len(notice[a].split()) + 3)}
+    assert {n["label"] for n in got[len(pairs)]["notices"]} == set(notice)
+
+
 # --- line dedup
 
 
