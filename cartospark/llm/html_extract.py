@@ -173,9 +173,9 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def article(lines: list[str], zones: list[int], shared: set[int]) -> list[str]:
-    """What stays: differencing deletes shared lines, then the markup has its say."""
-    named = 1 in zones
+def article(lines: list[str], zones: list[int], shared: set[int], differed: bool = True) -> list[str]:
+    """What stays: differencing deletes shared lines, then the markup has its say. Without a page to differ from, a named article is all that stays."""
+    named = 1 in zones and not differed
     out = []
     for i, (line, zone) in enumerate(zip(lines, zones, strict=True)):
         keep = i not in shared
@@ -240,7 +240,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts, shared = [], []
             for lines, zones, mine, other in zip(pdf["lines"], pdf["zones"], pdf["hashes"], pdf["theirs"], strict=True):
                 common = shared_lines(list(mine), list(other)) if other is not None else set()
-                texts.append("\n".join(article(list(lines), list(zones), common)))
+                texts.append("\n".join(article(list(lines), list(zones), common, other is not None)))
                 shared.append(len(common))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_lines": [len(x) for x in pdf["lines"]], "n_shared": shared})
 

@@ -117,6 +117,14 @@ def test_html(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+def test_differencing_decides_outside_a_named_article(spark):
+    """A standfirst outside the article stays, lines of the site go; a page without a neighbour keeps its article only."""
+    rows = [(i, f"https://a.b/x/{i}", PAGE.format(main=f"<p>Standfirst {i}</p><article><p>Body {i}</p><p>Same quote</p></article><p>After {i}</p>")) for i in (1, 2)]
+    rows.append((3, "https://lone.b/", PAGE.format(main="<p>Standfirst</p><article><p>Body</p></article>")))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Standfirst {i}\nBody {i}\nSame quote\nAfter {i}" for i in (1, 2)} | {3: "Body"}
+
+
 def test_longest_common_subsequence():
     import random
 
