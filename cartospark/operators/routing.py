@@ -117,22 +117,32 @@ def costs(edges: DataFrame, sources: list, weight: str = "time_s", bound: float
     return spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], f"source {kind}").repartition(min(len(sources) or 1, 64)).mapInPandas(run, f"source {kind}, node {kind}, cost double, distance_m double")
 
 
-def relax(edges: DataFrame, sources: list, weight: str = "time_s", bound: float = float("inf"), max_rounds: int = 10_000) -> DataFrame:
-    """(source, node, cost): the same costs by relaxation joins, for graphs of any size; lineage is cut every round."""
+def relax(edges: DataFrame, sources: list, weight: str = "time_s", bound: float = float("inf"), max_rounds: int = 10_000, metres: bool = False) -> DataFrame:
+    """(source, node, cost): the same costs by relaxation joins, for graphs of any size; lineage is cut every round. With ``metres`` also distance_m, of equally cheap paths that of the shortest."""
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
-    e = edges.groupBy("src", "dst").agg(F.min(weight).alias("w"))
-    best = spark.createDataFrame([(s, s, 0.0) for s in dict.fromkeys(sources)], f"source {kind}, node {kind}, cost double").join(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
-    best = fresh = cut(best.select("source", "node", "cost"))
+    sums = {"cost": weight} | ({"distance_m": "distance_m"} if metres else {})
+    least = lambda t, keys: t.groupBy(*keys).agg(F.min(F.struct(*sums)).alias("b")).select(*keys, *(F.col(f"b.{c}").alias(c) for c in sums))
+    e = least(edges.select("src", "dst", *(F.col(w).alias(c) for c, w in sums.items())), ["src", "dst"]).select("src", "dst", *(F.col(c).alias(f"w_{c}") for c in sums))
+    best = spark.createDataFrame([(s, s) for s in dict.fromkeys(sources)], f"source {kind}, node {kind}").join(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
+    best = fresh = cut(best.select("source", "node", *(F.lit(0.0).alias(c) for c in sums)))
     for _ in range(max_rounds):
-        step = fresh.withColumnRenamed("node", "src").join(e, "src").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).where(F.col("cost") <= bound).groupBy("source", "node").agg(F.min("cost").alias("cost"))
-        fresh = cut(step.join(best.withColumnRenamed("cost", "old"), ["source", "node"], "left").where("old is null or cost < old").select("source", "node", "cost"))
+        step = fresh.withColumnRenamed("node", "src").join(e, "src").select("source", F.col("dst").alias("node"), *((F.col(c) + F.col(f"w_{c}")).alias(c) for c in sums)).where(F.col("cost") <= bound)
+        old = best.select("source", "node", F.struct(*sums).alias("old"))
+        fresh = cut(least(step, ["source", "node"]).join(old, ["source", "node"], "left").where(F.col("old").isNull() | (F.struct(*sums) < F.col("old"))).select("source", "node", *sums))
         if not fresh.take(1):
             break
-        best = cut(best.unionByName(fresh).groupBy("source", "node").agg(F.min("cost").alias("cost")))
+        best = cut(least(best.unionByName(fresh), ["source", "node"]))
     return best
 
 
+def reach(edges: DataFrame, sources: list, weight: str = "time_s", bound: float = float("inf")) -> DataFrame:
+    """(source, node, cost, distance_m) on a graph of any size: costs() up to MAX_EDGES edges, relax() beyond."""
+    if edges.count() <= MAX_EDGES:
+        return costs(edges, sources, weight, bound)
+    return relax(edges, sources, weight, bound, metres=True)
+
+
 def _snapped(m: GeoMap, edges: DataFrame, points: list[tuple[float, float]]) -> list:
     """The nearest node of the graph to each (lat, lon)."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(m.coords, "id")
@@ -218,7 +228,7 @@ def alternatives(edges: DataFrame, a, b, count: int = 3, weight: str = "time_s",
 def distance_matrix(edges: DataFrame, nodes: list, weight: str = "time_s") -> DataFrame:
     """(origin, destination, time_s or cost, distance_m): all pairs of given nodes; null where there is no path; distance_m is that of the cheapest path."""
     spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
-    reached = costs(edges, nodes, weight)
+    reached = reach(edges, nodes, weight)
     points = spark.createDataFrame([(n,) for n in dict.fromkeys(nodes)], f"n {kind}")  # the caller's list
     pairs = points.withColumnRenamed("n", "origin").crossJoin(points.withColumnRenamed("n", "destination"))
     return pairs.join(reached.select(F.col("source").alias("origin"), F.col("node").alias("destination"), "cost", "distance_m"), ["origin", "destination"], "left").select("origin", "destination", "cost", "distance_m")
@@ -232,7 +242,7 @@ def isochrone(m: GeoMap, lat: float, lon: float, minutes: list[float], mode: str
     zone = F.lit(None).cast("double")
     for t in reversed(limits):
         zone = F.when(F.col("cost") <= t * 60, float(t)).otherwise(zone)
-    reached = costs(edges, [start], "time_s", bound=limits[-1] * 60).select(F.col("node").alias("id"), "cost").join(m.coords, "id").withColumn("zone", zone)
+    reached = reach(edges, [start], "time_s", bound=limits[-1] * 60).select(F.col("node").alias("id"), "cost").join(m.coords, "id").withColumn("zone", zone)
     center = m.coords.where(F.col("id") == start).first()
     rings = None
     for t in limits:

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from cartospark import queries as maps
-from cartospark.operators import network
+from cartospark.operators import network, routing
 from cartospark.plans.model import GeoMap
 
 #: A path into a triangle, a road apart, and one road with a small id.
@@ -57,3 +57,18 @@ def test_all_ways_are_read(spark, roads):
     assert {r[2:4] for r in run("alternatives")} == {(1, 2)} and len(run("detour")) > 0
     assert {i for i, *_ in run("isochrone")} == {i for i, *_ in run("walk_isochrone")} | {1, 2, 3, 4, 5, 6} and run("isochrone_bins") and run("catchment")
     assert {i for i, _ in run("betweenness")} == set(range(1, 11))
+
+
+def test_costs_beyond_the_packed_limit(spark, roads, monkeypatch):
+    """Isochrones and distance matrices of a network with too many edges to pack."""
+    monkeypatch.setattr(routing, "MAX_EDGES", 3)
+    e = network.edges(roads)
+    rows = e.collect()
+    got = {(r["origin"], r["destination"]): (r["cost"], r["distance_m"]) for r in routing.distance_matrix(e, [1, 5, 7]).collect()}
+    for a in (1, 5, 7):
+        best = shortest(rows, a, "time_s")
+        for b in (1, 5, 7):
+            assert got[a, b] == (pytest.approx(best[b]) if b in best else (None, None))
+    reached, _ = routing.isochrone(roads, 51.502, -0.1, [0.5, 1.0], "drive")
+    costs = {i: c for i, (c, _) in shortest(rows, 1, "time_s").items() if c <= 60}
+    assert {r["id"]: r["cost"] for r in reached.collect()} == pytest.approx(costs)
