@@ -15,15 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, without
+from .common import BLANKS, WORD, cut, let, without
 
 #: One in MEAN line ends is a boundary; words of a long line; words of the shortest chunk that is removed.
 MEAN, LONG, LEAST = 4, 40, 12
+#: Characters that count as a word where blanks are rare: scripts without them.
+CHARS = 10
 
 
 def _words(line: Column) -> Column:
-    """Words, counted by single blanks."""
-    return F.length(line) - F.length(without(line, " ")) + 1
+    """Words between blanks of any kind, or one for every CHARS characters if these are more. Lines with single blanks only, nearly all, need no regular expression."""
+    plain = ~(F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | (line == ""))
+    for x in BLANKS.replace(" ", "").replace("\n", ""):
+        plain = plain & ~F.contains(line, F.lit(x))
+    count = F.when(plain, F.length(line) - F.length(without(line, " ")) + 1).otherwise(F.regexp_count(line, F.lit(WORD)))
+    return F.greatest(count, F.floor(F.length(line) / CHARS).cast("int"))
 
 
 def chunks(text: Column) -> Column:

@@ -136,6 +136,16 @@ def test_line_dedup(docs, words, odd):
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
+def test_line_dedup_counts_words_between_any_blanks(docs, words):
+    """Long lines with tabs or double blanks and of a script without blanks go like those with single blanks; blanks alone are no words."""
+    long = ["\t".join(words(1, 60)), "  ".join(words(2, 60)), "\x0b".join(words(3, 60)), "中文" * 300, " ".join(words(4, 60))]
+    short = ["\t".join(words(5, 20)), " " * 60 + "few words", "中文" * 20]
+    rows = [(i, line) for k, line in enumerate(long + short) for i in (2 * k, 2 * k + 1)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    for i, t in rows:
+        assert got[i] == ("" if t in long and i % 2 else t)
+
+
 # --- fingerprints
 
 
