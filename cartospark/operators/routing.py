@@ -1,9 +1,11 @@
 """Shortest paths and what is built on them.
 
-Two ways to the same costs. A graph of up to MAX_EDGES edges (counted first) is
+Two ways to the same paths. A graph of up to MAX_EDGES edges (counted first) is
 packed into arrays, sent to the workers once, and each source runs Dijkstra's
 algorithm in one of them. A larger graph stays a table: ``relax`` lowers costs
-by joins with the edge table until nothing changes, from all sources at once.
+by joins with the edge table until nothing changes, from all sources at once,
+and ``joined_steps`` follows its trees back to the source by pointer doubling,
+so a path of n steps takes about log2(n) joins.
 """
 
 from __future__ import annotations
@@ -117,25 +119,58 @@ def costs(edges: DataFrame, sources: list, weight: str = "time_s", bound: float
     return spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], f"source {kind}").repartition(min(len(sources) or 1, 64)).mapInPandas(run, f"source {kind}, node {kind}, cost double, distance_m double")
 
 
-def relax(edges: DataFrame, sources: list, weight: str = "time_s", bound: float = float("inf"), max_rounds: int = 10_000, metres: bool = False) -> DataFrame:
-    """(source, node, cost): the same costs by relaxation joins, for graphs of any size; lineage is cut every round. With ``metres`` also distance_m, of equally cheap paths that of the shortest."""
+def relax(edges: DataFrame, sources: list, weight: str = "time_s", bound: float = float("inf"), max_rounds: int = 10_000, metres: bool = False, tree: bool = False) -> DataFrame:
+    """(source, node, cost): the same costs by relaxation joins, for graphs of any size; lineage is cut every round.
+
+    With ``metres`` also distance_m, of equally cheap paths that of the
+    shortest. With ``tree`` also prev, the node before on the cheapest path
+    (null at the source).
+    """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
     sums = {"cost": weight} | ({"distance_m": "distance_m"} if metres else {})
-    least = lambda t, keys: t.groupBy(*keys).agg(F.min(F.struct(*sums)).alias("b")).select(*keys, *(F.col(f"b.{c}").alias(c) for c in sums))
-    e = least(edges.select("src", "dst", *(F.col(w).alias(c) for c, w in sums.items())), ["src", "dst"]).select("src", "dst", *(F.col(c).alias(f"w_{c}") for c in sums))
+    more = ["prev"] if tree else []
+    least = lambda t, keys, cols: t.groupBy(*keys).agg(F.min(F.struct(*cols)).alias("b")).select(*keys, *(F.col(f"b.{c}").alias(c) for c in cols))
+    e = least(edges.select("src", "dst", *(F.col(w).alias(c) for c, w in sums.items())), ["src", "dst"], list(sums)).select("src", "dst", *(F.col(c).alias(f"w_{c}") for c in sums))
+    e = cut(e)
     best = spark.createDataFrame([(s, s) for s in dict.fromkeys(sources)], f"source {kind}, node {kind}").join(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
-    best = fresh = cut(best.select("source", "node", *(F.lit(0.0).alias(c) for c in sums)))
+    start = [F.lit(None).cast(kind).alias("prev")] if tree else []
+    best = fresh = cut(best.select("source", "node", *(F.lit(0.0).alias(c) for c in sums), *start))
+    step_more = [F.col("src").alias("prev")] if tree else []
     for _ in range(max_rounds):
-        step = fresh.withColumnRenamed("node", "src").join(e, "src").select("source", F.col("dst").alias("node"), *((F.col(c) + F.col(f"w_{c}")).alias(c) for c in sums)).where(F.col("cost") <= bound)
+        step = fresh.withColumnRenamed("node", "src").join(e, "src").select("source", F.col("dst").alias("node"), *((F.col(c) + F.col(f"w_{c}")).alias(c) for c in sums), *step_more).where(F.col("cost") <= bound)
         old = best.select("source", "node", F.struct(*sums).alias("old"))
-        fresh = cut(least(step, ["source", "node"]).join(old, ["source", "node"], "left").where(F.col("old").isNull() | (F.struct(*sums) < F.col("old"))).select("source", "node", *sums))
+        # only a smaller cost replaces: edges of cost 0 cannot turn a tree into a loop
+        fresh = cut(least(step, ["source", "node"], [*sums, *more]).join(old, ["source", "node"], "left").where(F.col("old").isNull() | (F.struct(*sums) < F.col("old"))).select("source", "node", *sums, *more))
         if not fresh.take(1):
             break
-        best = cut(least(best.unionByName(fresh), ["source", "node"]))
+        newer = fresh.select("source", "node")
+        best = cut(best.join(newer, ["source", "node"], "left_anti").unionByName(fresh))
     return best
 
 
+def _line(edges: DataFrame, weight: str) -> list[str]:
+    """The order among parallel edges: the cheapest, then by way and place."""
+    return [weight, "way_id", "pos"]
+
+
+def joined_steps(edges: DataFrame, legs: DataFrame, weight: str = "time_s") -> DataFrame:
+    """The step table of (leg, source, target) rows on a graph of any size; a leg without a path has no steps."""
+    tree = relax(edges, [r["source"] for r in legs.select("source").distinct().collect()], weight, tree=True)  # the caller's stops
+    on = reached = cut(legs.select("leg", "source", F.col("target").alias("node"), F.lit(0).alias("back")).join(tree.select("source", "node"), ["source", "node"], "left_semi"))
+    jump, far = cut(tree.where("prev is not null").select("source", "node", "prev")), 1
+    while on.take(1):  # reached: what lies less than ``far`` steps before a target; jump: ``far`` steps back
+        on = cut(reached.join(jump, ["source", "node"]).select("leg", "source", F.col("prev").alias("node"), (F.col("back") + far).alias("back")))
+        reached = cut(reached.unionByName(on))
+        hop = jump.select("source", F.col("node").alias("prev"), F.col("prev").alias("further"))
+        jump, far = cut(jump.join(hop, ["source", "prev"]).select("source", "node", F.col("further").alias("prev"))), 2 * far
+    last = reached.groupBy("leg").agg(F.max("back").alias("last"))
+    path = reached.join(last, "leg").join(tree, ["source", "node"]).where("prev is not null").select("leg", (F.col("last") - 1 - F.col("back")).alias("seq"), F.col("prev").alias("src"), F.col("node").alias("dst"))
+    cols = ["way_id", "highway", "name", "distance_m", "time_s"]
+    line = edges.join(path.select("src", "dst").distinct(), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min_by(F.struct(*cols), F.struct(*_line(edges, weight))).alias("l"))
+    return path.join(line, ["src", "dst"]).select("leg", "seq", "src", "dst", *(F.col(f"l.{c}").alias(c) for c in cols))
+
+
 def reach(edges: DataFrame, sources: list, weight: str = "time_s", bound: float = float("inf")) -> DataFrame:
     """(source, node, cost, distance_m) on a graph of any size: costs() up to MAX_EDGES edges, relax() beyond."""
     if edges.count() <= MAX_EDGES:
@@ -160,23 +195,31 @@ def _step_table(spark: SparkSession, edges: DataFrame, steps: list[tuple]) -> Da
     return spark.createDataFrame(steps, f"leg int, seq int, src {kind['src']}, dst {kind['dst']}, way_id {kind['way_id']}, highway string, name string, distance_m double, time_s double")
 
 
-def route_nodes(edges: DataFrame, stops: list, weight: str = "time_s") -> DataFrame | None:
-    """(leg, seq, src, dst, way_id, highway, name, distance_m, time_s) of the cheapest path over given nodes in order; None if a leg has none."""
+def route_nodes(edges: DataFrame, stops: list, weight: str = "time_s") -> DataFrame:
+    """(leg, seq, src, dst, way_id, highway, name, distance_m, time_s) of the cheapest path over given nodes in order; empty if a leg has none."""
+    pairs = list(zip(stops, stops[1:], strict=False))
+    nothing = _step_table(edges.sparkSession, edges, [])
+    if edges.count() > MAX_EDGES:
+        kind = dict(edges.dtypes)["src"]
+        legs = edges.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"leg int, source {kind}, target {kind}")
+        steps = cut(joined_steps(edges, legs, weight))
+        there = steps.select("leg").distinct().count()  # a leg from a node to itself needs no step
+        return steps if there == sum(a != b for a, b in pairs) else nothing
     graph, rows = pack(edges, weight)
     steps: list[tuple] = []
-    for leg, (a, b) in enumerate(zip(stops, stops[1:], strict=False)):
+    for leg, (a, b) in enumerate(pairs):
         i, j = graph.index(a), graph.index(b)
         if i < 0 or j < 0:
-            return None
+            return nothing
         best, via = graph.tree(i, {j})
         if j not in best:
-            return None
+            return nothing
         steps += _steps(rows, graph, graph.path(via, j), leg)
     return _step_table(edges.sparkSession, edges, steps)
 
 
-def route(m: GeoMap, points: list[tuple[float, float]], mode: str = "drive", optimize: str = "time", fix_reverse: bool = True) -> DataFrame | None:
-    """The steps of a route over (lat, lon) points in order; None if there is none."""
+def route(m: GeoMap, points: list[tuple[float, float]], mode: str = "drive", optimize: str = "time", fix_reverse: bool = True) -> DataFrame:
+    """The steps of a route over (lat, lon) points in order; empty if there is none."""
     edges = network.edges(m, mode, fix_reverse=fix_reverse).cache()
     return route_nodes(edges, _snapped(m, edges, points), "time_s" if optimize == "time" else "distance_m")
 
@@ -205,8 +248,37 @@ def directions(steps: DataFrame, coords: DataFrame, angle: float = 30.0) -> Data
     return out.unionByName(end).orderBy("no")
 
 
+def _joined_alternatives(edges: DataFrame, a, b, count: int, weight: str, too_alike: float) -> DataFrame:
+    """alternatives() by joins; the driver keeps the keys of the paths found, nothing of the graph."""
+    kind = dict(edges.dtypes)
+    key = ["src", "dst", "way_id", "pos"]
+    legs = edges.sparkSession.createDataFrame([(0, a, b)], f"leg int, source {kind['src']}, target {kind['src']}")
+    factor: dict[tuple, float] = {}
+    found: list[set] = []
+    out = _step_table(edges.sparkSession, edges, [])
+    for _ in range(max(1, 4 * count)):
+        if len(found) >= count:
+            break
+        dearer = edges.sparkSession.createDataFrame([(*k, v) for k, v in factor.items()], ", ".join(f"{c} {kind[c]}" for c in key) + ", factor double")
+        priced = cut(edges.join(F.broadcast(dearer), key, "left").withColumn("price", F.col(weight) * F.coalesce("factor", F.lit(1.0))).drop("factor"))  # edges of paths found
+        steps = cut(joined_steps(priced, legs, "price"))
+        line = priced.join(steps.select("src", "dst"), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min_by(F.struct("way_id", "pos"), F.struct("price", "way_id", "pos")).alias("k"))
+        path = {(r["src"], r["dst"], r["k"]["way_id"], r["k"]["pos"]) for r in line.collect()}  # one path
+        if not path:
+            break
+        alike = any(len(path & p) / len(path) > too_alike for p in found)
+        for k in path:
+            factor[k] = factor.get(k, 1.0) * (4 if alike else 2)
+        if not alike:
+            out = out.unionByName(steps.withColumn("leg", F.lit(len(found))))
+            found.append(path)
+    return out.withColumnRenamed("leg", "route")
+
+
 def alternatives(edges: DataFrame, a, b, count: int = 3, weight: str = "time_s", too_alike: float = 0.8) -> DataFrame:
     """(route, seq, src, dst, ...): the best path and others found by penalising the edges used so far (twice, four times if a path is too alike)."""
+    if edges.count() > MAX_EDGES:
+        return _joined_alternatives(edges, a, b, count, weight, too_alike)
     graph, rows = pack(edges, weight)
     i, j = graph.index(a), graph.index(b)
     cost, found, steps = graph.cost.copy(), [], []

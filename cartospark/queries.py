@@ -207,11 +207,7 @@ def category_rollup(m: GeoMap) -> DataFrame:
 _Q = "(list(v ORDER BY v))[1 + CAST(floor(count(*) * {}) AS BIGINT)]"
 
 
-@query(f"WITH x AS (SELECT s_acctbal AS v FROM supplier) SELECT {_Q.format('0.1e0')} AS p10, {_Q.format('0.5e0')} AS p50, {_Q.format('0.9e0')} AS p90, round(avg(v), 4) AS mean, min(v) AS lowest, max(v) AS highest, count(*) AS n FROM x")
-def quantiles(m: GeoMap) -> DataFrame:  # replaced below: it needs another table
-    raise NotImplementedError
-
-
+SQL["quantiles"] = f"WITH x AS (SELECT s_acctbal AS v FROM supplier) SELECT {_Q.format('0.1e0')} AS p10, {_Q.format('0.5e0')} AS p50, {_Q.format('0.9e0')} AS p90, round(avg(v), 4) AS mean, min(v) AS lowest, max(v) AS highest, count(*) AS n FROM x"
 QUERIES["quantiles"] = lambda spark, sf_dir: aggregates.index_quantiles(_table(spark, sf_dir, "supplier"), "s_acctbal").select("p10", "p50", "p90", F.round("mean", 4).alias("mean"), "lowest", "highest", "n")
 
 
@@ -563,35 +559,30 @@ def degree(m: GeoMap) -> DataFrame:
     return network.degrees(network.network(m)[1])
 
 
-def _slice(m: GeoMap, n: int = 200) -> GeoMap:
-    """The ways that the SQL of a few queries reads. Each of these has a query named _whole beside it, without SQL, over all ways."""
-    return m.with_(ways=m.ways.where(F.col("id") < n))
-
+def _pairs(mode: str, table: str = "g") -> str:
+    """SQL tables of the undirected simple graph of a mode: pairs a < b, and each node's neighbours (a, b) both ways."""
+    return f"{table} AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM seg JOIN way ON id = way_id WHERE tags['highway'] IN {_sql_in(C.MODE_ROADS[mode])}), u AS (SELECT a, b FROM {table} UNION SELECT b, a FROM {table})"
 
-_REACH = M.with_("way", "seg", recursive=True) + f", g AS (SELECT DISTINCT src, dst FROM seg JOIN way ON id = way_id WHERE way.id < 200 AND tags['highway'] IN {_sql_in(C.MODE_ROADS['drive'])}), u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), reach AS (SELECT a AS v, a AS r FROM u UNION SELECT v, b FROM reach JOIN u ON a = r)"
 
-
-@query(_REACH + " SELECT v AS id, min(r) AS component FROM reach GROUP BY v")
-def components(m: GeoMap) -> DataFrame:
-    return network.components(network.network(_slice(m))[1])
+def _comp(mode: str) -> str:
+    return M.with_("way", "seg", recursive=True) + f""", {_pairs(mode)},
+comp(v, c) USING KEY (v) AS (SELECT DISTINCT a, a FROM u UNION (SELECT u.b, min(comp.c) FROM comp JOIN u ON u.a = comp.v JOIN recurring.comp r ON r.v = u.b WHERE comp.c < r.c GROUP BY u.b))"""
 
 
-@query(_REACH + ", c AS (SELECT v, min(r) AS component FROM reach GROUP BY v) SELECT component, count(*) AS size, round(100.0e0 * count(*) / (SELECT count(*) FROM c), 2) AS pct FROM c GROUP BY component")
-def connectivity(m: GeoMap) -> DataFrame:
-    return network.connectivity(network.network(_slice(m))[1])
+_SIZES = " SELECT c AS component, count(*) AS size, round(100.0e0 * count(*) / (SELECT count(*) FROM comp), 2) AS pct FROM comp GROUP BY c"
 
 
-@query()
-def components_whole(m: GeoMap) -> DataFrame:
+@query(_comp("drive") + " SELECT v AS id, c AS component FROM comp")
+def components(m: GeoMap) -> DataFrame:
     return network.components(network.network(m)[1])
 
 
-@query()
-def connectivity_whole(m: GeoMap) -> DataFrame:
+@query(_comp("drive") + _SIZES)
+def connectivity(m: GeoMap) -> DataFrame:
     return network.connectivity(network.network(m)[1])
 
 
-@query()
+@query(_comp("all") + _SIZES)
 def components_all(m: GeoMap) -> DataFrame:
     """Sizes of the components of the whole walking network."""
     return network.connectivity(network.network(m, "all")[1])
@@ -601,49 +592,80 @@ def _stops(edges: DataFrame, n: int) -> list:
     return [r["src"] for r in edges.select("src").distinct().orderBy("src").limit(n).collect()]
 
 
-_SSSP = M.with_("way", "seg", recursive=True) + f""", s AS (SELECT src, dst, {M.hav('lon1', 'lat1', 'lon2', 'lat2', C.R_ROUND)} / ({_MODE_KMH} * 1000 / 3600) AS w, {_DIR} AS d FROM seg JOIN way ON id = way_id WHERE way.id < 60 AND tags['highway'] IN {_sql_in(C.MODE_ROADS['drive'])}),
-e AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM s WHERE d >= 0 UNION ALL SELECT dst, src, w FROM s WHERE d <= 0) GROUP BY src, dst),
-root AS (SELECT min(src) AS r FROM e),
-walk AS (SELECT r AS node, 0.0e0 AS cost, [r] AS path FROM root UNION ALL SELECT dst, cost + w, list_append(path, dst) FROM walk JOIN e ON src = node WHERE NOT list_contains(path, dst) AND len(path) < 14)"""
+def _edge_sql(mode: str, directed: bool = True) -> str:
+    """SQL tables s and e: a mode's segments, and its edges with metres m and seconds t."""
+    speeds = C.MODE_SPEEDS[mode]
+    kmh = "CASE " + " ".join(f"WHEN tags['highway'] = '{k}' THEN {v}.0e0" for k, v in speeds.items() if k != "default") + f" ELSE {speeds['default']}.0e0 END"
+    one = directed and mode == "drive"
+    rows = f"s AS (SELECT src, dst, way_id, pos, tags['highway'] AS highway, tags['name'] AS name, {M.hav('lon1', 'lat1', 'lon2', 'lat2', C.R_ROUND)} AS m, {kmh} AS kmh, {_DIR if one else 0} AS d FROM seg JOIN way ON id = way_id WHERE tags['highway'] IN {_sql_in(C.MODE_ROADS[mode])})"
+    cols = "way_id, pos, highway, name, m, m / (kmh * 1000 / 3600) AS t"
+    return rows + f", e AS (SELECT src, dst, {cols} FROM s WHERE d >= 0 UNION ALL SELECT dst, src, {cols} FROM s WHERE d <= 0)"
 
 
-@query(_SSSP + " SELECT node, round(min(cost), 1) AS cost FROM walk GROUP BY node")
-def sssp_time(m: GeoMap) -> DataFrame:
-    e = network.edges(_slice(m, 60))
-    return routing.relax(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
+def _best(mode: str, roots: str, weight: str = "t", bound: float | None = None, directed: bool = True) -> str:
+    """SQL table best(source, node, cost, metres, prev): shortest paths from the sources in the table that ``roots`` selects."""
+    within = "" if bound is None else f" AND b.cost + x.w <= {bound}e0"
+    return M.with_("way", "seg", recursive=True) + f""", {_edge_sql(mode, directed)}, x AS (SELECT src, dst, min({weight}) AS w, arg_min(m, {weight}) AS m FROM e GROUP BY src, dst), roots(r) AS ({roots}),
+best(source, node, cost, metres, prev) USING KEY (source, node) AS (SELECT r, r, 0.0e0, 0.0e0, CAST(NULL AS BIGINT) FROM roots UNION (
+    SELECT b.source, x.dst, min(b.cost + x.w), arg_min(b.metres + x.m, b.cost + x.w), arg_min(b.node, b.cost + x.w) FROM best b JOIN x ON x.src = b.node LEFT JOIN recurring.best o ON o.source = b.source AND o.node = x.dst
+    WHERE (o.cost IS NULL OR b.cost + x.w < o.cost){within} GROUP BY b.source, x.dst))"""
 
 
-@query(_SSSP + " SELECT node, round(min(cost), 1) AS cost FROM walk GROUP BY node")
-def sssp_packed(m: GeoMap) -> DataFrame:
-    e = network.edges(_slice(m, 60))
-    return routing.costs(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
+_FIRST = "SELECT src FROM (SELECT DISTINCT src FROM e) ORDER BY src LIMIT "
 
 
-@query()
-def sssp_time_whole(m: GeoMap) -> DataFrame:
+@query(_best("drive", _FIRST + "1") + " SELECT node, round(cost, 1) AS cost FROM best")
+def sssp_time(m: GeoMap) -> DataFrame:
     e = network.edges(m)
     return routing.relax(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
 
 
-@query()
-def sssp_packed_whole(m: GeoMap) -> DataFrame:
+@query(_best("drive", _FIRST + "1") + " SELECT node, round(cost, 1) AS cost FROM best")
+def sssp_packed(m: GeoMap) -> DataFrame:
     e = network.edges(m)
     return routing.costs(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
 
 
-@query()
+@query(_best("drive", _FIRST + "6") + " SELECT o.r AS origin, d.r AS destination, round(cost, 1) AS cost, round(metres, 1) AS distance_m FROM roots o CROSS JOIN roots d LEFT JOIN best ON source = o.r AND node = d.r")
 def distance_matrix(m: GeoMap) -> DataFrame:
     e = network.edges(m)
     return routing.distance_matrix(e, _stops(e, 6)).select("origin", "destination", F.round("cost", 1).alias("cost"), F.round("distance_m", 1).alias("distance_m"))
 
 
-@query()
+def _route_sql(weight: str = "t") -> str:
+    """SQL tables best, legs and steps: the route over the four nodes with the smallest ids."""
+    return _best("drive", _FIRST + "4", weight, directed=False) + f""", legs AS (SELECT row_number() OVER (ORDER BY r) - 1 AS leg, r AS a, lead(r) OVER (ORDER BY r) AS b FROM roots),
+back(leg, a, node, prev, k) AS (SELECT leg, a, node, prev, 0 FROM legs JOIN best ON source = a AND node = b UNION ALL SELECT leg, a, best.node, best.prev, k + 1 FROM back JOIN best ON best.source = a AND best.node = back.prev),
+line AS (SELECT src, dst, arg_min(struct_pack(way_id := way_id, highway := highway, name := name, m := m, t := t), struct_pack(w := {weight}, i := way_id, p := pos)) AS l FROM e GROUP BY src, dst),
+steps AS (SELECT leg, max(k) OVER (PARTITION BY leg) - 1 - k AS seq, prev AS src, node AS dst, l.way_id AS way_id, l.highway AS highway, l.name AS name, l.m AS distance_m, l.t AS time_s FROM back JOIN line ON src = prev AND dst = node),
+fits AS (SELECT (SELECT count(*) FROM legs WHERE b IS NOT NULL) = (SELECT count(DISTINCT leg) FROM back) AS fits)"""
+
+
+_ROUTE = _route_sql() + " SELECT CAST(leg AS INT) AS leg, CAST(row_number() OVER (PARTITION BY leg ORDER BY seq) - 1 AS INT) AS seq, src, dst, way_id, round(distance_m, 1) AS distance_m FROM steps, fits WHERE fits"
+
+
+@query(_ROUTE)
 def route(m: GeoMap) -> DataFrame:
     e = network.edges(m, directed=False)
     return routing.route_nodes(e, _stops(e, 4)).select("leg", "seq", "src", "dst", "way_id", F.round("distance_m", 1).alias("distance_m"))
 
 
-@query()
+@query(_ROUTE)
+def route_joined(m: GeoMap) -> DataFrame:
+    """The way for networks of any size."""
+    e = network.edges(m, directed=False)
+    stops = _stops(e, 4)
+    kind = dict(e.dtypes)["src"]
+    legs = e.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(stops, stops[1:], strict=False))], f"leg int, source {kind}, target {kind}")
+    return routing.joined_steps(e, legs).select("leg", "seq", "src", "dst", "way_id", F.round("distance_m", 1).alias("distance_m"))
+
+
+@query(_route_sql() + ", t AS (SELECT leg, seq, coalesce(name, highway) AS street, distance_m, time_s, " + M.bearing("p.lon", "p.lat", "q.lon", "q.lat") + """ AS b FROM steps JOIN coord p ON p.id = src JOIN coord q ON q.id = dst, fits WHERE fits),
+turned AS (SELECT *, fmod(b - lag(b) OVER w + 540 + 360, 360) - 180 AS turn, lag(street) OVER w AS before FROM t WINDOW w AS (ORDER BY leg, seq)),
+runs AS (SELECT *, sum(CASE WHEN before IS NULL OR street <> before OR abs(turn) > 30 THEN 1 ELSE 0 END) OVER (ORDER BY leg, seq) AS no FROM turned),
+per AS (SELECT no, arg_min(struct_pack(turn := turn), struct_pack(a := leg, b := seq)).turn AS turn, min(street) AS name, sum(distance_m) AS distance_m FROM runs GROUP BY no)
+SELECT CAST(no AS BIGINT) AS no, CASE WHEN turn IS NULL THEN 'Start on ' || name ELSE CASE WHEN abs(turn) < 20 THEN 'Continue straight' WHEN abs(turn) > 150 THEN 'Make a U-turn' WHEN abs(turn) > 70 THEN 'Turn ' || CASE WHEN turn > 0 THEN 'right' ELSE 'left' END ELSE 'Bear ' || CASE WHEN turn > 0 THEN 'right' ELSE 'left' END END || ' onto ' || name END AS instruction, name, round(distance_m, 1) AS distance_m FROM per
+UNION ALL SELECT CAST(max(no) + 1 AS BIGINT), 'Arrive at destination', NULL, 0.0e0 FROM per""")
 def directions(m: GeoMap) -> DataFrame:
     e = network.edges(m, directed=False)
     return routing.directions(routing.route_nodes(e, _stops(e, 4)), m.coords).select("no", "instruction", "name", F.round("distance_m", 1).alias("distance_m"))
@@ -655,7 +677,14 @@ def alternatives(m: GeoMap) -> DataFrame:
     return routing.alternatives(e, *_stops(e, 2)).select("route", "seq", "src", "dst", F.round("distance_m", 1).alias("distance_m"))
 
 
-@query()
+def _reached(mode: str, minutes: tuple[float, ...]) -> str:
+    """SQL table reached(id, cost, lat, lon, zone) of an isochrone around the point."""
+    zone = "CASE " + " ".join(f"WHEN cost <= {t * 60}e0 THEN {t}e0" for t in sorted(minutes)) + " END"
+    start = f"SELECT id FROM coord WHERE id IN (SELECT src FROM e UNION SELECT dst FROM e) ORDER BY {M.hav(f'({LON}e0)', f'{LAT}e0', 'lon', 'lat', C.R_MEAN)}, id LIMIT 1"
+    return _best(mode, start, bound=max(minutes) * 60) + f", reached AS (SELECT id, cost, lat, lon, {zone} AS zone FROM best JOIN coord ON id = node)"
+
+
+@query(_reached("drive", (240.0, 480.0)) + " SELECT id, round(cost, 1) AS cost, zone FROM reached")
 def isochrone(m: GeoMap) -> DataFrame:
     reached, _ = routing.isochrone(m, LAT, LON, [240.0, 480.0], "drive")
     return reached.select("id", F.round("cost", 1).alias("cost"), "zone")
@@ -667,27 +696,38 @@ def isochrone_bins(m: GeoMap) -> DataFrame:
     return rings.select("zone", "bin", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query()
+_POI = features.SPECS["catchment_poi"]
+
+
+@query(
+    _reached("drive", (240.0, 480.0)) + ", " + M.CTES["node"] + f""", poi AS (SELECT id, lat, lon, {T.sql(_POI.kind)} AS category FROM node WHERE {T.sql(_POI.where)}),
+per AS (SELECT poi.id, category, min(cost + {M.hav('poi.lon', 'poi.lat', 'r.lon', 'r.lat', C.R_ROUND)} / (5000 / 3600e0)) AS cost_s FROM poi JOIN reached r ON {M.hav('poi.lon', 'poi.lat', 'r.lon', 'r.lat', C.R_ROUND)} <= 3000 GROUP BY ALL)
+SELECT id, category, round(cost_s, 1) AS cost_s, CASE WHEN cost_s <= 14400 THEN 240.0e0 ELSE 480.0e0 END AS zone FROM per WHERE cost_s <= 28800"""
+)
 def catchment(m: GeoMap) -> DataFrame:
     return routing.catchment(m, LAT, LON, [240.0, 480.0], "drive", 3000.0).select("id", "category", F.round("cost_s", 1).alias("cost_s"), "zone")
 
 
-_BRIDGE = M.with_("way", "seg", recursive=True) + f""", g AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM seg JOIN way ON id = way_id WHERE way.id < 30 AND tags['highway'] IN {_sql_in(C.MODE_ROADS['drive'])} AND src <> dst),
-u AS (SELECT a, b, a AS x, b AS y FROM g UNION ALL SELECT a, b, b, a FROM g),
-r AS (SELECT a, b, a AS v FROM g UNION SELECT r.a, r.b, u.y FROM r JOIN u ON u.x = r.v AND (u.a <> r.a OR u.b <> r.b))"""
+#: A breadth-first tree of every component: its edges (v, p), ancestors-or-self (v, a) with the child of a on the way, and the other edges.
+_TREE = _comp("drive") + """, bfs(v, lvl) USING KEY (v) AS (SELECT v, 0 FROM comp WHERE v = c UNION (SELECT DISTINCT u.b, bfs.lvl + 1 FROM bfs JOIN u ON u.a = bfs.v LEFT JOIN recurring.bfs o ON o.v = u.b WHERE o.v IS NULL)),
+par AS (SELECT y.v, min(x.v) AS p FROM bfs x JOIN u ON u.a = x.v JOIN bfs y ON y.v = u.b AND y.lvl = x.lvl + 1 GROUP BY y.v),
+anc(v, a, via) AS (SELECT v, v, CAST(NULL AS BIGINT) FROM comp UNION ALL SELECT anc.v, par.p, anc.a FROM anc JOIN par ON par.v = anc.a),
+other AS (SELECT a AS s, b AS t FROM g WHERE a < b AND NOT EXISTS (SELECT 1 FROM par WHERE (v = a AND p = b) OR (v = b AND p = a)))"""
 
 
-@query(_BRIDGE + " SELECT a, b FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = g.a AND r.b = g.b AND r.v = g.b)")
+@query(_TREE + ", over AS (SELECT DISTINCT a FROM (SELECT s, t, anc.a FROM other JOIN anc ON anc.v = s UNION ALL SELECT s, t, anc.a FROM other JOIN anc ON anc.v = t) GROUP BY s, t, a HAVING count(*) = 1) SELECT least(v, p) AS a, greatest(v, p) AS b FROM par WHERE v NOT IN (SELECT a FROM over)")
 def bridges(m: GeoMap) -> DataFrame:
-    return analysis.weak_points(network.network(_slice(m, 30))[1]).where("kind = 'bridge'").select("a", "b")
-
-
-@query()
-def bridges_whole(m: GeoMap) -> DataFrame:
     return analysis.weak_points(network.network(m)[1]).where("kind = 'bridge'").select("a", "b")
 
 
-@query()
+@query(
+    _TREE + """, blocks AS (SELECT p AS x, v AS k FROM par UNION ALL SELECT v, -1 FROM par),
+ends AS (SELECT s, t, anc.a AS x, via AS k FROM other JOIN anc ON anc.v = s UNION ALL SELECT s, t, anc.a, via FROM other JOIN anc ON anc.v = t),
+meet AS (SELECT x, min(k) AS k, CASE WHEN count(*) = 1 THEN -1 ELSE max(k) END AS l FROM ends WHERE x <> s AND x <> t GROUP BY s, t, x),
+near AS (SELECT DISTINCT x, k, l FROM meet WHERE k <> l UNION SELECT x, l, k FROM meet WHERE k <> l),
+same(x, k, c) USING KEY (x, k) AS (SELECT x, k, k FROM blocks UNION (SELECT near.x, near.l, min(same.c) FROM same JOIN near ON near.x = same.x AND near.k = same.k JOIN recurring.same o ON o.x = near.x AND o.k = near.l WHERE same.c < o.c GROUP BY near.x, near.l))
+SELECT x AS id, count(DISTINCT c) - 1 AS pieces FROM same GROUP BY x HAVING count(DISTINCT c) > 1"""
+)
 def articulation(m: GeoMap) -> DataFrame:
     return analysis.weak_points(network.network(m)[1]).where("kind = 'articulation'").select(F.col("a").alias("id"), "pieces")
 
@@ -738,7 +778,7 @@ def bike_car_nodes(m: GeoMap) -> DataFrame:
     return scores.bike_car_nodes(m, LAT, LON, 20_000.0)
 
 
-@query()
+@query(_reached("walk_map", (300.0, 900.0)) + " SELECT id, round(cost, 1) AS cost, zone FROM reached")
 def walk_isochrone(m: GeoMap) -> DataFrame:
     """The walking map's speeds."""
     reached, _ = routing.isochrone(m, LAT, LON, [300.0, 900.0], "walk_map")

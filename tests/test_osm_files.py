@@ -114,8 +114,8 @@ def test_merge_last_file_wins(spark, tmp_path):
 def test_oneway(spark, tmp_path, oneway, forward, back):
     m = load(spark, tmp_path, roads_xml([((0, 1), {"highway": "residential", "oneway": oneway})]))
     e = network.edges(m)
-    assert (routing.route_nodes(e, ["0", "1"]) is not None) == forward
-    assert (routing.route_nodes(e, ["1", "0"]) is not None) == back
+    assert (routing.route_nodes(e, ["0", "1"]).count() > 0) == forward
+    assert (routing.route_nodes(e, ["1", "0"]).count() > 0) == back
 
 
 def test_linear_ring_and_star(spark, tmp_path):

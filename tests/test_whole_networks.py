@@ -5,7 +5,7 @@ import math
 import pytest
 
 from cartospark import queries as maps
-from cartospark.operators import network, routing
+from cartospark.operators import analysis, network, routing
 from cartospark.plans.model import GeoMap
 
 #: A path into a triangle, a road apart, and one road with a small id.
@@ -15,7 +15,7 @@ PAIRS = {(min(a, b), max(a, b)) for refs in WAYS.values() for a, b in zip(refs,
 
 @pytest.fixture
 def roads(spark, monkeypatch):
-    coords = spark.createDataFrame([(i, 51.5 + 0.002 * (i % 4), -0.1 + 0.002 * (i // 4)) for i in range(1, 11)], "id long, lat double, lon double")
+    coords = spark.createDataFrame([(i, 51.5 + 0.002 * (i % 4) + 0.00003 * i * i, -0.1 + 0.002 * (i // 4) + 0.0001 * (i * i % 7)) for i in range(1, 11)], "id long, lat double, lon double")
     nodes = spark.createDataFrame([(1, 51.502, -0.1, {"amenity": "school"}, 1)], "id long, lat double, lon double, tags map<string,string>, ord long")
     ways = spark.createDataFrame([(i, r, {"highway": "residential", "name": "x"}, i) for i, r in WAYS.items()], "id long, node_refs array<long>, tags map<string,string>, ord long")
     m = GeoMap(nodes, coords, ways)
@@ -45,13 +45,13 @@ def shortest(edges, source, weight):
 def test_all_ways_are_read(spark, roads):
     run = lambda name: [tuple(r) for r in maps.QUERIES[name](spark, "").collect()]
     label = closure(PAIRS)
-    assert dict(run("components_whole")) == label
-    assert {c: n for c, n, _ in run("connectivity_whole")} == {c: list(label.values()).count(c) for c in set(label.values())}
-    assert set(run("bridges_whole")) == {p for p in PAIRS if closure(PAIRS - {p}) != label}
+    assert dict(run("components")) == label
+    assert {c: n for c, n, _ in run("connectivity")} == {c: list(label.values()).count(c) for c in set(label.values())}
+    assert set(run("bridges")) == {p for p in PAIRS if closure(PAIRS - {p}) != label}
     pieces = {i: len(set(closure({p for p in PAIRS if i not in p}, [j for j in range(1, 11) if j != i]).values())) - len(set(label.values())) for i in range(1, 11)}
     assert dict(run("articulation")) == {i: n for i, n in pieces.items() if n > 0}
     best = {i: round(c, 1) for i, (c, _) in shortest(network.edges(roads).collect(), 1, "time_s").items()}
-    assert dict(run("sssp_time_whole")) == dict(run("sssp_packed_whole")) == best and len(best) == 6
+    assert dict(run("sssp_time")) == dict(run("sssp_packed")) == best and len(best) == 6
     assert {(a, b) for a, b, c, _ in run("distance_matrix") if c is not None} == {(a, b) for a in range(1, 7) for b in range(1, 7)}
     assert [r[2:4] for r in run("route")] == [(1, 2), (2, 3), (3, 4)] and run("directions")[-1][1] == "Arrive at destination"
     assert {r[2:4] for r in run("alternatives")} == {(1, 2)} and len(run("detour")) > 0
@@ -72,3 +72,37 @@ def test_costs_beyond_the_packed_limit(spark, roads, monkeypatch):
     reached, _ = routing.isochrone(roads, 51.502, -0.1, [0.5, 1.0], "drive")
     costs = {i: c for i, (c, _) in shortest(rows, 1, "time_s").items() if c <= 60}
     assert {r["id"]: r["cost"] for r in reached.collect()} == pytest.approx(costs)
+
+
+def test_paths_beyond_the_packed_limit(spark, roads, monkeypatch):
+    """Routes and alternatives by joins are those of the packed graph, and a leg without a path leaves none."""
+    e = network.edges(roads, directed=False)
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    stops = [[1, 6, 2], [1, 7]]
+    packed = [plain(routing.route_nodes(e, s)) for s in stops], plain(routing.alternatives(e, 1, 5, 2))
+    assert [len(x) > 0 for x in packed[0]] == [True, False]
+    monkeypatch.setattr(routing, "MAX_EDGES", 3)
+    assert ([plain(routing.route_nodes(e, s)) for s in stops], plain(routing.alternatives(e, 1, 5, 2))) == packed
+
+
+def test_betweenness_and_detours_by_brute_force(spark, roads):
+    """Shares of all shortest paths, path by path; the roads have no two equal ones."""
+    e = network.edges(roads, directed=False)
+    rows = e.collect()
+    through = dict.fromkeys(range(1, 11), 0.0)
+    for a in range(1, 11):
+        best = {a: (0.0, [a])}
+        for _ in range(12):
+            for r in rows:
+                if r["src"] in best:
+                    d, p = best[r["src"]]
+                    best[r["dst"]] = min(best.get(r["dst"], (math.inf, [])), (d + r["distance_m"], [*p, r["dst"]]))
+        for b, (_, p) in best.items():
+            for v in p[1:-1]:
+                through[v] += (b != a) / (9 * 8)
+    got = {r["id"]: r["betweenness"] for r in analysis.betweenness(e).collect()}
+    assert got == pytest.approx(through)
+    out = analysis.detours(e, roads.coords, 20).collect()
+    for r in out:
+        assert r["network_m"] == pytest.approx(shortest(rows, r["origin"], "distance_m")[r["destination"]][0]) and r["factor"] == pytest.approx(r["network_m"] / r["straight_m"]) and r["straight_m"] >= 100
+    assert out and {r["origin"] for r in out} <= set(range(1, 7))
