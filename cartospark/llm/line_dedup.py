@@ -1,13 +1,18 @@
 """Line dedup with content-defined line chunks.
 
-A text's lines are cut into chunks where a rolling hash over the hashes of two
-neighbouring lines meets a condition, so an insertion or deletion shifts no
-boundary further on. A long line is a chunk of its own. A chunk of several
-lines (or one long line) that a document with a smaller doc_id has, byte for
-byte, or that stands earlier in its own document, is removed; the first stays.
-
-Only DataFrame functions run: chunks are grouped by hash and bytes, with sums
-made before the shuffle, and the verdicts join back to the texts once.
+A rolling hash over the hashes of two neighbouring lines (blank ones apart)
+stands at every line end. Where the corpus has that hash more than once, the
+two lines belong together; elsewhere a text is cut. So the boundaries depend on
+the lines beside them only, an insertion shifts none, and a repeated passage is
+one chunk from its first line to its last, whatever stands around it. A chunk
+of several lines whose every rolling hash stands earlier, in a document before
+or higher up in the same one, is removed; so is a line of LONG words or more
+that does. Of every line the first instance stays.
+
+Hashes are grouped with the bytes of the line (of a pair, the later line; the
+shorter one beside a long line), and a hash that two different lines share
+removes nothing. Only DataFrame functions run: sums are made before the
+shuffle, and what is repeated joins back to the texts once.
 """
 
 from __future__ import annotations
@@ -17,10 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, WORD, cut, let, without
 
-#: One in MEAN line ends is a boundary; words of a long line; words of the shortest chunk that is removed.
-MEAN, LONG, LEAST = 4, 40, 12
-#: Characters that count as a word where blanks are rare: scripts without them.
-CHARS = 10
+#: Words of a line that is removed by itself; characters that count as a word where blanks are rare (scripts without them).
+LONG, CHARS = 40, 10
 
 
 def _words(line: Column) -> Column:
@@ -32,55 +35,79 @@ def _words(line: Column) -> Column:
     return F.greatest(count, F.floor(F.length(line) / CHARS).cast("int"))
 
 
-def chunks(text: Column) -> Column:
-    """array<struct<text, h, lines, removable>> of a text, in order; joined by line ends they are the text."""
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    def make(lines: Column, hashes: Column, words: Column) -> Column:
-        last = F.size(lines) - 1
-        rolls = lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(MEAN)) == 0
-        wide = lambda i: F.get(words, i) >= LONG
-        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | wide(i) | wide(i + 1) | rolls(i))
 
-        def one(e: Column, k: Column, ends: Column) -> Column:
-            start = F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 1
-            whole = F.array_join(F.slice(lines, start + 1, e - start + 1), "\n")
-            total = F.aggregate(F.slice(words, start + 1, e - start + 1), F.lit(0), lambda s, w: s + w)
-            return F.struct(whole.alias("text"), F.xxhash64(whole).alias("h"), (e - start + 1).alias("lines"), (((e > start) | wide(e)) & (total >= LEAST)).alias("removable"))
+def items(text: Column, with_bytes: bool) -> Column:
+    """array<struct<h, a, b[, bytes]>>: the rolling hash of each two neighbouring lines a and b that are not blank, and the hash of each long line (a = b).
 
-        return let(ends, lambda es: F.transform(es, lambda e, k: one(e, k, es)))
+    Two long lines have no common hash: each is looked at by itself.
+    """
+    filled = lambda x: (x != "") & x.rlike(r"[^\x20\x09-\x0D]")
+    long = lambda x: (F.length(x) >= 2 * LONG - 1) & ((F.length(x) >= CHARS * LONG) | (_words(x) >= LONG))
+    made = F.transform(_lines(text), lambda x, i: F.when(filled(x), F.struct(i.alias("i"), F.xxhash64(x).alias("h"), long(x).alias("long"), x.alias("t"))))
+
+    def item(h: Column, a: Column, b: Column, bytes_: Column) -> Column:
+        return F.struct(h.alias("h"), a.alias("a"), b.alias("b"), *([bytes_.alias("bytes")] if with_bytes else []))
+
+    def of(lines: Column) -> Column:
+        def both(x: Column, j: Column) -> Column:
+            before = F.get(lines, j - 1)
+            pair = F.when((j > 0) & ~(x["long"] & before["long"]), item(F.xxhash64(before["h"], x["h"]), before["i"], x["i"], F.when(x["long"], before["t"]).otherwise(x["t"])))
+            return F.array(pair, F.when(x["long"], item(F.xxhash64(x["h"], F.lit(LONG)), x["i"], x["i"], x["t"])))
+
+        return F.array_compact(F.flatten(F.transform(lines, both)))
+
+    return let(F.array_compact(made), of)
+
+
+def _cuts(found: Column) -> Column:
+    """array<struct<a, b>>: first and last lines of the chunks to remove, from the repeated items of a text."""
+    by_hash = F.array_sort(F.transform(found, lambda x: F.struct(x["h"].alias("h"), x["a"].alias("a"), x["b"].alias("b"), x["early"].alias("early"))))
+    again = lambda s: F.transform(s, lambda x, i: F.when(x["early"] | F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)), F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.transform(F.filter(F.transform(s, lambda x, i: F.struct(x["a"].alias("v"), F.coalesce(F.get(s, i - 1)["b"] >= x["a"], F.lit(False)).alias("on"))), lambda x: ~x["on"]), lambda x: x["v"])
+        ends = F.transform(F.filter(F.transform(s, lambda x, i: F.struct(x["b"].alias("v"), F.coalesce(F.get(s, i + 1)["a"] <= x["b"], F.lit(False)).alias("on"))), lambda x: ~x["on"]), lambda x: x["v"])
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return let(lines, lambda x: let(F.struct(F.transform(x, lambda v: F.xxhash64(v)).alias("h"), F.transform(x, _words).alias("w")), lambda y: make(x, y["h"], y["w"])))
+    return let(let(by_hash, lambda s: F.array_sort(F.array_compact(again(s)))), runs)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks removed from ``text``, and n_lines, n_chunks, n_removed_chunks, n_removed_lines added.
+    """``docs`` with repeated chunks removed from ``text``, and n_lines, n_removed_chunks, n_removed_lines added.
 
-    Every row stays; a text of which all chunks go is empty, a null text stays
-    null. Rows of one doc_id count as one document, null ids as one document
-    that comes last. Empty texts have one empty line. Columns named like the
+    Every row stays; a text of which all lines go is empty, a null text stays
+    null. Documents come in order of doc_id, null ids last; rows of equal ids
+    (or without one) are documents of their own, in order of a hash of the text,
+    and of equal rows one keeps its lines. Blank lines are removed only between
+    lines of a chunk. Empty texts have one empty line. Columns named like the
     added ones are replaced; all others are carried over.
     """
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    made = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    made = ("n_lines", "n_removed_chunks", "n_removed_lines")
     docs = docs.drop(*made)
-    parts = docs.select(order.alias("_o"), F.explode(F.filter(chunks(F.col(text_col).cast("string")), lambda c: c["removable"])).alias("c"))
-    seen = parts.groupBy(F.col("c.h").alias("h"), F.col("c.text").alias("bytes")).agg(F.min("_o").alias("first"), F.count(F.lit(1)).alias("n"))
-    # a hash of two different chunks would be ambiguous below: none of them goes
-    repeated = seen.groupBy("h").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("texts = 1 and n > 1").select("h", "first")
-    repeated = cut(repeated)
-    light = docs.select(order.alias("_o"), F.explode(F.array_distinct(F.transform(F.filter(chunks(F.col(text_col).cast("string")), lambda c: c["removable"]), lambda c: c["h"]))).alias("h"))
-    drops = light.join(repeated, "h").groupBy("_o").agg(F.collect_set(F.when(F.col("_o") != F.col("first"), F.col("h"))).alias("_gone"), F.collect_set(F.when(F.col("_o") == F.col("first"), F.col("h"))).alias("_once"))
-    none = F.expr("cast(array() as array<bigint>)")
-    joined = docs.withColumn("_o", order).join(drops, "_o", "left").withColumn("_gone", F.coalesce("_gone", none)).withColumn("_once", F.coalesce("_once", none))
-
-    def verdict(cs: Column) -> Column:
-        hashes = F.transform(cs, lambda c: F.when(c["removable"], c["h"]))
-        return let(hashes, lambda hs: F.transform(cs, lambda c, i: F.struct(c["text"].alias("text"), c["lines"].alias("lines"), (c["removable"] & (F.array_contains("_gone", c["h"]) | (F.array_contains("_once", c["h"]) & (F.array_position(hs, c["h"]) - 1 < i)))).alias("gone"))))
-
-    judged = joined.withColumn("_c", let(chunks(F.col(text_col).cast("string")), verdict))
-    kept = F.filter("_c", lambda c: ~c["gone"])
-    gone = F.filter("_c", lambda c: c["gone"])
-    lines = lambda a: F.aggregate(a, F.lit(0), lambda s, c: s + c["lines"]).cast("long")
-    columns = [F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(kept, lambda c: c["text"]), "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return judged.select(*columns, lines(F.col("_c")).alias("n_lines"), F.size("_c").cast("long").alias("n_chunks"), F.size(gone).cast("long").alias("n_removed_chunks"), lines(gone).alias("n_removed_lines"))
+    text, order = F.col(text_col).cast("string"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    twice = docs.select(order.alias("o")).groupBy("o").agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 or o = {(1 << 63) - 1}")
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    if twice.isEmpty():
+        keyed = docs.select(order.alias("key"), row, text.alias("text"))
+    else:
+        keyed = cut(docs.select(F.struct(order.alias("o"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("no")).alias("key"), row, text.alias("text")))
+    seen = keyed.select("key", F.explode(items(F.col("text"), True)).alias("x")).groupBy(F.col("x.h").alias("h"), F.col("x.bytes").alias("bytes")).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
+    # a hash of two different lines would be ambiguous below: none of them goes
+    repeated = cut(seen.groupBy("h").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("texts = 1 and n > 1").select("h", "first"))
+    light = keyed.select("key", F.explode(items(F.col("text"), False)).alias("x")).select("key", "x.h", "x.a", "x.b")
+    marked = light.join(repeated, "h").groupBy("key").agg(F.collect_list(F.struct("h", "a", "b", (F.col("first") < F.col("key")).alias("early"))).alias("found"))
+    joined = keyed.select("key", "row").join(marked, "key", "left")
+
+    t = F.col("row")[text_col].cast("string")
+    none = F.expr("cast(array() as array<struct<a: int, b: int>>)")
+    judged = joined.select("row", _lines(t).alias("lines"), F.when(F.col("found").isNull(), none).otherwise(_cuts(F.col("found"))).alias("cuts"))
+    # what stays: the lines before each cut and after the last one
+    after = lambda i: F.coalesce(F.get("cuts", i - 1)["b"] + 1, F.lit(0))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.slice("lines", after(i) + 1, F.greatest(F.lit(0), F.coalesce(F.get("cuts", i)["a"], F.size("lines")) - after(i))))
+    kept = F.when(F.col("row")[text_col].isNotNull(), F.when(F.size("cuts") == 0, F.col("row")[text_col].cast("string")).otherwise(F.array_join(F.flatten(pieces), "\n")))
+    gone = F.aggregate("cuts", F.lit(0).cast("long"), lambda s, c: s + c["b"] - c["a"] + 1)
+    columns = [(kept if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
+    return judged.select(*columns, F.size("lines").cast("long").alias("n_lines"), F.size("cuts").cast("long").alias("n_removed_chunks"), gone.alias("n_removed_lines"))
