@@ -1,15 +1,18 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
-Fixed base rules reject outright. The method's own rules reject a document when
-a measured share is above a cutoff, and the cutoffs come from labelled
-documents: per stratum (language) and rule, candidate cutoffs are tested from
-the loosest to stricter ones, each by the exact binomial test of "more than
-RISK / rules of the good documents would be rejected". Testing stops at the
-first cutoff that fails, so a chain needs no correction within itself; the
-error ALPHA is divided by the number of chains (strata x rules, Bonferroni).
-Of the certified cutoffs the loosest with most rejected bad documents is used;
-a rule without one rejects nothing. With probability 1 - ALPHA no stratum's
-rules together reject more than RISK of its good documents.
+Fixed base rules reject outright. The method's own rules each measure a share
+of a document, scaled so that equal values are about equally bad, and the
+largest of them is the document's score. A document is rejected when its score
+is above its stratum's cutoff, by the rules whose values are. The cutoffs come
+from labelled documents: per stratum (language) the CUTOFFS are tested from the
+loosest to stricter ones, each by the exact binomial test of "more than RISK of
+the good documents would be rejected". Testing stops at the first that fails,
+so a stratum's chain needs no correction within itself, and as one test speaks
+for all rules together, none is needed between rules; the error ALPHA is
+divided by the number of strata (Bonferroni). Of the certified cutoffs the one
+that rejects most bad documents net of good ones is used, the loosest of
+equals; a stratum without one has base rules only. With probability 1 - ALPHA
+no stratum's cutoff rejects more than RISK of its good documents.
 
 Everything is DataFrame functions; the binomial tail is summed in logarithms.
 """
@@ -22,11 +25,12 @@ from pyspark.sql.window import Window
 
 from .common import BLANKS, WORD, cut, let, small, without
 
-#: Largest share of good documents of a stratum that the rules together may reject, and the chance of failing that.
+#: Largest share of a stratum's good documents that its cutoff may reject, and the chance of failing that in any stratum.
 RISK, ALPHA = 0.02, 0.05
-RULES = ("symbols", "dup_lines", "repeats", "shouts", "capitals", "long_words")
-#: Cutoffs tested, from loose to strict; the shares lie between 0 and 1.
-CUTOFFS = tuple(round(1 - i / 20, 2) for i in range(1, 20)) + (0.03, 0.02, 0.01)
+#: Rules and the scale of each: the share is multiplied by it.
+RULES = {"symbols": 5, "dup_lines": 1, "repeats": 1, "shouts": 2, "capitals": 1, "long_words": 2}
+#: Cutoffs tested, from loose to strict.
+CUTOFFS = tuple(round(1 - i / 20, 2) for i in range(1, 20)) + (0.04, 0.03, 0.02, 0.01)
 SYMBOLS = "#*$%&|<>"
 
 
@@ -92,28 +96,31 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < 1, start["s"]).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step)["s"])
 
 
+def score() -> Column:
+    """The largest scaled share."""
+    return F.greatest(*(F.col(k) * n for k, n in RULES.items()))
+
+
 def thresholds(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(stratum, cutoffs: map rule -> cutoff) from labelled documents that the base rules keep.
+    """(stratum, cutoff, n, lost, caught) from labelled documents that the base rules keep: the certified cutoff, good documents, and good and bad ones that it rejects.
 
     Labels other than 0 and 1, and null ids, are left out; of several labels of
     a document the lowest counts.
     """
     good = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).where("doc_id is not null and good in (0, 1)").groupBy("doc_id").agg(F.min("good").alias("good"))
-    rows = feats.where("not base_failed").join(good, "doc_id").select("stratum", "good", F.explode(F.create_map(*(x for k in RULES for x in (F.lit(k), F.col(k))))).alias("rule", "share"))
-    # the number of cutoffs below a share: those reject it
-    under = F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: c < F.col("share")))
-    counts = rows.select("stratum", "rule", "good", under.alias("under")).where("under >= 0").groupBy("stratum", "rule", "under").agg(F.count_if(F.col("good") == 1).alias("g"), F.count_if(F.col("good") == 0).alias("b"))
-    chain = Window.partitionBy("stratum", "rule").orderBy("cutoff_no")
-    grid = counts.groupBy("stratum", "rule").agg(F.sum("g").alias("n"), F.collect_list(F.struct("under", "g", "b")).alias("bins")).withColumn("cutoff_no", F.explode(F.sequence(F.lit(1), F.lit(len(CUTOFFS)))))
-    # cutoff j (from 1, loose first) rejects a share that more than len - j cutoffs are below
+    # the number of cutoffs below a score: those reject it
+    under = F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: c < F.col("score")))
+    rows = feats.where("not base_failed").select("doc_id", "stratum", score().alias("score")).join(good, "doc_id").select("stratum", "good", under.alias("under"))
+    counts = rows.groupBy("stratum", "under").agg(F.count_if(F.col("good") == 1).alias("g"), F.count_if(F.col("good") == 0).alias("b"))
+    chain = Window.partitionBy("stratum").orderBy("cutoff_no")
+    grid = counts.groupBy("stratum").agg(F.sum("g").alias("n"), F.collect_list(F.struct("under", "g", "b")).alias("bins")).withColumn("cutoff_no", F.explode(F.sequence(F.lit(1), F.lit(len(CUTOFFS)))))
+    # cutoff j (from 1, loose first) rejects a score that more than len - j cutoffs are below
     hit = lambda f: F.aggregate(F.filter("bins", lambda b: b["under"] > F.lit(len(CUTOFFS)) - F.col("cutoff_no")), F.lit(0).cast("long"), lambda s, b: s + b[f])
-    grid = grid.select("stratum", "rule", "n", "cutoff_no", hit("g").alias("k"), hit("b").alias("caught"), F.element_at(F.array(*map(F.lit, CUTOFFS)), F.col("cutoff_no")).alias("cutoff"))
+    grid = grid.select("stratum", "n", "cutoff_no", hit("g").alias("lost"), hit("b").alias("caught"), F.element_at(F.array(*map(F.lit, CUTOFFS)), F.col("cutoff_no")).alias("cutoff"))
     grid = grid.crossJoin(F.broadcast(grid.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))))
-    risk = RISK / len(RULES)
-    passed = (F.col("k") <= F.col("n") * risk) & (binomial_tail(F.col("k"), F.col("n"), risk) <= ALPHA / (F.col("strata") * len(RULES)))
-    certified = grid.withColumn("passed", F.coalesce(passed, F.lit(False))).withColumn("ok", F.min("passed").over(chain)).where("ok and caught > 0")
-    best = certified.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("caught", -F.col("cutoff_no"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    passed = (F.col("lost") <= F.col("n") * RISK) & (binomial_tail(F.col("lost"), F.col("n"), RISK) <= ALPHA / F.col("strata"))
+    certified = grid.withColumn("passed", F.coalesce(passed, F.lit(False))).withColumn("ok", F.min("passed").over(chain)).where("ok and caught > lost")
+    return certified.groupBy("stratum").agg(F.max_by(F.struct("cutoff", "n", "lost", "caught"), F.struct(F.col("caught") - F.col("lost"), -F.col("cutoff_no"))).alias("best")).select("stratum", "best.*")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -124,13 +131,10 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     else the verdict of the certified cutoffs. Null and empty texts have no
     words and fail. Null strata are one stratum, ids may be null or repeat,
     without labels only the base rules reject; ``keep`` names columns to carry
-    over (as ``_<name>``), others are ignored.
+    over (as ``_<name>``), others are ignored. Every text is measured once.
     """
-    feats = features(docs, id_col, text_col, stratum_col, keep)
-    lean = feats if not keep else features(docs, id_col, text_col, stratum_col)
-    if not keep:
-        feats = lean = cut(feats)
-    limits = cut(thresholds(lean, labels))
+    feats = cut(features(docs, id_col, text_col, stratum_col, keep))
+    limits = cut(thresholds(feats, labels).select("stratum", "cutoff"))
     joined = feats.join(small(limits, limits.count()), "stratum", "left")
-    failed = F.array_compact(F.array(*(F.when(F.col(k) > F.element_at("cutoffs", F.lit(k)), F.lit(k)) for k in RULES)))
+    failed = F.array_compact(F.array(*(F.when(F.col(k) * n > F.col("cutoff"), F.lit(k)) for k, n in RULES.items())))
     return joined.select(*(f"_{c}" for c in keep), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", failed.alias("failed_rules")).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

@@ -89,11 +89,11 @@ SELECT sets.doc_id, len(s) AS n_shingles, (SELECT min(r) FROM reach WHERE v = se
 
 def _op7_sql() -> str:
     """Base measures and certified cutoffs in SQL, with the binomial tail from log-gamma."""
-    risk, error = quality.RISK / len(quality.RULES), quality.ALPHA
+    risk, error = quality.RISK, quality.ALPHA
     share = {"symbols": "n_symbols / word_chars", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words", "shouts": "n_shouts / word_chars", "capitals": "n_capitals / word_chars", "long_words": "n_long / n_words"}
-    shares = ", ".join(f"coalesce(CAST({v.split(' / ')[0]} AS DOUBLE) / nullif({v.split(' / ')[1]}, 0), 0.0e0) AS {k}" for k, v in share.items())
-    flat = " UNION ALL ".join(f"SELECT doc_id, stratum, '{k}' AS rule, {i} AS no, {k} AS share FROM f WHERE NOT base_failed" for i, k in enumerate(quality.RULES))
+    shares = ", ".join(f"{quality.RULES[k]} * coalesce(CAST({v.split(' / ')[0]} AS DOUBLE) / nullif({v.split(' / ')[1]}, 0), 0.0e0) AS {k}" for k, v in share.items())
     cutoffs = ", ".join(f"({i}, {c}e0)" for i, c in enumerate(quality.CUTOFFS, 1))
+    failed = ", ".join(f"CASE WHEN {k} > cutoff THEN '{k}' END" for k in quality.RULES)
     gone = lambda chars: f"length(t) - length(regexp_replace(t, '{chars}', '', 'g'))"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -106,19 +106,18 @@ m AS (
         coalesce(covered.n, 0) AS n_repeat_words, {gone('[!?]')} AS n_shouts, {gone('[A-Z]')} AS n_capitals, len(list_filter(w, lambda x: length(x) > 25)) AS n_long
     FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {shares} FROM m),
-flat AS ({flat}),
 good AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
 c(cutoff_no, cutoff) AS (VALUES {cutoffs}),
+scored AS (SELECT stratum, good, greatest({', '.join(quality.RULES)}) AS score FROM f JOIN good USING (doc_id) WHERE NOT base_failed),
 grid AS (
-    SELECT stratum, rule, cutoff_no, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND share > cutoff) AS k, count(*) FILTER (good = 0 AND share > cutoff) AS caught
-    FROM flat JOIN good USING (doc_id), c GROUP BY ALL),
+    SELECT stratum, cutoff_no, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND score > cutoff) AS k, count(*) FILTER (good = 0 AND score > cutoff) AS caught
+    FROM scored, c GROUP BY ALL),
 tail AS (
     SELECT *, k <= n * {risk!r}e0 AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}e0) + (n - i) * ln(1 - {risk!r}e0))) FROM (SELECT unnest(range(k + 1)) AS i))
-        <= {error}e0 / ((SELECT count(DISTINCT stratum) FROM grid) * {len(quality.RULES)}) AS passed FROM grid),
-ok AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, rule ORDER BY cutoff_no) AS ok FROM tail),
-best AS (SELECT stratum, rule, cutoff FROM ok WHERE ok AND caught > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught DESC, cutoff_no) = 1),
-failed AS (SELECT doc_id, string_agg(flat.rule, ',' ORDER BY no) AS rules FROM (SELECT doc_id, stratum, rule, no, share FROM flat UNION ALL SELECT doc_id, stratum, u.rule, u.no, u.share FROM f, LATERAL (SELECT unnest([{', '.join(f"{{'rule': '{k}', 'no': {i}, 'share': {k}}}" for i, k in enumerate(quality.RULES))}]) AS u) x(u) WHERE base_failed) flat JOIN best ON best.stratum = flat.stratum AND best.rule = flat.rule AND share > cutoff GROUP BY doc_id)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS failed_rules FROM f LEFT JOIN failed USING (doc_id)"""
+        <= {error}e0 / (SELECT count(DISTINCT stratum) FROM grid) AS passed FROM grid),
+ok AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum ORDER BY cutoff_no) AS ok FROM tail),
+best AS (SELECT stratum, cutoff FROM ok WHERE ok AND caught > k QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY caught - k DESC, cutoff_no) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND concat_ws(',', {failed}) = '' AS kept, concat_ws(',', {failed}) AS failed_rules FROM f LEFT JOIN best USING (stratum)"""
 
 
 ORACLE_SQL["op7_quality_rules"] = _op7_sql()

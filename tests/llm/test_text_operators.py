@@ -43,15 +43,44 @@ def test_binomial_tail(spark):
 
 
 def test_thresholds_are_certified(spark, docs, words):
-    """A rule is used only where enough good documents vouch for it, and then it rejects the bad ones."""
-    good = [(i, " ".join(words(i, 20)), "s", "en") for i in range(3000)]
-    bad = [(10_000 + i, "### ".join(words(i, 20)) + "###", "s", "en") for i in range(100)]
+    """A cutoff is used only where enough good documents vouch for it, and then it rejects the bad ones."""
+    good = [(i, " ".join(words(i, 20)), "s", "en") for i in range(300)]
+    bad = [(10_000 + i, "### ".join(words(i, 20)) + "###", "s", "en") for i in range(30)]
     few = [(20_000 + i, "### ".join(words(i, 20)) + "###", "s", "fr") for i in range(20)] + [(30_000 + i, " ".join(words(i, 20)), "s", "fr") for i in range(50)]
     rows = good + bad + few
     labels = spark.createDataFrame([(i, int(10_000 > i or i >= 30_000), 0) for i, *_ in rows] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.verdicts(docs(rows), labels).collect()
     kept = {r["doc_id"] for r in out if r["kept"]}
     assert kept >= {i for i, *_ in good + few} and not kept & {i for i, *_ in bad}
+    assert {tuple(r["failed_rules"]) for r in out if r["doc_id"] in {i for i, *_ in bad}} == {("symbols",)}
+
+
+def test_thresholds_like_brute_force(spark):
+    """Cutoffs of random scores, stratum by stratum, against the definition."""
+    import random
+
+    r, rows, labels = random.Random(8), [], []
+    for i in range(4000):
+        stratum = r.choice(["a", "a", "a", "b", "c"])
+        y = int(r.random() < 0.8)
+        rows.append((i, stratum, r.random() < 0.02, *(min(0.999, (0.05 if y else r.choice([0.05, 0.4])) * r.expovariate(1.0)) if k == 0 else 0.0 for k in range(len(quality.RULES)))))
+        if i % 2:
+            labels.append((i, y))
+    feats = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{k} double" for k in quality.RULES))
+    got = {x["stratum"]: tuple(x)[1:] for x in quality.thresholds(feats, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    want, y = {}, dict(labels)
+    for s in "abc":
+        seen = [(x[3], y[x[0]]) for x in rows if x[1] == s and not x[2] and x[0] in y]
+        n, best = sum(g for _, g in seen), None
+        for c in quality.CUTOFFS:
+            k, b = sum(g for x, g in seen if x > c), sum(1 - g for x, g in seen if x > c)
+            if k > n * quality.RISK or sum(comb(n, j) * quality.RISK**j * (1 - quality.RISK) ** (n - j) for j in range(k + 1)) > quality.ALPHA / 3:
+                break
+            if b > k and (best is None or b - k > best[3] - best[2]):
+                best = (c, n, k, b)
+        if best:
+            want[s] = best
+    assert got == want and want
 
 
 # --- licences
