@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BLANK = "▁"
-#: Chunks that a worker remembers at most, and the longest that the joint agenda takes.
-REMEMBERED, SHORT = 1_000_000, 40
+#: Bytes of chunks that a worker remembers at most, the longest chunk that it remembers, and the longest that the joint agenda takes.
+REMEMBERED, KEPT, SHORT = 256 << 20, 64, 40
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
@@ -78,6 +78,7 @@ class MergeCodec:
         if self.unk >= 0:
             self.text_of[self.unk] = " ⁇ ".encode()
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of it, with what Python adds to two objects
         self.check, self.differing = True, set()
 
     def _fallback(self, s: str) -> list[int]:
@@ -240,11 +241,17 @@ class MergeCodec:
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:
             new = list({chunks[i] for i in missing})
-            if len(self.known) + len(new) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.known.clear()
+                self.held = 0
             self._learn(new)
             for i in missing:
                 ids[i] = self.known[chunks[i]]
+            for c in new:
+                if len(c) > KEPT:  # whole texts without blanks are chunks, too
+                    del self.known[c]
+                else:
+                    self.held += 200 + 4 * len(c)
         bos, eos = (np.array([i], dtype="<u4").tobytes() for i in (self.bos, self.eos))
         return [bos + b"".join(ids[a:b]) + eos for a, b in pairwise(ends)]
 
