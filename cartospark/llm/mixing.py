@@ -94,14 +94,17 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     ``copies`` is between 0 and CAP. Null texts have size 0, documents of size 0
     take nothing and are settled by a draw of their own. Null sources form one
-    source, the last. Ids may be null or repeat (equal rows are interchangeable).
+    source, the last. Ids may be null or repeat: equal rows are numbered, so each
+    has draws of its own, and are interchangeable.
     An empty table gives none; other columns are ignored.
     """
     sizes = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size")))
     per = cut(source_targets(sizes))
     n = per.count()
-    rows = sizes.join(small(per, n), sizes["source"].eqNullSafe(per["source"])).select("doc_id", "size", "sid", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("c"))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "size", "sid", F.lit(SEED))).withColumn("p", F.col("c") - F.floor("c")).withColumn("cls", F.when(F.col("size") > 0, F.floor(F.log2("size"))).cast("int"))
+    alike = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("twins"))
+    numbered = alike.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "twins")).alias("twin"))
+    rows = numbered.join(small(per, n), numbered["source"].eqNullSafe(per["source"])).select("doc_id", "size", "twin", "sid", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("c"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "size", "sid", "twin", F.lit(SEED))).withColumn("p", F.col("c") - F.floor("c")).withColumn("cls", F.when(F.col("size") > 0, F.floor(F.log2("size"))).cast("int"))
     item = F.struct((-F.col("size")).alias("k"), "h", "doc_id", "size", "p")
     sure = rows.where("p = 0").select("sid", item.alias("d"))
     blank = rows.where("p > 0 and size = 0").select("sid", F.struct((-F.col("size")).alias("k"), "h", "doc_id", "size", F.when(_draw(F.col("h"), F.col("doc_id")) < F.col("p"), 1.0).otherwise(0.0).alias("p")).alias("d"))
@@ -136,11 +139,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with every row as often as ``copies`` says; columns stay as they are."""
-    twins = [F.col(id_col).cast("long").alias("_i"), F.col(source_col).cast("string").alias("_s"), n_words(F.col(text_col).cast("string")).alias("_n")]
-    number = F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(F.lit(1))).alias("_r")
-    taken = copies(docs, id_col, text_col, source_col).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c"))
-    taken = taken.select("*", number).where("_c > 0").select(*(F.col(c).alias(f"t{c}") for c in ("_i", "_s", "_n", "_r", "_c")))
-    rows = docs.select("*", *twins).select("*", number)
-    met = rows["_i"].eqNullSafe(taken["t_i"]) & rows["_s"].eqNullSafe(taken["t_s"]) & (rows["_n"] == taken["t_n"]) & (rows["_r"] == taken["t_r"])
-    return rows.join(taken, met).select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("t_c"))).alias("_copy")).drop("_copy")
+    """``docs`` with every row as often as ``copies`` says; columns stay as they are, whatever their names."""
+    key = ["i", "s", "n"]
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))).alias("r")
+    taken = copies(docs, id_col, text_col, source_col).select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("copies").alias("c"))
+    taken = taken.select("*", number).where("c > 0").select(*(F.col(x).alias(f"t{x}") for x in (*key, "r", "c")))
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("i"), F.col(source_col).cast("string").alias("s"), n_words(F.col(text_col).cast("string")).alias("n")).select("*", number)
+    met = rows["i"].eqNullSafe(taken["ti"]) & rows["s"].eqNullSafe(taken["ts"]) & (rows["n"] == taken["tn"]) & (rows["r"] == taken["tr"])
+    return rows.join(taken, met).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("tc"))).alias("no")).select("row.*")
