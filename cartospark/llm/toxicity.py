@@ -7,8 +7,9 @@ weights come from document labels alone, by gradient steps on the documents'
 likelihood, and then point at the sentences that make a document toxic.
 
 The training sample is bounded: ``MAX_TRAIN`` labelled documents, in order of a
-hash of doc_id, with the first ``MAX_WORDS`` words and beginnings of its
-vocabulary by how strongly they mark a class. Scores cover every whole text.
+hash of doc_id. The model has a weight for each of the ``MAX_WORDS`` words and
+beginnings of that sample that mark a class most strongly; both numbers are the
+model's size, whatever the corpus. Scores cover every whole text.
 """
 
 from __future__ import annotations
@@ -176,4 +177,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from training; false without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
