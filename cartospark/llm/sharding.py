@@ -6,10 +6,13 @@ write an arrival's rows as they come, as small files, and commit a manifest
 that adds them. Compaction takes files of one size tier (a power of TIER below
 the target size), merges runs of MIN_RUN or more of them into files of about
 the target size and commits a manifest that puts the results in their place.
-A version becomes visible by creating its manifest under its final name, which
-one writer can do; who loses reads the new version and tries again. Readers
-keep the files of the version they opened; ``vacuum`` deletes files that no
-kept version names.
+A version becomes visible by renaming its manifest to its final name under an
+exclusive claim, which one writer can hold (on file systems whose create is
+exclusive, as HDFS and local ones; object stores need one that lends them this).
+Who loses reads the new version and tries again: an append adds its files to
+it, a merge goes on if the files it merged are still there, else it starts
+anew. Readers keep the files of the version they opened; ``vacuum`` deletes
+files that no kept version names and that are older than any write may take.
 
 The driver sees file names and sizes only. Merging reads a run's files packed
 into tasks of the target size and writes one file each: rows are not shuffled,
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_BYTES, TIER, MIN_RUN, CLAIM_SECONDS = 128 << 20, 4, 2, 600
+#: Times that a losing writer tries again, and the age from which an unnamed file counts as left over.
+TRIES, GRACE_SECONDS = 50, 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -99,6 +104,21 @@ class ShardStore:
             self._fs.delete(claim, False)
         return new
 
+    def _rebased(self, schema: str | None, shards) -> Manifest | None:
+        """Commit ``shards(manifest)`` on the newest version, again while other writers win; None as soon as it gives None."""
+        for left in reversed(range(TRIES)):
+            now = self.manifest()
+            listed = shards(now)
+            if listed is None:
+                return None
+            try:
+                return self.commit(Manifest(now.version + 1, schema or now.schema, listed))
+            except Conflict:
+                if not left:
+                    raise
+                time.sleep(0.05 * (1 + uuid.uuid4().int % 8))
+        return None
+
     def _listed(self, folder: str) -> list[Shard]:
         """The data files below a folder that a finished write left."""
         files, found = self._fs.listFiles(self._path(folder), True), []
@@ -121,9 +141,8 @@ class ShardStore:
             groups.setdefault(s.path.rsplit("/", 2)[-2] if by else "", []).append(s)
         done = []
         for _, shards in sorted(groups.items()):
-            now = self.manifest()
-            done.append(self.commit(Manifest(now.version + 1, schema, now.shards + shards)))
-        return done or [self.commit(Manifest(self.manifest().version + 1, schema, self.manifest().shards))]
+            done.append(self._rebased(schema, lambda now, new=shards: now.shards + new))
+        return done or [self._rebased(schema, lambda now: now.shards)]
 
     def tier(self, size: int) -> int:
         """0 from half the target up; else how many times smaller by TIER."""
@@ -152,15 +171,21 @@ class ShardStore:
             self._read(m.schema, run).coalesce(files).write.mode("errorifexists").parquet(folder)
             gone = {s.path for s in run}
             merged = self._listed(folder)
-            m = self.commit(Manifest(m.version + 1, m.schema, [s for s in m.shards if s.path not in gone] + merged))
-            if len(merged) >= len(run):
+            done = self._rebased(None, lambda now: [s for s in now.shards if s.path not in gone] + merged if gone <= {s.path for s in now.shards} else None)
+            if done is None:  # another writer merged some of the same files
+                for s in merged:
+                    self._fs.delete(self._path(s.path), False)
+            m = done or self.manifest()
+            if done and len(merged) >= len(run):
                 break
         return m
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete data files that none of the last versions names; how many."""
+    def vacuum(self, keep_versions: int = 1, older_than: float = GRACE_SECONDS) -> int:
+        """Delete data files that none of the last versions names and that are ``older_than`` seconds old, so that nobody is about to commit them; how many."""
+        now = time.time()
+        old = self._listed(f"{self.root}/data")  # listed before the manifests: what is committed meanwhile is named there
         kept = {s.path for v in self.versions()[-keep_versions:] for s in self.manifest(v).shards}
-        gone = [s for s in self._listed(f"{self.root}/data") if s.path not in kept]
+        gone = [s for s in old if s.path not in kept and (not older_than or now - self._fs.getFileStatus(self._path(s.path)).getModificationTime() / 1000 >= older_than)]
         for s in gone:
             self._fs.delete(self._path(s.path), False)
         return len(gone)
@@ -186,12 +211,13 @@ class ShardStore:
 def compacted(docs: DataFrame, root: str, arrivals: int = 4, target_bytes: int = TARGET_BYTES, id_col: str = "doc_id") -> ShardStore:
     """Append ``docs`` to a new store in ``arrivals`` commits (dealt by a hash of the id), compact and vacuum it.
 
-    All columns and rows are stored as they are, nulls and repeats included; an
-    empty table makes a store with an empty version. A column named ``_arrival``
-    is not allowed.
+    All columns and rows are stored as they are, nulls and repeats included,
+    whatever the columns' names; an empty table makes a store with an empty version.
     """
-    store = ShardStore(docs.sparkSession, root, target_bytes)
-    store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64(id_col), F.lit(arrivals))), by="_arrival")
+    store, by = ShardStore(docs.sparkSession, root, target_bytes), "arrival"
+    while by in {c.lower() for c in docs.columns}:
+        by += "_"
+    store.append(docs.withColumn(by, F.pmod(F.xxhash64(id_col), F.lit(arrivals))), by=by)
     store.compact()
-    store.vacuum()
+    store.vacuum(older_than=0)  # the store is this call's own
     return store
