@@ -250,6 +250,7 @@ def test_toxicity(spark, docs, words, odd):
     import zlib
 
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out if r["doc_id"] is not None)
+    assert not any(r["held_out"] for r in out if r["doc_id"] is None) and all(r["held_out"] is not None for r in out)
     assert toxicity.score(docs([]), model).count() == 0
     assert toxicity.train([], np.zeros(0)).bias == -20 and toxicity.train(["a"], np.ones(1)).bias == 20
 
@@ -271,6 +272,16 @@ def test_sentencepiece(docs, words, odd):
     assert sentencepiece_codec.round_trip(docs([]), queries.model_path()).count() == 0
 
 
+def test_memory_of_chunks_is_bounded(words, monkeypatch):
+    """Long chunks are not remembered, and what is remembered is bounded by bytes."""
+    c = sentencepiece_codec.MergeCodec(queries.model_path())
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 5_000)
+    for k in range(20):
+        texts = [" ".join(words(k, 30)), "x" * 500 + str(k)]
+        assert [np.frombuffer(i, dtype="<u4").tolist() for i in c.encode_batch(texts)] == [c.library.encode(t, add_bos=True, add_eos=True) for t in texts]
+        assert max(map(len, c.known)) <= sentencepiece_codec.KEPT and c.held <= 5_000 + 30 * 300
+
+
 def test_heap_and_joint_agenda_agree(words):
     c = sentencepiece_codec.codec(queries.model_path())
     chunks = [sentencepiece_codec.BLANK + w for w in words(1, 300)] + ["▁▁▁x", "中①"]
