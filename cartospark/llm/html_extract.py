@@ -6,11 +6,13 @@ common subsequence: lines that the two share in the same order are the site's,
 not the page's, and are deleted.
 
 A check on the markup follows. A page says itself what part of it is the
-article (article, main, or an element so named): shared lines inside that part
-stay, because a passage that two articles quote is not boilerplate, and lines
-outside it go, shared or not. What the markup calls menu, header, footer,
-sidebar, notice, advert, form or comments goes anywhere. A page without such a
-part, which is most of the open web, is left to differencing.
+article (article, main, or an element so named). A shared line that stands in
+that part on both pages is a passage that two articles quote, and is put back;
+one that the neighbour has outside its article is the site's and stays deleted,
+wherever this page has it. What the markup calls menu, header, footer, sidebar,
+notice, advert, form or comments goes, shared or not. A page without a named
+part, which is most of the open web, is left to differencing; one with a named
+part and no neighbour keeps that part only.
 
 Lines are blocks: the text between block-level tags, character references
 decoded, white space turned to single blanks.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,7 @@ _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*
 #: HTML elements that start a new block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Their content is no text.
-RAW = ("script", "style", "textarea", "template", "noscript", "iframe", "noembed", "noframes", "xmp", "svg", "math", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "template", "noscript", "iframe", "noembed", "noframes", "svg")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never the article's text.
 BOILER = frozenset("nav footer aside form head button select dialog menu".split())
@@ -52,6 +55,17 @@ _MAIN_NAME = re.compile(r"(?:^|\s)(?:article|article-?body|post-?body|post-?cont
 _CLOSES_P = BLOCKS - {"p", "option", "optgroup", "legend", "title", "head", "html", "body"}
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_IN_ARTICLE = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+
+
+def _boiler_name(tag: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id calls an element boilerplate. In an article its headings are text, and its header, as the element of that name, is."""
+    if in_article and tag in _HEADINGS:
+        return False
+    return bool(_BOILER_NAME.search(_IN_ARTICLE.sub(" ", value) if in_article else value))
+
+
 def _role(tag: str, attrs: str, in_article: bool) -> str:
     """"boiler", "main" or "" of an element by its name and attributes."""
     if tag in BOILER or (tag == "header" and not in_article):
@@ -65,7 +79,7 @@ def _role(tag: str, attrs: str, in_article: bool) -> str:
             if key in ("class", "id"):
                 if role != "main" and _MAIN_NAME.search(value):
                     role = "main"
-                elif tag not in ("article", "main", "body", "html") and _BOILER_NAME.search(value):
+                elif tag not in ("article", "main", "body", "html") and _boiler_name(tag, value, in_article):
                     return "boiler"
             elif (key == "itemprop" and value == "articleBody") or (key == "role" and value.lower() in ("main", "article")):
                 role = "main"
@@ -78,6 +92,8 @@ def blocks(source: str) -> list[tuple[str, int]]:
     buffer: list[str] = []
     stack: list[tuple[str, str]] = []
     boiler = main = 0
+    open_tags: dict[str, int] = {}
+    open_blocks: list[int] = []  # their places in the stack
 
     def flush() -> None:
         if buffer:
@@ -88,7 +104,10 @@ def blocks(source: str) -> list[tuple[str, int]]:
 
     def pop() -> None:
         nonlocal boiler, main
-        _, role = stack.pop()
+        tag, role = stack.pop()
+        open_tags[tag] -= 1
+        if open_blocks and open_blocks[-1] == len(stack):
+            open_blocks.pop()
         boiler -= role == "boiler"
         main -= role == "main"
 
@@ -104,19 +123,26 @@ def blocks(source: str) -> list[tuple[str, int]]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            if any(t == tag for t, _ in stack):
+            if open_tags.get(tag):
                 if tag in BLOCKS or stack[-1][0] == tag:
                     while stack[-1][0] != tag:
                         pop()
                     pop()
                 else:  # misnested inline: only this one ends
-                    i = max(i for i, (t, _) in enumerate(stack) if t == tag)
+                    i = len(stack) - 1
+                    while stack[i][0] != tag:
+                        i -= 1
                     boiler -= stack[i][1] == "boiler"
                     main -= stack[i][1] == "main"
+                    open_tags[tag] -= 1
                     del stack[i]
+                    for k in range(len(open_blocks) - 1, -1, -1):
+                        if open_blocks[k] < i:
+                            break
+                        open_blocks[k] -= 1
             continue
         if tag in RAW:
-            if tag in ("svg", "math", "object", "template", "noscript", "canvas", "audio", "video", "iframe"):
+            if tag in ("svg", "template", "noscript", "iframe"):
                 buffer.append(" ")
             lowered = lowered if lowered is not None else source.lower()
             end = lowered.find(f"</{tag}", at)
@@ -126,9 +152,7 @@ def blocks(source: str) -> list[tuple[str, int]]:
         if tag in BLOCKS:
             flush()
             if tag in _CLOSES_P or tag == "p":
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] not in BLOCKS:
-                    k -= 1
+                k = open_blocks[-1] if open_blocks else -1
                 if k >= 0 and stack[k][0] == "p":
                     while len(stack) > k:
                         pop()
@@ -141,7 +165,10 @@ def blocks(source: str) -> list[tuple[str, int]]:
         role = _role(tag, m[3], main > 0)
         if role and tag not in BLOCKS:
             flush()
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
         stack.append((tag, role))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         boiler += role == "boiler"
         main += role == "main"
     buffer.append(_OPENS.split(source[at:], maxsplit=1)[0])  # a tag that never ends is no text
@@ -149,8 +176,8 @@ def blocks(source: str) -> list[tuple[str, int]]:
     return out
 
 
-def shared_lines(a: list[int], b: list[int]) -> set[int]:
-    """Positions of a that lie on a longest common subsequence of a and b (Hunt-Szymanski: over matching pairs)."""
+def _by_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence over matching pairs (Hunt-Szymanski): few where lines are mostly distinct."""
     where: dict[int, list[int]] = {}
     for j, y in enumerate(b):
         where.setdefault(y, []).append(j)
@@ -159,31 +186,95 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     for i, x in enumerate(a):
         for j in reversed(where.get(x, ())):
             k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
+            link = (i, j, links[k - 1] if k else None)
             if k == len(tails):
                 tails.append(j)
                 links.append(link)
             else:
                 tails[k] = j
                 links[k] = link
-    out, link = set(), links[-1] if links else None
+    out, link = [], links[-1] if links else None
     while link:
-        out.add(link[0])
-        link = link[1]
-    return out
+        out.append(link[:2])
+        link = link[2]
+    return out[::-1]
+
+
+def _by_bits(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The same by rows of bits, whatever repeats: every row is one sum of whole numbers, and only every k-th is kept for the way back."""
+    n, m = len(a), len(b)
+    where: dict[int, list[int]] = {}
+    for j, y in enumerate(b):
+        where.setdefault(y, []).append(j)
+    masks: dict[int, int] = {}
+
+    def mask(x: int) -> int:
+        if x in masks:
+            return masks[x]
+        bits = bytearray(m // 8 + 1)
+        for j in where.get(x, ()):
+            bits[j >> 3] |= 1 << (j & 7)
+        out = int.from_bytes(bits, "little")
+        if len(where.get(x, ())) > 4:
+            masks[x] = out
+        return out
+
+    full = (1 << m) - 1
+
+    def row(v: int, x: int) -> int:
+        u = v & mask(x)
+        return ((v + u) | (v - u)) & full
+
+    step = max(1, int(n**0.5))
+    v, kept = full, []
+    for i, x in enumerate(a):
+        if i % step == 0:
+            kept.append(v)
+        v = row(v, x)
+    out, i, j, base, rows = [], n, m, n, []
+    while i and j:
+        if i - 1 < base:  # rows of the block that ends here: before each of its lines, and after the last
+            base = (i - 1) // step * step
+            rows = [kept[base // step]]
+            for x in a[base:i]:
+                rows.append(row(rows[-1], x))
+        if rows[i - base] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            # the row before: the first of this block, or full
+            if i and not (rows[i - base] >> (j - 1) & 1):
+                continue
+            out.append((i, j - 1))
+            j -= 1
+    return out[::-1]
+
+
+def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """(i, j) of a longest common subsequence of a and b, ascending."""
+    head, end = 0, min(len(a), len(b))
+    while head < end and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < end - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    ia, ib = range(head, len(a) - tail), range(head, len(b) - tail)
+    both = {a[i] for i in ia} & {b[j] for j in ib}
+    ia, ib = [i for i in ia if a[i] in both], [j for j in ib if b[j] in both]
+    x, y = [a[i] for i in ia], [b[j] for j in ib]
+    counts = Counter(y)
+    way = _by_matches if sum(counts[v] for v in x) <= 16 * (len(x) + len(y)) else _by_bits
+    inner = [(ia[i], ib[j]) for i, j in way(x, y)]
+    return [(i, i) for i in range(head)] + inner + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
 
 
-def article(lines: list[str], zones: list[int], shared: set[int], differed: bool = True) -> list[str]:
-    """What stays: differencing deletes shared lines, then the markup has its say. Without a page to differ from, a named article is all that stays."""
+def article(lines: list[str], zones: list[int], shared: dict[int, bool], differed: bool = True) -> list[str]:
+    """What stays: differencing deletes shared lines (``shared``: line -> whether the neighbour has it in its named article), then the markup has its say. Without a page to differ from, a named article is all that stays."""
     named = 1 in zones and not differed
     out = []
     for i, (line, zone) in enumerate(zip(lines, zones, strict=True)):
-        keep = i not in shared
-        if zone == 1:
-            keep = True
-        elif zone < 0 or named:
-            keep = False
-        if keep:
+        quoted = zone == 1 and shared.get(i, False)
+        if (i not in shared or quoted) and zone >= named:
             out.append(line)
     return out
 
@@ -225,7 +316,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pd.DataFrame({
                 "page_id": pdf["page_id"], "url": pdf["url"], "rid": pdf["rid"],
                 "lines": [[t for t, _ in f] for f in found], "zones": [np.array([z for _, z in f], dtype="i1") for f in found],
-                "hashes": [np.array([xxhash.xxh3_64_intdigest(t) for t, _ in f], dtype="u8").astype("i8") for f in found],
+                # the lowest bit says whether the line is in the named article
+                "hashes": [np.array([xxhash.xxh3_64_intdigest(t) & ~1 | (z == 1) for t, z in f], dtype="u8").astype("i8") for f in found],
             })
 
     parsed = rows.mapInPandas(parse, "page_id long, url string, rid long, lines array<string>, zones array<tinyint>, hashes array<bigint>")
@@ -239,7 +331,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for pdf in pdfs:
             texts, shared = [], []
             for lines, zones, mine, other in zip(pdf["lines"], pdf["zones"], pdf["hashes"], pdf["theirs"], strict=True):
-                common = shared_lines(list(mine), list(other)) if other is not None else set()
+                common = {i: bool(other[j] & 1) for i, j in shared_lines((mine >> 1).tolist(), (other >> 1).tolist())} if other is not None else {}
                 texts.append("\n".join(article(list(lines), list(zones), common, other is not None)))
                 shared.append(len(common))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_lines": [len(x) for x in pdf["lines"]], "n_shared": shared})
