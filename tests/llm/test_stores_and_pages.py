@@ -149,6 +149,14 @@ def test_html(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+def test_markup_inside_an_article(spark):
+    """Headings are text whatever their class, formulas and objects too; menus, adverts and forms inside go."""
+    art = "<article><div class='entry-header'><h1 class='entry-header search'>Title</h1></div><p>E = <math>mc2</math> and <object>shape</object></p><div class='related'>more</div><div class='ad'>buy</div><form>f</form><xmp>raw</xmp></article>"
+    rows = [(1, "https://a.b/1", PAGE.format(main=art)), (2, "https://a.b/2", PAGE.format(main="<article>x</article>"))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Title\nE = mc2 and shape\nraw"
+
+
 def test_differencing_decides_outside_a_named_article(spark):
     """A standfirst outside the article stays, lines of the site go; a page without a neighbour keeps its article only."""
     rows = [(i, f"https://a.b/x/{i}", PAGE.format(main=f"<p>Standfirst {i}</p><article><p>Body {i}</p><p>Same quote</p></article><p>After {i}</p>")) for i in (1, 2)]
@@ -170,9 +178,65 @@ def test_longest_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
         a, b = ([r.randrange(6) for _ in range(r.randrange(15))] for _ in range(2))
-        at = sorted(html_extract.shared_lines(a, b))
-        rest = iter(b)
-        assert len(at) == plain(a, b) and all(a[i] in rest for i in at)
+        for way in (html_extract.shared_lines, html_extract._by_matches, html_extract._by_bits):
+            at = way(a, b)
+            assert len(at) == plain(a, b) and all(a[i] == b[j] for i, j in at)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(at, at[1:], strict=False))
+
+
+def test_equal_lines_and_open_tags_take_no_quadratic_time():
+    import time
+
+    began = time.time()
+    a, b = [0, 1] * 10_000 + [2], [1, 0, 0] * 7_000
+    assert len(html_extract.shared_lines(a, b)) >= 14_000
+    assert len(html_extract.blocks("<b>" * 50_000 + "<p>x" * 20_000)) == 20_000 and html_extract.blocks("<i><b>" * 20_000 + "</i>" * 20_000 + "x") == [("x", 0)]
+    assert time.time() - began < 30
+
+
+def test_extract_like_brute_force(spark):
+    """Hosts of pages with shared and own lines in and outside articles, against differencing line by line."""
+    import random
+
+    r = random.Random(6)
+
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        i = j = 0
+        out = {}
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out[i] = j
+                i, j = i + 1, j + 1
+            elif t[i + 1][j] >= t[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    pages, made = {}, []
+    for i in range(80):
+        site = [f"site {i % 4} line {k}" for k in range(6)]  # in order, so the alignment is the only one
+        own = [f"own {i} {k}" for k in range(r.randrange(5))]
+        quote = [f"quote {i % 4}"] * (r.random() < 0.5)
+        head, foot = site[: r.randrange(1, 4)], site[r.randrange(3, 6) :]
+        inside = [(x, 1) for x in [*own, *quote]] if i % 3 else [(x, 0) for x in own]
+        if i % 5 == 0 and i % 3:
+            inside.append((f"site {i % 4} line 5", 1))  # a line of the site within the article
+        ad = [(f"ad {i}", -1)]
+        pages[i] = [(x, 0) for x in head] + ad + inside + [(x, 0) for x in foot]
+        body = "".join(f"<p>{x}</p>" for x, _ in pages[i][: len(head)]) + f"<div class='ad'>ad {i}</div>"
+        mid = "".join(f"<p>{x}</p>" for x, _ in inside)
+        made.append((i, f"https://h{i % 4}/p/{i:03d}", f"<html><body>{body}{f'<article>{mid}</article>' if i % 3 else f'<div>{mid}</div>'}{''.join(f'<p>{x}</p>' for x in foot)}</body></html>"))
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    for i, mine in pages.items():
+        other = pages[i + 4 if i + 4 in pages else i - 4]
+        same = plain([x for x, _ in mine], [x for x, _ in other])
+        want = [x for k, (x, z) in enumerate(mine) if z >= 0 and (k not in same or (z == 1 and other[same[k]][1] == 1))]
+        assert got[i] == "\n".join(want), i
 
 
 def test_neighbours_cross_partitions(spark):
