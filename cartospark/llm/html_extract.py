@@ -6,10 +6,9 @@ common subsequence: lines that the two share in the same order are the site's,
 not the page's, and are deleted.
 
 A check on the markup follows. A page says itself what part of it is the
-article (article, main, or an element so named). A shared line that stands in
-that part on both pages is a passage that two articles quote, and is put back;
-one that the neighbour has outside its article is the site's and stays deleted,
-wherever this page has it. What the markup calls menu, header, footer, sidebar,
+article (article, main, or an element so named). Shared lines of that part are
+put back: two articles may quote one passage, and an advert beside one may be a
+sentence of the other. What the markup calls menu, header, footer, sidebar,
 notice, advert, form or comments goes, shared or not. A page without a named
 part, which is most of the open web, is left to differencing; one with a named
 part and no neighbour keeps that part only.
@@ -268,15 +267,10 @@ def shared_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return [(i, i) for i in range(head)] + inner + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
 
 
-def article(lines: list[str], zones: list[int], shared: dict[int, bool], differed: bool = True) -> list[str]:
-    """What stays: differencing deletes shared lines (``shared``: line -> whether the neighbour has it in its named article), then the markup has its say. Without a page to differ from, a named article is all that stays."""
+def article(lines: list[str], zones: list[int], shared: set[int], differed: bool = True) -> list[str]:
+    """What stays: differencing deletes shared lines, then the markup has its say. Without a page to differ from, a named article is all that stays."""
     named = 1 in zones and not differed
-    out = []
-    for i, (line, zone) in enumerate(zip(lines, zones, strict=True)):
-        quoted = zone == 1 and shared.get(i, False)
-        if (i not in shared or quoted) and zone >= named:
-            out.append(line)
-    return out
+    return [line for i, (line, zone) in enumerate(zip(lines, zones, strict=True)) if zone == 1 or (i not in shared and zone >= named)]
 
 
 def _nearest(keys: DataFrame) -> DataFrame:
@@ -316,8 +310,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pd.DataFrame({
                 "page_id": pdf["page_id"], "url": pdf["url"], "rid": pdf["rid"],
                 "lines": [[t for t, _ in f] for f in found], "zones": [np.array([z for _, z in f], dtype="i1") for f in found],
-                # the lowest bit says whether the line is in the named article
-                "hashes": [np.array([xxhash.xxh3_64_intdigest(t) & ~1 | (z == 1) for t, z in f], dtype="u8").astype("i8") for f in found],
+                "hashes": [np.array([xxhash.xxh3_64_intdigest(t) for t, _ in f], dtype="u8").astype("i8") for f in found],
             })
 
     parsed = rows.mapInPandas(parse, "page_id long, url string, rid long, lines array<string>, zones array<tinyint>, hashes array<bigint>")
@@ -331,7 +324,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for pdf in pdfs:
             texts, shared = [], []
             for lines, zones, mine, other in zip(pdf["lines"], pdf["zones"], pdf["hashes"], pdf["theirs"], strict=True):
-                common = {i: bool(other[j] & 1) for i, j in shared_lines((mine >> 1).tolist(), (other >> 1).tolist())} if other is not None else {}
+                common = {i for i, _ in shared_lines(mine.tolist(), other.tolist())} if other is not None else set()
                 texts.append("\n".join(article(list(lines), list(zones), common, other is not None)))
                 shared.append(len(common))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_lines": [len(x) for x in pdf["lines"]], "n_shared": shared})
