@@ -96,3 +96,17 @@ BROADCAST_ROWS = 10_000
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` if its counted rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """``left`` left-joined with ``right`` (one row a key): keys that hold many of the ``rows`` rows of ``left`` are not shuffled.
+
+    A key is hot from a quarter of a task's fair share on, so there are at most
+    four times as many as tasks; their rows of ``right`` are broadcast.
+    """
+    share = rows / (4 * partitions(left.sparkSession))
+    hot = cut(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.lit(max(share, 1.0))).select(key))
+    here = left.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
+    cold = here.where("is_hot is null").drop("is_hot").join(right, key, "left")
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    return cold.unionByName(here.where("is_hot").drop("is_hot").join(F.broadcast(few), key, "left"))

@@ -2,11 +2,14 @@
 
 Steps, none of which gathers more than a bounded slice in one place:
 
-1. ``_postings``: each task hashes its texts' five-word shingles (one copy of
+1. ``shingled``: sizes of all sets, and shingles that are frequent in some task;
+   the sums say how many buckets there must be, and which shingles are hot.
+2. ``_postings``: each task hashes its texts' five-word shingles (one copy of
    equal texts) and packs them by hash bucket, so the shuffle moves a few large
-   binary rows instead of one row per shingle.
-2. ``_shared``: a bucket's task counts each shingle's document frequency and
-   sends back only the shingles that two or more different texts hold.
+   binary rows instead of one row per shingle. A hot shingle's postings are
+   dealt over all buckets, as its frequency is known.
+   ``_shared``: a bucket's task counts each other shingle's document frequency
+   and sends back only the shingles that two or more different texts hold.
 3. ``_survivors``: a text orders its shingles rare-first, by (frequency, hash).
    Shingles of its own come first; a text with more of them than the threshold
    allows can have no partner and is done. The others keep their shared
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import cut, partitions, small_batches
+from .common import cut, partitions, small_batches, spread_join
 from .components import components
 
 K = 5
@@ -43,6 +46,8 @@ K = 5
 NUM, DEN = 80, 100
 #: Shingles that a task packs before it sends them on, and hash classes of the suffix filter.
 FLUSH, CLASSES = 1 << 21, 16
+#: Postings that a bucket should hold; postings from which a shingle is hot, or this share of all if that is more, so that at most 1 / HOT_SHARE shingles are.
+BUCKET, HOT, HOT_SHARE = 1 << 21, 1 << 17, 1 / 65_536
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -55,27 +60,31 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 yield batch, first + i, h[at[i] : at[i + 1]]
 
 
-def _postings(n_buckets: int):
+def _postings(n_buckets: int, hot: np.ndarray):
     def pack(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         size = np.array([len(s) for _, s in held], dtype=np.int32)
         key = np.array([k for k, _ in held], dtype=np.uint64)
         h = np.concatenate([s for _, s in held])
         of = np.repeat(np.arange(len(held), dtype=np.int32), size)
         bucket = (h % np.uint64(n_buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        h, of, ends = h[order], of[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        rows: dict[str, list] = {"bucket": [], "keys": [], "sizes": [], "counts": [], "hashes": []}
-        for b in range(n_buckets):
+        is_hot = np.zeros(len(h), dtype=bool)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+            bucket[is_hot] = ((h[is_hot] ^ key[of[is_hot]]) % np.uint64(n_buckets)).astype(np.int32)
+        slot = 2 * bucket.astype(np.int64) + is_hot
+        order = np.argsort(slot, kind="stable")
+        h, of, ends = h[order], of[order], np.searchsorted(slot[order], np.arange(2 * n_buckets + 1))
+        rows: dict[str, list] = {"bucket": [], "hot": [], "keys": [], "sizes": [], "counts": [], "hashes": []}
+        for b in np.flatnonzero(np.diff(ends)):
             lo, hi = ends[b], ends[b + 1]
-            if lo == hi:
-                continue
             own, counts = np.unique(of[lo:hi], return_counts=True)
-            rows["bucket"].append(b)
+            rows["bucket"].append(int(b) // 2)
+            rows["hot"].append(bool(b % 2))
             rows["keys"].append(key[own].tobytes())
             rows["sizes"].append(size[own].tobytes())
             rows["counts"].append(counts.astype(np.int32).tobytes())
             rows["hashes"].append(_short(h[lo:hi]))
-        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "counts", "hashes"))]))
+        return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), *((c, pa.binary()) for c in ("keys", "sizes", "counts", "hashes"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, seen = [], 0, set()
@@ -99,51 +108,61 @@ def _short(h: np.ndarray) -> bytes:
     return h.astype("<u8").view("u1").reshape(-1, 8)[:, 2:].tobytes()
 
 
-def _long(pdf: pd.DataFrame) -> np.ndarray:
-    """Shingles as numbers again: six bytes of the hash, then the bucket."""
+def _long(pdf: pd.DataFrame, low: int) -> np.ndarray:
+    """Shingles as numbers again: six bytes of the hash, then the bucket (0 for hot ones, which are in all)."""
     raw = np.frombuffer(b"".join(pdf["hashes"]), dtype="u1").reshape(-1, 6)
     out = np.zeros((len(raw), 8), dtype="u1")
     out[:, 2:] = raw
-    return out.view("<u8").reshape(-1) | (np.uint64(pdf["bucket"].iloc[0]) & np.uint64(0xFFFF))
+    return out.view("<u8").reshape(-1) | np.uint64(low & 0xFFFF)
 
 
 def _flat(pdf: pd.DataFrame, *columns: tuple[str, str]) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in columns]
 
 
-def _shared(n_owners: int):
+def _shared(n_owners: int, hot: np.ndarray, hot_df: np.ndarray):
     """Of a bucket's postings, those of shingles in two texts or more, with the frequency, packed by the owner of the text."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def once(h: np.ndarray, of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Postings without repeats, by shingle and text."""
+        order = np.lexsort((keys[of], h))
+        h, of = h[order], of[order]
+        k = keys[of]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+        return h[new], of[new]
+
+    def read(pdf: pd.DataFrame, low: int) -> tuple[np.ndarray, ...]:
         keys, sizes, counts = _flat(pdf, ("keys", "u8"), ("sizes", "i4"), ("counts", "i4"))
-        h = _long(pdf)
-        of = np.repeat(np.arange(len(keys), dtype=np.int64), counts)
+        return keys, sizes, _long(pdf, low), np.repeat(np.arange(len(keys), dtype=np.int64), counts)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, sizes, h, of = read(pdf[~pdf["hot"]], int(pdf["bucket"].iloc[0]))
         order = np.argsort(h, kind="stable")
         h, of = h[order], of[order]
         near = np.zeros(len(h), dtype=bool)  # a cheap first look: equal to a neighbour
         same = h[1:] == h[:-1]
         near[1:] |= same
         near[:-1] |= same
-        h, of = h[near], of[near]
-        order = np.lexsort((keys[of], h))
-        h, of = h[order], of[order]
-        k = keys[of]
-        once = np.ones(len(h), dtype=bool)
-        once[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-        h, of = h[once], of[once]
+        h, of = once(h[near], of[near], keys)
         _, at, df = np.unique(h, return_inverse=True, return_counts=True)
         df = df[at]
-        h, of, df = h[df > 1], of[df > 1], df[df > 1].astype(np.int32)
+        h, of, df = h[df > 1], of[df > 1], df[df > 1]
+        if pdf["hot"].any():
+            more_keys, more_sizes, more_h, more_of = read(pdf[pdf["hot"]], 0)
+            more_h, more_of = once(more_h, more_of, more_keys)
+            known = hot_df[np.searchsorted(hot >> np.uint64(16), more_h >> np.uint64(16))]
+            h, of, df = np.concatenate([h, more_h]), np.concatenate([of, more_of + len(keys)]), np.concatenate([df, known])
+            keys, sizes = np.concatenate([keys, more_keys]), np.concatenate([sizes, more_sizes])
+        df = np.minimum(df, 2**31 - 1).astype(np.int32)
         owner = (keys[of] % np.uint64(n_owners)).astype(np.int64)
         order = np.lexsort((of, owner))
         h, of, df, ends = h[order], of[order], df[order], np.searchsorted(owner[order], np.arange(n_owners + 1))
         rows: dict[str, list] = {c: [] for c in ("owner", "keys", "sizes", "counts", "hashes", "dfs")}
-        for w in range(n_owners):
+        for w in np.flatnonzero(np.diff(ends)):
             lo, hi = ends[w], ends[w + 1]
-            if lo == hi:
-                continue
             own, n = np.unique(of[lo:hi], return_counts=True)
-            for c, v in zip(rows, (w, keys[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes(), h[lo:hi].tobytes(), df[lo:hi].tobytes()), strict=True):
+            for c, v in zip(rows, (int(w), keys[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes(), h[lo:hi].tobytes(), df[lo:hi].tobytes()), strict=True):
                 rows[c].append(v)
         return pd.DataFrame(rows) if rows["keys"] else pd.DataFrame()
 
@@ -177,21 +196,35 @@ def _survivors(num: int, den: int):
 
 
 def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n): a hash of the text's words, null without words, and the size of its shingle set."""
+    """(doc_id, key, n, often): a hash of the text's words, null without words, and the size of its shingle set; with ``often``, key is a shingle that n texts of a task's FLUSH shingles hold, the frequent ones only."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("often", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
         held: list[tuple] = []
+        pool: list[np.ndarray] = []
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            rows = list(held)
+            if pool:
+                h, n = np.unique(np.concatenate(pool), return_counts=True)
+                often = n >= max(8, FLUSH >> 15)
+                rows += [(None, k, c, True) for k, c in zip(h[often].astype(np.int64).tolist(), n[often].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch, i, w in _texts(batches):
-            held.append((batch.column(0)[i].as_py(), int(np.uint64(hashing.sequence_key(w)).astype(np.int64)) if len(w) else None, len(np.unique(hashing.shingles(w, K)))))
-            if len(held) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-                held = []
+            s = np.unique(hashing.shingles(w, K))
+            held.append((batch.column(0)[i].as_py(), int(np.uint64(hashing.sequence_key(w)).astype(np.int64)) if len(w) else None, len(s), False))
+            pool.append(s)
+            size += len(s)
+            if len(held) >= 10_000 or size >= FLUSH:
+                yield sent()
+                held, pool, size = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            yield sent()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, n long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, n long, often boolean")
 
 
 def _possible(x: str, y: str, num: int, den: int) -> Column:
@@ -211,13 +244,21 @@ def _links(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("a", "b", (F.col("both") * (num + den) >= F.col("sum") * num).alias("linked"))
 
 
-def linked_texts(docs: DataFrame, text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
-    """(key, root): the component of every text that has a link to a different text."""
+def linked_texts(docs: DataFrame, base: DataFrame, text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+    """(v, root): the component of every text that has a link to a different text; ``base`` is what shingled() gives."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_buckets, n_owners = 2 * partitions(spark), partitions(spark)
-    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_postings(n_buckets), "bucket int, keys binary, sizes binary, counts binary, hashes binary")
-    shared = packed.groupBy("bucket").applyInPandas(_shared(n_owners), "owner int, keys binary, sizes binary, counts binary, hashes binary, dfs binary")
+    total = base.where("not often").agg(F.sum("n")).first()[0] or 0
+    hot = base.where("often").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT, total * HOT_SHARE)).collect()  # at most 1 / HOT_SHARE rows
+    tops = {}
+    for r in hot:  # of two with the same six upper bytes, which is how they travel, the more frequent
+        h = np.uint64(r["key"] & (2**64 - 1))
+        tops[int(h) >> 16] = max(tops.get(int(h) >> 16, (0, 0)), (r["n"], int(h)))
+    hot_h = np.array([tops[k][1] for k in sorted(tops)], dtype=np.uint64)
+    hot_df = np.array([tops[k][0] for k in sorted(tops)], dtype=np.int64)
+    n_buckets, n_owners = max(2 * partitions(spark), -(-total // BUCKET)), max(partitions(spark), -(-total // BUCKET))
+    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_postings(n_buckets, hot_h), "bucket int, hot boolean, keys binary, sizes binary, counts binary, hashes binary")
+    shared = packed.groupBy("bucket").applyInPandas(_shared(n_owners, hot_h, hot_df), "owner int, keys binary, sizes binary, counts binary, hashes binary, dfs binary")
     texts = cut(shared.groupBy("owner").applyInPandas(_survivors(num, den), "key long, n long, own long, pre int, toks array<long>, classes array<int>"))
 
     posts = texts.select("key", "n", "own", "classes", F.posexplode(F.slice("toks", 1, F.col("pre")))).select("key", "n", "own", "classes", (F.col("own") + F.col("pos")).alias("pos"), F.col("col").alias("h"))
@@ -256,9 +297,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Shingles and texts are compared by 64-bit hashes.
     """
     base = cut(shingled(docs, id_col, text_col))
-    roots = linked_texts(docs, text_col, num, den)
-    placed = base.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    copies = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"))
-    out = placed.join(named, "root", "left").join(copies, "key", "left")
+    roots = linked_texts(docs, base, text_col, num, den)
+    base = base.where("not often").drop("often")
+    rows = base.count()
+    copies = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first"))
+    texts = cut(copies.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    named = cut(texts.groupBy("root").agg(F.min("first").alias("least")))
+    texts = cut(spread_join(texts, named, "root", rows).select("key", "least", "n_copies"))
+    out = spread_join(base, texts, "key", rows)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
