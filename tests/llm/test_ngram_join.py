@@ -58,6 +58,18 @@ def test_like_all_pairs(docs, words, odd):
     assert got == brute(rows)
 
 
+def test_hot_shingles_and_many_buckets(docs, words, odd, monkeypatch):
+    """Shingles of most texts are dealt over the buckets, and buckets follow the data, with the same links."""
+    for k, v in {"HOT": 8, "HOT_SHARE": 0.0, "FLUSH": 2_000, "BUCKET": 500}.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    common = words(77, 40)
+    rows = corpus(words) + odd + [(2000 + i, " ".join(common[: 40 - i % 4] + words(500 + i, i % 12))) for i in range(60)]
+    base = ngram_join.cut(ngram_join.shingled(docs(rows)))
+    assert base.where("often").count() > 0
+    got = sorted((tuple(r)[:3] for r in ngram_join.ngram_components(docs(rows)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_large_group_of_near_copies(docs, words):
     base = words(1, 200)
     rows = [(0, " ".join(base))] + [(i, " ".join(base[: i % 190] + ["x" + str(i)] + base[i % 190 + 1 :])) for i in range(1, 300)] + [(1000 + i, " ".join(base)) for i in range(50)]
