@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartospark.llm import line_dedup, mixing, ngram_join, quality, sentencepiece_codec
-from cartospark.llm.common import scratch, table
+from cartospark.llm.common import WORD, scratch, table
 from cartospark.llm.queries import model_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,8 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the line chunks that an earlier document has; n_chars follows."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Texts without the line chunks that an earlier document has; n_chars follows. A document that loses its last word so is a copy and goes."""
+    left = line_dedup.dedup_lines(docs).where((F.col("n_removed_lines") == 0) | F.col("text").rlike(WORD))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
