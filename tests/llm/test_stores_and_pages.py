@@ -5,9 +5,11 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from test_ngram_join import brute
+from test_text_operators import base, dedup_plain
 
 import corpus_pipeline
-from cartospark.llm import html_extract, mixing, ngram_join, quality, sharding
+from cartospark.llm import html_extract, mixing, quality, sharding
 from cartospark.llm.common import scratch
 
 SF = "/root/testdata/sf0.001"
@@ -261,11 +263,19 @@ def test_pipeline(spark):
         f(spark, tables[-1], SF).write.parquet(path)
         tables.append(spark.read.parquet(path))
         assert tables[-1].columns == list(corpus_pipeline.COLUMNS)
+    rows = [{(r["doc_id"], r["text"]) for r in t.collect()} for t in tables]
+    # quality: what the base rules reject by definition goes, and nothing else but what a certified cutoff rejects
     kept = {r["doc_id"] for r in quality.verdicts(docs, labels).where("kept").collect()}
-    assert {r["doc_id"] for r in tables[1].collect()} == kept and tables[2].count() == len(kept)
-    groups = ngram_join.ngram_components(tables[2]).collect()
-    assert sorted(r["doc_id"] for r in tables[3].collect()) == sorted(r["doc_id"] for r in groups if r["doc_id"] == r["component_id"])
+    failed = {i for i, t in rows[0] if base(t)[0] < 10 or 100 * base(t)[4] > 20 * base(t)[0]}
+    cutoffs = {r["stratum"] for r in quality.thresholds(quality.features(docs), labels).collect()}
+    assert {i for i, _ in rows[1]} == kept and rows[1] <= rows[0] and not kept & failed
+    assert cutoffs or kept == {i for i, _ in rows[0]} - failed
+    # line dedup: line by line
+    plain = dedup_plain(sorted(rows[1]))
+    assert rows[2] == {(i, t) for i, t, n in plain if not n or t.split()} and len(rows[2]) < len(rows[1])
+    # n-gram join: all pairs
+    assert {i for i, _ in rows[3]} == {i for i, _, c in brute(sorted(rows[2])) if i == c} and rows[3] <= rows[2]
     copies = {r["doc_id"]: r["copies"] for r in mixing.copies(tables[3]).collect() if r["copies"]}
-    assert Counter(r["doc_id"] for r in tables[4].select("doc_id").collect()) == Counter(copies)
+    assert Counter(r["doc_id"] for r in tables[4].select("doc_id").collect()) == Counter(copies) and rows[4] <= rows[3]
     out = corpus_pipeline.run(spark, SF)
-    assert out.count() == sum(copies.values()) and out.where("not matches_library").count() == 0
+    assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter(copies) and out.where("not matches_library").count() == 0
