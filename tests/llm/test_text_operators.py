@@ -60,17 +60,18 @@ def test_thresholds_like_brute_force(spark):
     import random
 
     r, rows, labels = random.Random(8), [], []
+    scale = quality.RULES["symbols"]
     for i in range(4000):
         stratum = r.choice(["a", "a", "a", "b", "c"])
         y = int(r.random() < 0.8)
-        rows.append((i, stratum, r.random() < 0.02, *(min(0.999, (0.05 if y else r.choice([0.05, 0.4])) * r.expovariate(1.0)) if k == 0 else 0.0 for k in range(len(quality.RULES)))))
+        rows.append((i, stratum, r.random() < 0.02, *(min(0.999, (0.05 if y else r.choice([0.05, 0.4])) * r.expovariate(1.0)) / scale if k == 0 else 0.0 for k in range(len(quality.RULES)))))
         if i % 2:
             labels.append((i, y))
     feats = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{k} double" for k in quality.RULES))
     got = {x["stratum"]: tuple(x)[1:] for x in quality.thresholds(feats, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
     want, y = {}, dict(labels)
     for s in "abc":
-        seen = [(x[3], y[x[0]]) for x in rows if x[1] == s and not x[2] and x[0] in y]
+        seen = [(x[3] * scale, y[x[0]]) for x in rows if x[1] == s and not x[2] and x[0] in y]
         n, best = sum(g for _, g in seen), None
         for c in quality.CUTOFFS:
             k, b = sum(g for x, g in seen if x > c), sum(1 - g for x, g in seen if x > c)
