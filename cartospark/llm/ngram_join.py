@@ -16,11 +16,12 @@ Steps, none of which gathers more than a bounded slice in one place:
    shingles in that order, which is all that an intersection needs.
 4. Candidates join on the shared part of the prefix, under the length,
    positional and suffix filters. Each text is first verified against one
-   leader, the text with fewest own shingles among those that it meets; then
-   all candidate pairs that lie in different components are verified, each
-   once. Pairs inside a component cannot change it and are never listed, so a
-   group of n near copies costs about n verifications, and no link between
-   components is lost.
+   leader, the text with fewest own shingles among those that it meets. Where
+   only components are asked for, all candidate pairs that lie in different
+   components are verified then, each once; pairs inside a component cannot
+   change it and are never listed. Where links are counted, every candidate
+   pair is verified once but those that the distances to a common leader prove
+   linked: these are counted and never listed (``counted_links``).
 
 In the shuffles a shingle is its bucket and the upper 48 bits of its hash; that
 is enough to tell the shingles of two texts apart (a false match takes a chance
@@ -48,6 +49,8 @@ NUM, DEN = 80, 100
 FLUSH, CLASSES = 1 << 21, 16
 #: Postings that a bucket should hold; postings from which a shingle is hot, or this share of all if that is more, so that at most 1 / HOT_SHARE shingles are.
 BUCKET, HOT, HOT_SHARE = 1 << 21, 1 << 17, 1 / 65_536
+#: Steps in which distances to a leader are kept.
+FAR = 10_000
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -237,15 +240,20 @@ def _possible(x: str, y: str, num: int, den: int) -> Column:
 
 
 def _links(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Verify each pair (a, b) once on the whole sets; (a, b, linked)."""
+    """Verify each pair (a, b) once on the whole sets; (a, b, linked, far), far being the Jaccard distance in parts of FAR, rounded up."""
     side = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"t{c}"))
     both = F.size(F.array_intersect("ta", "tb")).cast("long")
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
-    return rows.select("a", "b", (F.col("both") * (num + den) >= F.col("sum") * num).alias("linked"))
+    far = F.expr(f"({FAR} * (sum - 2 * both) + sum - both - 1) div (sum - both)").cast("int")
+    return rows.select("a", "b", (F.col("both") * (num + den) >= F.col("sum") * num).alias("linked"), far.alias("far"))
 
 
-def linked_texts(docs: DataFrame, base: DataFrame, text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
-    """(v, root): the component of every text that has a link to a different text; ``base`` is what shingled() gives."""
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _led(docs: DataFrame, base: DataFrame, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts that may have a partner, their prefix postings, (key, lead) of texts that meet others, and the verified pairs of these two."""
     spark = docs.sparkSession
     small_batches(spark)
     total = base.where("not often").agg(F.sum("n")).first()[0] or 0
@@ -266,9 +274,15 @@ def linked_texts(docs: DataFrame, base: DataFrame, text_col: str = "text", num:
     lead = posts.groupBy("h").agg(F.min(F.struct("own", "key", "n", "pos", "classes")).alias("l"), F.count(F.lit(1)).alias("met")).where("met > 1")
     lead = lead.select("h", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("own", "key", "n", "pos", "classes")))
     met = posts.join(lead, "h").where(F.col("key") != F.col("l_key")).where(_possible("", "l_", num, den))
-    first = met.groupBy("key").agg(F.min(F.struct("l_own", "l_key")).alias("l"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = cut(_links(first.select(*pair(F.col("key"), F.col("l.l_key"))).distinct(), texts, num, den))
+    first = met.groupBy("key").agg(F.min(F.struct("l_own", "l_key")).alias("l")).select("key", F.col("l.l_key").alias("lead"))
+    first = cut(first)
+    tried = cut(_links(first.select(*_pair("key", "lead")).distinct(), texts, num, den))
+    return texts, posts, first, tried
+
+
+def linked_texts(docs: DataFrame, base: DataFrame, text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+    """(v, root): the component of every text that has a link to a different text; ``base`` is what shingled() gives."""
+    texts, posts, _, tried = _led(docs, base, text_col, num, den)
     comps = components(tried.where("linked"))
 
     placed = posts.join(comps.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -277,18 +291,59 @@ def linked_texts(docs: DataFrame, base: DataFrame, text_col: str = "text", num:
     x = placed.where("root <> major").select("h", *(F.col(c).alias(f"x_{c}") for c in ("key", "n", "pos", "classes", "root")))
     y = placed.select("h", *(F.col(c).alias(f"y_{c}") for c in ("key", "n", "pos", "classes", "root")))
     more = x.join(y, (x.h == y.h) & (F.col("x_root") != F.col("y_root")) & _possible("x_", "y_", num, den))
-    more = more.select(*pair(F.col("x_key"), F.col("y_key"))).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = more.select(*_pair("x_key", "y_key")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     found = cut(_links(more, texts, num, den).where("linked"))
     return components(tried.where("linked").select("a", "b").unionByName(found.select("a", "b")))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_copies.
+def counted_links(docs: DataFrame, base: DataFrame, copies: DataFrame, text_col: str = "text", num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
+    """(v, root) as linked_texts(), and (key, others): documents with a different text that link with text ``key``; ``copies`` has key and n_copies.
+
+    A text that links with its leader stands in the leader's star, at a known
+    distance. Two texts of a star whose distances add up to the threshold at
+    most are linked, by the triangle inequality; they are counted from the
+    star's histogram of distances (at most FAR steps) and never listed. Every
+    other candidate pair is verified.
+    """
+    texts, posts, first, tried = _led(docs, base, text_col, num, den)
+    limit = FAR * (den - num) // den
+    led = cut(first.select("key", "lead", *_pair("key", "lead")).join(tried.where("linked"), ["a", "b"]).select("key", "lead", "far"))
+    rows = led.count()
+    centers = led.select("lead").distinct().join(led.select(F.col("key").alias("lead")), "lead", "left_anti").withColumn("center", F.lit(True))
+    stars = spread_join(led, cut(centers), "lead", rows).where("center").select("key", F.col("lead").alias("star"), "far")
+    stars = cut(stars.unionByName(centers.select(F.col("lead").alias("key"), F.col("lead").alias("star"), F.lit(0).alias("far"))))
+
+    placed = posts.join(stars, "key", "left").withColumn("star", F.coalesce("star", "key")).withColumn("far", F.coalesce("far", F.lit(0)))
+    near = (2 * F.col("far") <= limit).cast("long")
+    per_star = placed.groupBy("h", "star").agg(F.count(F.lit(1)).alias("n"), F.sum(near).alias("near"))
+    mixed = per_star.groupBy("h").agg(F.max_by("star", F.struct("near", "star")).alias("major"), F.max("near").alias("near"), F.sum("n").alias("n")).where("n > 1 and n > near").select("h", "major")
+    placed = cut(placed.join(mixed, "h").withColumn("inside", (F.col("star") == F.col("major")) & (near == 1)))
+    names = ("key", "n", "pos", "classes", "star", "far", "inside")
+    x = placed.where("not inside").select("h", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = placed.select("h", *(F.col(c).alias(f"y_{c}") for c in names))
+    open_ = (F.col("x_star") != F.col("y_star")) | (F.col("x_far") + F.col("y_far") > limit)
+    more = x.join(y, (x.h == y.h) & (F.col("y_inside") | (F.col("x_key") < F.col("y_key"))) & open_ & _possible("x_", "y_", num, den))
+    found = cut(_links(more.select(*_pair("x_key", "y_key")).distinct(), texts, num, den).where("linked").select("a", "b"))
+    roots = components(tried.where("linked").select("a", "b").unionByName(found))
+
+    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("other")), F.struct(F.col("b").alias("key"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    listed = ends.join(copies.select(F.col("key").alias("other"), "n_copies"), "other").groupBy("key").agg(F.sum("n_copies").alias("others"))
+    members = cut(stars.join(copies.select("key", "n_copies"), "key").withColumn("cell", F.struct("star", "far")))
+    cells = members.groupBy("star", "far").agg(F.sum("n_copies").alias("w")).groupBy("star").agg(F.collect_list(F.struct("far", "w")).alias("all"))
+    reach = cells.select("star", "all", F.explode("all").alias("c"))
+    reach = reach.select(F.struct(F.col("star"), F.col("c.far").alias("far")).alias("cell"), F.aggregate("all", F.lit(0).cast("long"), lambda s, y: s + F.when(y["far"] + F.col("c.far") <= limit, y["w"]).otherwise(0)).alias("reach"))
+    certain = spread_join(members, cut(reach), "cell", rows).select("key", (F.col("reach") - F.when(2 * F.col("far") <= limit, F.col("n_copies")).otherwise(0)).alias("others"))
+    return roots, cut(listed.unionByName(certain).groupBy("key").agg(F.sum("others").alias("others")))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_copies, and with ``links`` n_links.
 
     Two documents link when ``den * |intersection| >= num * |union|`` of their
     sets of distinct five-word shingles (A-Z lower-cased; shorter texts are one
     shingle). component_id is the smallest doc_id reachable over links, the
-    document itself included; n_copies counts the documents with its very words.
+    document itself included; n_copies counts the documents with its very words,
+    n_links the other documents that it links with, copies among them.
 
     Null, empty and blank texts have no shingles, link with nothing and are
     their own component. Equal texts are one text until the end, whatever their
@@ -297,12 +352,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Shingles and texts are compared by 64-bit hashes.
     """
     base = cut(shingled(docs, id_col, text_col))
-    roots = linked_texts(docs, base, text_col, num, den)
+    rows = base.where("not often").count()
+    copies = base.where("not often and key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first"))
+    if links:
+        copies = cut(copies)
+        roots, others = counted_links(docs, base, copies, text_col, num, den)
+        copies = copies.join(others, "key", "left").withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("others", F.lit(0)))
+    else:
+        roots = linked_texts(docs, base, text_col, num, den)
+    more = ["n_links"] if links else []
     base = base.where("not often").drop("often")
-    rows = base.count()
-    copies = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("first"))
     texts = cut(copies.join(roots.withColumnRenamed("v", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     named = cut(texts.groupBy("root").agg(F.min("first").alias("least")))
-    texts = cut(spread_join(texts, named, "root", rows).select("key", "least", "n_copies"))
+    texts = cut(spread_join(texts, named, "root", rows).select("key", "least", "n_copies", *more))
     out = spread_join(base, texts, "key", rows)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    counts = [F.coalesce(c, F.lit(d)).cast("long").alias(c) for c, d in (("n_copies", 1), ("n_links", 0)) if c != "n_links" or links]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *counts)

@@ -25,7 +25,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ met AS (
     GROUP BY ALL HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 edges AS (SELECT a, b FROM met UNION SELECT b, a FROM met),
 reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, edges.b FROM reach JOIN edges ON edges.a = reach.r)
-SELECT sets.doc_id, len(s) AS n_shingles, (SELECT min(r) FROM reach WHERE v = sets.doc_id) AS component_id FROM sets""",
+SELECT sets.doc_id, len(s) AS n_shingles, (SELECT min(r) FROM reach WHERE v = sets.doc_id) AS component_id, (SELECT count(*) FROM edges WHERE a = sets.doc_id) AS n_links FROM sets""",
 }
 
 

@@ -20,7 +20,7 @@ def sets(text):
 
 def brute(rows):
     s = [(i, sets(t)) for i, t in rows]
-    root = list(range(len(s)))
+    root, links = list(range(len(s))), [0] * len(s)
 
     def find(x):
         while root[x] != x:
@@ -32,11 +32,13 @@ def brute(rows):
             both = len(s[a][1] & s[b][1])
             if both and 100 * both >= 80 * (len(s[a][1]) + len(s[b][1]) - both):
                 root[find(a)] = find(b)
+                links[a] += 1
+                links[b] += 1
     least = {}
     for k, (i, x) in enumerate(s):
         if x and i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
-    return sorted(((i, len(x), least.get(find(k), i) if x else i) for k, (i, x) in enumerate(s)), key=str)
+    return sorted(((i, len(x), least.get(find(k), i) if x else i, links[k]) for k, (i, x) in enumerate(s)), key=str)
 
 
 def corpus(words):
@@ -52,10 +54,17 @@ def corpus(words):
     return [(100 - i, t) for i, t in enumerate(rows)]
 
 
+def assert_like_brute(df, rows):
+    want = brute(rows)
+    got = ngram_join.ngram_components(df, links=True).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+    got = ngram_join.ngram_components(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted((x[:3] for x in want), key=str)
+
+
 def test_like_all_pairs(docs, words, odd):
     rows = corpus(words) + odd
-    got = sorted((tuple(r)[:3] for r in ngram_join.ngram_components(docs(rows)).collect()), key=str)
-    assert got == brute(rows)
+    assert_like_brute(docs(rows), rows)
 
 
 def test_hot_shingles_and_many_buckets(docs, words, odd, monkeypatch):
@@ -66,19 +75,20 @@ def test_hot_shingles_and_many_buckets(docs, words, odd, monkeypatch):
     rows = corpus(words) + odd + [(2000 + i, " ".join(common[: 40 - i % 4] + words(500 + i, i % 12))) for i in range(60)]
     base = ngram_join.cut(ngram_join.shingled(docs(rows)))
     assert base.where("often").count() > 0
-    got = sorted((tuple(r)[:3] for r in ngram_join.ngram_components(docs(rows)).collect()), key=str)
-    assert got == brute(rows)
+    assert_like_brute(docs(rows), rows)
 
 
 def test_large_group_of_near_copies(docs, words):
     base = words(1, 200)
     rows = [(0, " ".join(base))] + [(i, " ".join(base[: i % 190] + ["x" + str(i)] + base[i % 190 + 1 :])) for i in range(1, 300)] + [(1000 + i, " ".join(base)) for i in range(50)]
-    out = ngram_join.ngram_components(docs(rows)).collect()
+    out = ngram_join.ngram_components(docs(rows), links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in out} == {i: n for i, _, _, n in brute(rows)}
     assert {r["component_id"] for r in out} == {0} and len(out) == 350 and next(r for r in out if r["doc_id"] == 1000)["n_copies"] == 51
 
 
 def test_empty_table(docs):
-    assert ngram_join.ngram_components(docs([])).count() == 0
+    for links in (False, True):
+        assert ngram_join.ngram_components(docs([]), links=links).count() == 0
 
 
 def test_hashes_of_words_and_shingles(words, odd):
