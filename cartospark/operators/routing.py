@@ -220,7 +220,7 @@ def route_nodes(edges: DataFrame, stops: list, weight: str = "time_s") -> DataFr
 
 def route(m: GeoMap, points: list[tuple[float, float]], mode: str = "drive", optimize: str = "time", fix_reverse: bool = True) -> DataFrame:
     """The steps of a route over (lat, lon) points in order; empty if there is none."""
-    edges = network.edges(m, mode, fix_reverse=fix_reverse).cache()
+    edges = cut(network.edges(m, mode, fix_reverse=fix_reverse))
     return route_nodes(edges, _snapped(m, edges, points), "time_s" if optimize == "time" else "distance_m")
 
 
@@ -308,13 +308,13 @@ def distance_matrix(edges: DataFrame, nodes: list, weight: str = "time_s") -> Da
 
 def isochrone(m: GeoMap, lat: float, lon: float, minutes: list[float], mode: str = "walk", bins: int = 36) -> tuple[DataFrame, DataFrame]:
     """(reached: node, cost, lat, lon, zone; rings: zone, bin, lon, lat): what is in reach, by the smallest time that covers it, and outlines."""
-    edges = network.edges(m, mode).cache()
+    edges = cut(network.edges(m, mode))
     start = _snapped(m, edges, [(lat, lon)])[0]
     limits = sorted(minutes)
     zone = F.lit(None).cast("double")
     for t in reversed(limits):
         zone = F.when(F.col("cost") <= t * 60, float(t)).otherwise(zone)
-    reached = reach(edges, [start], "time_s", bound=limits[-1] * 60).select(F.col("node").alias("id"), "cost").join(m.coords, "id").withColumn("zone", zone)
+    reached = cut(reach(edges, [start], "time_s", bound=limits[-1] * 60).select(F.col("node").alias("id"), "cost").join(m.coords, "id").withColumn("zone", zone))
     center = m.coords.where(F.col("id") == start).first()
     rings = None
     for t in limits:

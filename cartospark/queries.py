@@ -14,6 +14,7 @@ from .operators import aggregates, analysis, geometry, network, ordering, routin
 from .plans import features, filters
 from .plans import tagexpr as T
 from .plans.model import GeoMap, members_by_role
+from .session import cut
 from .sources import osm_xml
 from .streaming import counts
 
@@ -588,6 +589,11 @@ def components_all(m: GeoMap) -> DataFrame:
     return network.connectivity(network.network(m, "all")[1])
 
 
+def _roads(m: GeoMap, directed: bool = True) -> DataFrame:
+    """The driving network, stored once: the searches on it count it, look for their ends and read it."""
+    return cut(network.edges(m, directed=directed))
+
+
 def _stops(edges: DataFrame, n: int) -> list:
     return [r["src"] for r in edges.select("src").distinct().orderBy("src").limit(n).collect()]
 
@@ -616,19 +622,19 @@ _FIRST = "SELECT src FROM (SELECT DISTINCT src FROM e) ORDER BY src LIMIT "
 
 @query(_best("drive", _FIRST + "1") + " SELECT node, round(cost, 1) AS cost FROM best")
 def sssp_time(m: GeoMap) -> DataFrame:
-    e = network.edges(m)
+    e = _roads(m)
     return routing.relax(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
 
 
 @query(_best("drive", _FIRST + "1") + " SELECT node, round(cost, 1) AS cost FROM best")
 def sssp_packed(m: GeoMap) -> DataFrame:
-    e = network.edges(m)
+    e = _roads(m)
     return routing.costs(e, _stops(e, 1)).select("node", F.round("cost", 1).alias("cost"))
 
 
 @query(_best("drive", _FIRST + "6") + " SELECT o.r AS origin, d.r AS destination, round(cost, 1) AS cost, round(metres, 1) AS distance_m FROM roots o CROSS JOIN roots d LEFT JOIN best ON source = o.r AND node = d.r")
 def distance_matrix(m: GeoMap) -> DataFrame:
-    e = network.edges(m)
+    e = _roads(m)
     return routing.distance_matrix(e, _stops(e, 6)).select("origin", "destination", F.round("cost", 1).alias("cost"), F.round("distance_m", 1).alias("distance_m"))
 
 
@@ -646,14 +652,14 @@ _ROUTE = _route_sql() + " SELECT CAST(leg AS INT) AS leg, CAST(row_number() OVER
 
 @query(_ROUTE)
 def route(m: GeoMap) -> DataFrame:
-    e = network.edges(m, directed=False)
+    e = _roads(m, directed=False)
     return routing.route_nodes(e, _stops(e, 4)).select("leg", "seq", "src", "dst", "way_id", F.round("distance_m", 1).alias("distance_m"))
 
 
 @query(_ROUTE)
 def route_joined(m: GeoMap) -> DataFrame:
     """The way for networks of any size."""
-    e = network.edges(m, directed=False)
+    e = _roads(m, directed=False)
     stops = _stops(e, 4)
     kind = dict(e.dtypes)["src"]
     legs = e.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(stops, stops[1:], strict=False))], f"leg int, source {kind}, target {kind}")
@@ -667,13 +673,13 @@ per AS (SELECT no, arg_min(struct_pack(turn := turn), struct_pack(a := leg, b :=
 SELECT CAST(no AS BIGINT) AS no, CASE WHEN turn IS NULL THEN 'Start on ' || name ELSE CASE WHEN abs(turn) < 20 THEN 'Continue straight' WHEN abs(turn) > 150 THEN 'Make a U-turn' WHEN abs(turn) > 70 THEN 'Turn ' || CASE WHEN turn > 0 THEN 'right' ELSE 'left' END ELSE 'Bear ' || CASE WHEN turn > 0 THEN 'right' ELSE 'left' END END || ' onto ' || name END AS instruction, name, round(distance_m, 1) AS distance_m FROM per
 UNION ALL SELECT CAST(max(no) + 1 AS BIGINT), 'Arrive at destination', NULL, 0.0e0 FROM per""")
 def directions(m: GeoMap) -> DataFrame:
-    e = network.edges(m, directed=False)
+    e = _roads(m, directed=False)
     return routing.directions(routing.route_nodes(e, _stops(e, 4)), m.coords).select("no", "instruction", "name", F.round("distance_m", 1).alias("distance_m"))
 
 
 @query()
 def alternatives(m: GeoMap) -> DataFrame:
-    e = network.edges(m, directed=False)
+    e = _roads(m, directed=False)
     return routing.alternatives(e, *_stops(e, 2)).select("route", "seq", "src", "dst", F.round("distance_m", 1).alias("distance_m"))
 
 
@@ -734,12 +740,12 @@ def articulation(m: GeoMap) -> DataFrame:
 
 @query()
 def betweenness(m: GeoMap) -> DataFrame:
-    return analysis.betweenness(network.edges(m, directed=False), samples=40).select("id", F.round("betweenness", 9).alias("betweenness"))
+    return analysis.betweenness(_roads(m, directed=False), samples=40).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query()
 def detour(m: GeoMap) -> DataFrame:
-    e = network.edges(m, directed=False)
+    e = _roads(m, directed=False)
     return analysis.detours(e, m.coords, 20).select("origin", "destination", F.round("straight_m", 1).alias("straight_m"), F.round("factor", 3).alias("factor"))
 
 
