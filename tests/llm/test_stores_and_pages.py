@@ -274,7 +274,7 @@ def test_pipeline(spark):
     plain = dedup_plain(sorted(rows[1]))
     assert rows[2] == {(i, t) for i, t, n in plain if not n or t.split()} and len(rows[2]) < len(rows[1])
     # n-gram join: all pairs
-    assert {i for i, _ in rows[3]} == {i for i, _, c in brute(sorted(rows[2])) if i == c} and rows[3] <= rows[2]
+    assert {i for i, _ in rows[3]} == {i for i, _, c, _ in brute(sorted(rows[2])) if i == c} and rows[3] <= rows[2]
     copies = {r["doc_id"]: r["copies"] for r in mixing.copies(tables[3]).collect() if r["copies"]}
     assert Counter(r["doc_id"] for r in tables[4].select("doc_id").collect()) == Counter(copies) and rows[4] <= rows[3]
     out = corpus_pipeline.run(spark, SF)
