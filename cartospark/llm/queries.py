@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, toxicity
+from . import centroids, fingerprints, html_extract, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, toxicity
 from .common import scratch, table
 
 
@@ -64,9 +64,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_chunks", "n_removed_lines")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_html_extract, op4_mixing, op5_fingerprints, op6_license_scan, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_line_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_ngram_jaccard, op3_html_extract, op4_mixing, op5_fingerprints, op6_license_scan, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_line_dedup,
+        op11_centroids,
+    )
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -121,3 +129,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE_SQL["op7_quality_rules"] = _op7_sql()
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of assignment and exact floors of means, one after the other; distances in full."""
+    dist = "list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    assign = lambda n: f"a{n} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(q) AS q, min(x) AS x FROM (SELECT v.*, struct_pack(d := CAST({dist} AS BIGINT), k := k) AS x FROM v, c{n} c) GROUP BY r)"
+    parts = []
+    for n in range(rounds):
+        parts += [
+            assign(n),
+            f"s{n} AS (SELECT x.k AS k, i, sum(q[i]) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, 65)) AS i) GROUP BY x.k, i)",
+            f"m{n} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{n} GROUP BY k)",
+            f"c{n + 1} AS (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{n} c LEFT JOIN m{n} m ON m.k = c.k)",
+        ]
+    return f"""
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, q) - 1 AS k, q FROM v QUALIFY k < {k}),
+{", ".join(parts)}, {assign(rounds)},
+per AS (SELECT x.k AS k, CAST(sum(x.d) AS BIGINT) AS s FROM a{rounds} GROUP BY x.k)
+SELECT vec_id, CAST(x.k AS INT) AS cluster, x.d AS distance, s AS cluster_inertia, CAST((SELECT sum(s) FROM per) AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN per ON per.k = x.k JOIN c{rounds} c ON c.k = x.k"""
+
+
+ORACLE_SQL["op11_centroids"] = _op11_sql()
