@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, fingerprints, html_extract, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, toxicity
+from . import centroids, conversation_trie, fingerprints, html_extract, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, toxicity
 from .common import scratch, table
 
 
@@ -68,11 +68,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_ngram_jaccard, op3_html_extract, op4_mixing, op5_fingerprints, op6_license_scan, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_line_dedup,
-        op11_centroids,
+        op11_centroids, op12_prefix_trie,
     )
 }
 
@@ -155,3 +159,25 @@ FROM a{rounds} JOIN per ON per.k = x.k JOIN c{rounds} c ON c.k = x.k"""
 
 
 ORACLE_SQL["op11_centroids"] = _op11_sql()
+
+#: CRC-32 bit by bit, over the characters of a decimal number.
+_CRC = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+ORACLE_SQL["op12_prefix_trie"] = rf"""
+WITH t AS (
+    SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, t, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, t) AS pos FROM t),
+convs AS (SELECT c, c - c % 20 AS b, {_CRC} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+k AS (SELECT convs.c, b, h, count(n.pos) AS k FROM convs LEFT JOIN n ON n.c = b AND n.pos <= h GROUP BY ALL),
+again AS (SELECT k.c AS c, pos AS d, t, words FROM k JOIN n ON n.c = b AND pos <= h UNION ALL SELECT k.c, pos - h + k, t, words FROM k JOIN n ON n.c = k.c AND pos > h),
+pre AS (SELECT c, d, words, string_agg(t, ',') OVER (PARTITION BY c ORDER BY d) AS key FROM again UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (SELECT key, min(c) AS c, max(d) AS d, count(*) AS n, max(words) AS words FROM pre GROUP BY key),
+up AS (SELECT x.key, p.key AS above, p.c AS parent FROM nodes x JOIN pre ON pre.c = x.c AND pre.d = x.d - 1 JOIN nodes p ON p.key = pre.key),
+kids AS (SELECT above AS key, count(*) AS n_children FROM up GROUP BY above),
+below AS (
+    SELECT pre.key, count(*) FILTER (kids.key IS NULL) AS n_leaves, sum((x.n - 1) * x.words) AS saved FROM nodes x JOIN pre ON pre.c = x.c AND pre.d <= x.d LEFT JOIN kids ON kids.key = x.key GROUP BY pre.key),
+ends AS (SELECT key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM pre WHERE d = (SELECT max(d) FROM pre q WHERE q.c = pre.c) GROUP BY key)
+SELECT nodes.c AS conv_id, CAST(nodes.d AS BIGINT) AS depth, parent AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN below USING (key) LEFT JOIN up USING (key) LEFT JOIN kids USING (key) LEFT JOIN ends USING (key)"""
