@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, conversation_trie, fingerprints, html_extract, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, toxicity
+from . import centroids, conversation_trie, embedding_dedup, fingerprints, html_extract, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, toxicity
 from .common import scratch, table
 
 
@@ -72,11 +72,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_ngram_jaccard, op3_html_extract, op4_mixing, op5_fingerprints, op6_license_scan, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_line_dedup,
-        op11_centroids, op12_prefix_trie,
+        op11_centroids, op12_prefix_trie, op13_embedding_dedup,
     )
 }
 
@@ -181,3 +185,16 @@ below AS (
 ends AS (SELECT key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM pre WHERE d = (SELECT max(d) FROM pre q WHERE q.c = pre.c) GROUP BY key)
 SELECT nodes.c AS conv_id, CAST(nodes.d AS BIGINT) AS depth, parent AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM nodes JOIN below USING (key) LEFT JOIN up USING (key) LEFT JOIN kids USING (key) LEFT JOIN ends USING (key)"""
+
+_COS = "list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])) / (a.norm * b.norm)"
+
+ORACLE_SQL["op13_embedding_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+sound AS (
+    SELECT *, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm FROM v
+    WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = len(x) AND len(list_filter(x, lambda y: y <> 0)) > 0),
+pairs AS (SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r < b.r WHERE {_COS} >= 0.93),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(r, c) USING KEY (r) AS (SELECT r, vec_id FROM v UNION (SELECT edges.b, min(reach.c) FROM reach JOIN edges ON edges.a = reach.r JOIN recurring.reach o ON o.r = edges.b WHERE reach.c < o.c GROUP BY edges.b)),
+n AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN reach USING (r) LEFT JOIN n ON n.a = v.r"""
