@@ -1,9 +1,9 @@
-"""OpenStreetMap XML as DataFrames, through Spark's XML reader.
+"""OpenStreetMap XML as a map.
 
-One scan per element sort with an explicit schema: attribute order, entities and
-self-closing elements need no care, and a way's body is never taken for another
-element's. A file is one partition; scan many files in parallel, or scan once
-and ``to_parquet`` the result, from which later queries prune and push down.
+``read`` parses files once, in as many tasks as they have splits (``osm_split``),
+and keeps the elements as Parquet in the shared folder, from which queries prune
+and push down. ``read_whole`` goes through Spark's XML reader, one lazy scan for
+each sort of element and one task a file; it gives the same rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.model import GeoMap
+from ..session import scratch
+from . import osm_split
 
 _TAG = "tag array<struct<_k: string, _v: string>>"
 _SCHEMAS = {
@@ -33,20 +35,35 @@ def _scan(spark: SparkSession, paths: str | list[str], tag: str) -> DataFrame:
     return rows.where("_id is not null").withColumn("ord", F.monotonically_increasing_id()).withColumn("tags", tags_map(F.col("tag")))
 
 
-def read(spark: SparkSession, paths: str | list[str], relations: bool = True) -> GeoMap:
+def _map(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None) -> GeoMap:
+    """Nodes whose coordinates are no numbers, ways without tags or references, relations without tags or members are left out."""
+    nodes = nodes.withColumns({c: F.col(c).try_cast("double") for c in ("lat", "lon")}).where("lat is not null and lon is not null")
+    coords = nodes.groupBy("id").agg(F.max_by(F.struct("lat", "lon"), "ord").alias("p")).select("id", "p.lat", "p.lon")
+    ways = ways.where((F.size("tags") > 0) & (F.size("node_refs") > 0))
+    found = relations.where((F.size("tags") > 0) & (F.size("members") > 0)) if relations is not None else None
+    return GeoMap(nodes.where(F.size("tags") > 0), coords, ways, found)
+
+
+def read(spark: SparkSession, paths: str | list[str], relations: bool = True, target: str | None = None) -> GeoMap:
     """The map of one or more files: tagged nodes, all coordinates, ways with tags and references, relations with tags and members.
 
-    Nodes whose coordinates are no numbers are left out.
+    Files are parsed here and now, once, into ``target`` or a new folder below
+    the shared one; what the map's tables read is that.
     """
-    nodes = _scan(spark, paths, "node").select(F.col("_id").alias("id"), F.col("_lat").try_cast("double").alias("lat"), F.col("_lon").try_cast("double").alias("lon"), "tags", "ord").where("lat is not null and lon is not null")
+    rows = osm_split.ingest(spark, paths, target or scratch(spark, "osm"))
+    of = lambda kind, *cols: rows.where(F.col("kind") == kind).select("id", *cols, "tags", "ord")
+    return _map(of("node", "lat", "lon").select("id", "lat", "lon", "tags", "ord"), of("way", "node_refs"), of("relation", "members") if relations else None)
+
+
+def read_whole(spark: SparkSession, paths: str | list[str], relations: bool = True) -> GeoMap:
+    """``read`` through Spark's XML reader: nothing is stored, a file is one task, each table is a scan."""
+    nodes = _scan(spark, paths, "node").select(F.col("_id").alias("id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "tags", "ord")
     ways = _scan(spark, paths, "way").select(F.col("_id").alias("id"), F.transform(F.coalesce("nd", F.array().cast("array<struct<_ref: string>>")), lambda x: x["_ref"]).alias("node_refs"), "tags", "ord")
-    ways = ways.where((F.size("tags") > 0) & (F.size("node_refs") > 0))
     found = None
     if relations:
         members = F.transform(F.coalesce("member", F.array().cast("array<struct<_type: string, _ref: string, _role: string>>")), lambda x: F.struct(x["_type"].alias("type"), x["_ref"].alias("ref"), F.coalesce(x["_role"], F.lit("")).alias("role")))
-        found = _scan(spark, paths, "relation").select(F.col("_id").alias("id"), members.alias("members"), "tags", "ord").where((F.size("tags") > 0) & (F.size("members") > 0))
-    coords = nodes.groupBy("id").agg(F.max_by(F.struct("lat", "lon"), "ord").alias("p")).select("id", "p.lat", "p.lon")
-    return GeoMap(nodes.where(F.size("tags") > 0), coords, ways, found)
+        found = _scan(spark, paths, "relation").select(F.col("_id").alias("id"), members.alias("members"), "tags", "ord")
+    return _map(nodes, ways, found)
 
 
 def to_parquet(m: GeoMap, path: str) -> None:
