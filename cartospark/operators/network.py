@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import geo, units
 from ..plans.model import GeoMap
-from ..session import cut
+from ..session import cut, stored
 from .spatial import segments
 
 
@@ -87,7 +87,7 @@ def components(e: DataFrame) -> DataFrame:
         point, moved = cut(point), True
         while moved:
             hop = point.select(F.col("v").alias("to"), F.col("to").alias("hop"))
-            point = cut(point.join(hop, "to", "left").select("v", F.coalesce("hop", "to").alias("to"), (F.coalesce("hop", "to") != F.col("to")).alias("moved")))
+            point = stored(point.join(hop, "to", "left").select("v", F.coalesce("hop", "to").alias("to"), (F.coalesce("hop", "to") != F.col("to")).alias("moved")))
             moved = bool(point.where("moved").take(1))
             point = point.select("v", "to")
         labels = cut(labels.join(point.withColumnRenamed("v", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))

@@ -58,3 +58,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the folder that driver and executors share."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again.
+
+    For tables that are joined with themselves round after round: a checkpoint
+    keeps the planner's estimate of its size, which such joins square each time
+    until planning takes longer than the work; of files the size is known.
+    """
+    path = scratch(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
