@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         point, moved = cut(point), True
         while moved:
             nxt = point.select(F.col("v").alias("to"), F.col("to").alias("nxt"))
-            point = cut(point.join(nxt, "to", "left").select("v", F.coalesce("nxt", "to").alias("to"), (F.coalesce("nxt", "to") != F.col("to")).alias("moved")))
+            point = stored(point.join(nxt, "to", "left").select("v", F.coalesce("nxt", "to").alias("to"), (F.coalesce("nxt", "to") != F.col("to")).alias("moved")))
             moved = bool(point.where("moved").take(1))
             point = point.select("v", "to")
         labels = cut(labels.join(point.select(F.col("v").alias("root"), "to"), "root", "left").select("v", F.coalesce("to", "root").alias("root")))

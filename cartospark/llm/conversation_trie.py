@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, n_words, partitions, ship, spread_join
+from .common import cut, n_words, partitions, ship, spread_join, stored
 
 #: Turns (or nodes of a chain) in a block of running sums.
 BLOCK = 1024
@@ -129,7 +129,7 @@ def gathered(chains: DataFrame, cols: tuple[str, ...]) -> DataFrame:
         up = rows.select(F.col("c").alias("anc"), F.col("anc").alias("further"))
         more = rows.join(below, "c", "left").withColumns({x: F.col(x) + F.coalesce(f"{x}_below", F.lit(0)) for x in cols}).select("c", "p", "anc", *cols)
         climbing = spread_join(more.where("anc is not null"), up, "anc", n).select("c", "p", F.col("further").alias("anc"), *cols)
-        rows = cut(climbing.unionByName(more.where("anc is null")))
+        rows = stored(climbing.unionByName(more.where("anc is null")))
     return rows.select("c", "p", *cols)
 
 
