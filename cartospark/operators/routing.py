@@ -1,8 +1,8 @@
 """Shortest paths and what is built on them.
 
 Two ways to the same paths. A graph of up to MAX_EDGES edges (counted first) is
-packed into arrays, sent to the workers once, and each source runs Dijkstra's
-algorithm in one of them. A larger graph stays a table: ``relax`` lowers costs
+packed into arrays of numbers, sent to the workers once, and each source or leg
+runs Dijkstra's algorithm in one of them; names are joined to the paths found. A larger graph stays a table: ``relax`` lowers costs
 by joins with the edge table until nothing changes, from all sources at once,
 and ``joined_steps`` follows its trees back to the source by pointer doubling,
 so a path of n steps takes about log2(n) joins.
@@ -28,19 +28,21 @@ from ..plans.model import GeoMap
 from ..session import cut, ship
 from . import geometry, network, spatial
 
-MAX_EDGES = 5_000_000
+#: Edges of a packed graph: 48 bytes each where ids are numbers.
+MAX_EDGES = 1_000_000
 
 
 @dataclass
 class Graph:
-    """Adjacency arrays: node ids (sorted), and of each node's edges the target, cost, length and row."""
+    """Adjacency arrays: node ids (sorted), and of each node's edges the target, cost, length, way and place in it."""
 
     ids: np.ndarray
     start: np.ndarray
     to: np.ndarray
     cost: np.ndarray
     metres: np.ndarray
-    row: np.ndarray
+    way: np.ndarray
+    pos: np.ndarray
 
     def index(self, node) -> int:
         i = int(np.searchsorted(self.ids, node))
@@ -81,23 +83,23 @@ class Graph:
         return out[::-1]
 
 
-def pack(edges: DataFrame, weight: str = "time_s") -> tuple[Graph, pd.DataFrame]:
-    """The graph of an edge table, and the table's rows; ValueError beyond MAX_EDGES."""
+def pack(edges: DataFrame, weight: str = "time_s") -> Graph:
+    """The graph of an edge table; ValueError beyond MAX_EDGES."""
     n = edges.count()
     if n > MAX_EDGES:
         raise ValueError(f"{n} edges are more than {MAX_EDGES}: use relax()")
-    rows = edges.toPandas().sort_values(["src", "dst", weight, "way_id", "pos"], kind="stable").reset_index(drop=True)
+    rows = edges.select("src", "dst", F.col(weight).alias("cost"), "distance_m", "way_id", "pos").toPandas().sort_values(["src", "dst", "cost", "way_id", "pos"], kind="stable")
     ids = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()])) if n else np.array([])
     src = np.searchsorted(ids, rows["src"].to_numpy()) if n else np.array([], dtype=int)
-    start = np.searchsorted(src, np.arange(len(ids) + 1))
-    return Graph(ids, start, np.searchsorted(ids, rows["dst"].to_numpy()) if n else src, rows[weight].to_numpy(dtype=float), rows["distance_m"].to_numpy(dtype=float), rows.index.to_numpy()), rows
+    to = np.searchsorted(ids, rows["dst"].to_numpy()) if n else src
+    return Graph(ids, np.searchsorted(src, np.arange(len(ids) + 1)), to, rows["cost"].to_numpy(dtype=float), rows["distance_m"].to_numpy(dtype=float), rows["way_id"].to_numpy(), rows["pos"].to_numpy())
 
 
 def costs(edges: DataFrame, sources: list, weight: str = "time_s", bound: float = float("inf")) -> DataFrame:
     """(source, node, cost, distance_m) of everything that each source reaches within the bound; distance_m is that of the cheapest path."""
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
-    graph, _ = pack(edges, weight)
+    graph = pack(edges, weight)
     ship(spark)
     shared = spark.sparkContext.broadcast(graph)  # at most MAX_EDGES edges
 
@@ -119,12 +121,12 @@ def costs(edges: DataFrame, sources: list, weight: str = "time_s", bound: float
     return spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], f"source {kind}").repartition(min(len(sources) or 1, 64)).mapInPandas(run, f"source {kind}, node {kind}, cost double, distance_m double")
 
 
-def relax(edges: DataFrame, sources: list, weight: str = "time_s", bound: float = float("inf"), max_rounds: int = 10_000, metres: bool = False, tree: bool = False) -> DataFrame:
+def relax(edges: DataFrame, sources: list | DataFrame, weight: str = "time_s", bound: float = float("inf"), max_rounds: int = 10_000, metres: bool = False, tree: bool = False) -> DataFrame:
     """(source, node, cost): the same costs by relaxation joins, for graphs of any size; lineage is cut every round.
 
     With ``metres`` also distance_m, of equally cheap paths that of the
     shortest. With ``tree`` also prev, the node before on the cheapest path
-    (null at the source).
+    (null at the source). Sources are a list, or a table with a column id.
     """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
@@ -133,7 +135,9 @@ def relax(edges: DataFrame, sources: list, weight: str = "time_s", bound: float
     least = lambda t, keys, cols: t.groupBy(*keys).agg(F.min(F.struct(*cols)).alias("b")).select(*keys, *(F.col(f"b.{c}").alias(c) for c in cols))
     e = least(edges.select("src", "dst", *(F.col(w).alias(c) for c, w in sums.items())), ["src", "dst"], list(sums)).select("src", "dst", *(F.col(c).alias(f"w_{c}") for c in sums))
     e = cut(e)
-    best = spark.createDataFrame([(s, s) for s in dict.fromkeys(sources)], f"source {kind}, node {kind}").join(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
+    if isinstance(sources, list):
+        sources = spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], f"id {kind}")
+    best = sources.select(F.col("id").alias("source"), F.col("id").alias("node")).join(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
     start = [F.lit(None).cast(kind).alias("prev")] if tree else []
     best = fresh = cut(best.select("source", "node", *(F.lit(0.0).alias(c) for c in sums), *start))
     step_more = [F.col("src").alias("prev")] if tree else []
@@ -184,38 +188,47 @@ def _snapped(m: GeoMap, edges: DataFrame, points: list[tuple[float, float]]) ->
     return spatial.snap(nodes, points)
 
 
-def _steps(rows: pd.DataFrame, graph: Graph, path: list[int], leg: int) -> list[tuple]:
-    cols = ("src", "dst", "way_id", "highway", "name", "distance_m", "time_s")
-    part = rows.iloc[[int(graph.row[k]) for k in path]]
-    return [(leg, i, *(None if pd.isna(v) else v for v in r)) for i, r in enumerate(part[list(cols)].itertuples(index=False, name=None))]
-
-
 def _step_table(spark: SparkSession, edges: DataFrame, steps: list[tuple]) -> DataFrame:
     kind = dict(edges.dtypes)
     return spark.createDataFrame(steps, f"leg int, seq int, src {kind['src']}, dst {kind['dst']}, way_id {kind['way_id']}, highway string, name string, distance_m double, time_s double")
 
 
+def _packed_paths(edges: DataFrame, asked: DataFrame, weight: str, find) -> DataFrame:
+    """The step table of ``find(graph, row) -> [(leg, path)]`` for every row of ``asked``, in the workers."""
+    spark, kind = edges.sparkSession, dict(edges.dtypes)
+    graph = pack(edges, weight)
+    ship(spark)
+    shared = spark.sparkContext.broadcast(graph)  # at most MAX_EDGES edges
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
+        for pdf in pdfs:
+            for row in pdf.itertuples(index=False):
+                for leg, path in find(g, row):
+                    at = [g.origin(k) for k in path]
+                    yield pd.DataFrame({"leg": leg, "seq": range(len(path)), "src": g.ids[at], "dst": g.ids[g.to[path]], "way_id": g.way[path], "pos": g.pos[path]})
+
+    keys = ", ".join(f"{c} {kind[c]}" for c in ("src", "dst", "way_id", "pos"))
+    found = cut(asked.repartition(max(1, min(64, asked.count()))).mapInPandas(run, f"leg int, seq int, {keys}"))
+    return edges.join(F.broadcast(found), ["src", "dst", "way_id", "pos"]).select("leg", "seq", "src", "dst", "way_id", "highway", "name", "distance_m", "time_s")  # a few paths
+
+
 def route_nodes(edges: DataFrame, stops: list, weight: str = "time_s") -> DataFrame:
     """(leg, seq, src, dst, way_id, highway, name, distance_m, time_s) of the cheapest path over given nodes in order; empty if a leg has none."""
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
     pairs = list(zip(stops, stops[1:], strict=False))
-    nothing = _step_table(edges.sparkSession, edges, [])
-    if edges.count() > MAX_EDGES:
-        kind = dict(edges.dtypes)["src"]
-        legs = edges.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"leg int, source {kind}, target {kind}")
-        steps = cut(joined_steps(edges, legs, weight))
-        there = steps.select("leg").distinct().count()  # a leg from a node to itself needs no step
-        return steps if there == sum(a != b for a, b in pairs) else nothing
-    graph, rows = pack(edges, weight)
-    steps: list[tuple] = []
-    for leg, (a, b) in enumerate(pairs):
-        i, j = graph.index(a), graph.index(b)
+    legs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"leg int, source {kind}, target {kind}")
+
+    def find(g: Graph, row) -> list[tuple[int, list[int]]]:
+        i, j = g.index(row.source), g.index(row.target)
         if i < 0 or j < 0:
-            return nothing
-        best, via = graph.tree(i, {j})
-        if j not in best:
-            return nothing
-        steps += _steps(rows, graph, graph.path(via, j), leg)
-    return _step_table(edges.sparkSession, edges, steps)
+            return []
+        best, via = g.tree(i, {j})
+        return [(row.leg, g.path(via, j))] if j in best else []
+
+    steps = cut(joined_steps(edges, legs, weight) if edges.count() > MAX_EDGES else _packed_paths(edges, legs, weight, find))
+    there = steps.select("leg").distinct().count()  # a leg from a node to itself needs no step
+    return steps if there == sum(a != b for a, b in pairs) else _step_table(spark, edges, [])
 
 
 def route(m: GeoMap, points: list[tuple[float, float]], mode: str = "drive", optimize: str = "time", fix_reverse: bool = True) -> DataFrame:
@@ -279,22 +292,25 @@ def alternatives(edges: DataFrame, a, b, count: int = 3, weight: str = "time_s",
     """(route, seq, src, dst, ...): the best path and others found by penalising the edges used so far (twice, four times if a path is too alike)."""
     if edges.count() > MAX_EDGES:
         return _joined_alternatives(edges, a, b, count, weight, too_alike)
-    graph, rows = pack(edges, weight)
-    i, j = graph.index(a), graph.index(b)
-    cost, found, steps = graph.cost.copy(), [], []
-    for _ in range(max(1, 4 * count)):
-        if i < 0 or j < 0 or len(found) >= count:
-            break
-        best, via = graph.tree(i, {j}, cost=cost)
-        if j not in best:
-            break
-        path = graph.path(via, j)
-        alike = any(len(set(path) & set(p)) / max(1, len(path)) > too_alike for p in found)
-        cost[path] *= 4 if alike else 2
-        if not alike:
-            steps += _steps(rows, graph, path, len(found))
-            found.append(path)
-    return _step_table(edges.sparkSession, edges, steps).withColumnRenamed("leg", "route")
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+
+    def find(g: Graph, row) -> list[tuple[int, list[int]]]:
+        i, j = g.index(row.source), g.index(row.target)
+        cost, found = g.cost.copy(), []
+        for _ in range(max(1, 4 * count)):
+            if i < 0 or j < 0 or len(found) >= count:
+                break
+            best, via = g.tree(i, {j}, cost=cost)
+            if j not in best:
+                break
+            path = g.path(via, j)
+            alike = any(len(set(path) & set(p)) / max(1, len(path)) > too_alike for p in found)
+            cost[path] *= 4 if alike else 2
+            if not alike:
+                found.append(path)
+        return list(enumerate(found))
+
+    return _packed_paths(edges, spark.createDataFrame([(a, b)], f"source {kind}, target {kind}"), weight, find).withColumnRenamed("leg", "route")
 
 
 def distance_matrix(edges: DataFrame, nodes: list, weight: str = "time_s") -> DataFrame:

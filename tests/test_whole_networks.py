@@ -85,7 +85,7 @@ def test_paths_beyond_the_packed_limit(spark, roads, monkeypatch):
     assert ([plain(routing.route_nodes(e, s)) for s in stops], plain(routing.alternatives(e, 1, 5, 2))) == packed
 
 
-def test_betweenness_and_detours_by_brute_force(spark, roads):
+def test_betweenness_and_detours_by_brute_force(spark, roads, monkeypatch):
     """Shares of all shortest paths, path by path; the roads have no two equal ones."""
     e = network.edges(roads, directed=False)
     rows = e.collect()
@@ -100,9 +100,23 @@ def test_betweenness_and_detours_by_brute_force(spark, roads):
         for b, (_, p) in best.items():
             for v in p[1:-1]:
                 through[v] += (b != a) / (9 * 8)
-    got = {r["id"]: r["betweenness"] for r in analysis.betweenness(e).collect()}
-    assert got == pytest.approx(through)
+    for limit in (routing.MAX_EDGES, 3):  # sent to the workers, and by joins
+        monkeypatch.setattr(routing, "MAX_EDGES", limit)
+        got = {r["id"]: r["betweenness"] for r in analysis.betweenness(e).collect()}
+        assert got == pytest.approx(through)
     out = analysis.detours(e, roads.coords, 20).collect()
     for r in out:
         assert r["network_m"] == pytest.approx(shortest(rows, r["origin"], "distance_m")[r["destination"]][0]) and r["factor"] == pytest.approx(r["network_m"] / r["straight_m"]) and r["straight_m"] >= 100
     assert out and {r["origin"] for r in out} <= set(range(1, 7))
+
+
+def test_betweenness_with_equal_paths(spark, monkeypatch):
+    """A lattice, full of equal paths, and two edges of length 0: by joins as in the workers."""
+    at = lambda x, y: 10 * x + y
+    pairs = [(at(x, y), at(x + dx, y + dy), 1.0) for x in range(4) for y in range(4) for dx, dy in ((0, 1), (1, 0)) if x + dx < 4 and y + dy < 4] + [(at(3, 3), 99, 0.0), (99, 98, 0.0), (5, 5, 1.0)]
+    rows = [(a, b, i, 0, "x", "y", m, m) for i, (a, b, m) in enumerate(pairs)]
+    e = spark.createDataFrame(rows + [(b, a, *r) for a, b, *r in rows], "src long, dst long, way_id long, pos int, highway string, name string, distance_m double, time_s double")
+    plain = lambda: {r["id"]: r["betweenness"] for r in analysis.betweenness(e, samples=9).collect()}
+    packed = plain()
+    monkeypatch.setattr(routing, "MAX_EDGES", 3)
+    assert plain() == pytest.approx(packed) and len(packed) == 18
