@@ -88,7 +88,12 @@ def pack(edges: DataFrame, weight: str = "time_s") -> Graph:
     n = edges.count()
     if n > MAX_EDGES:
         raise ValueError(f"{n} edges are more than {MAX_EDGES}: use relax()")
-    rows = edges.select("src", "dst", F.col(weight).alias("cost"), "distance_m", "way_id", "pos").toPandas().sort_values(["src", "dst", "cost", "way_id", "pos"], kind="stable")
+    return graph_of(edges.select("src", "dst", F.col(weight).alias("cost"), "distance_m", "way_id", "pos").toPandas())
+
+
+def graph_of(rows: pd.DataFrame) -> Graph:
+    """The graph of rows (src, dst, cost, distance_m, way_id, pos)."""
+    rows, n = rows.sort_values(["src", "dst", "cost", "way_id", "pos"], kind="stable"), len(rows)
     ids = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()])) if n else np.array([])
     src = np.searchsorted(ids, rows["src"].to_numpy()) if n else np.array([], dtype=int)
     to = np.searchsorted(ids, rows["dst"].to_numpy()) if n else src
