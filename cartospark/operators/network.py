@@ -101,3 +101,79 @@ def connectivity(e: DataFrame) -> DataFrame:
     """(component, size, pct): sizes of the weak components, largest first."""
     sizes = components(e).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return sizes.crossJoin(sizes.agg(F.sum("size").alias("n"))).select("component", "size", F.round(100.0 * F.col("size") / F.col("n"), 2).alias("pct")).orderBy(F.desc("size"), "component")
+
+
+# --- along directed edges
+
+def _least_reaching(nodes: DataFrame, e: DataFrame) -> DataFrame:
+    """(id, col): the smallest ``col`` (no, id) of all nodes that reach a node, itself included.
+
+    A round takes the smallest of the nodes before, then that of the node which
+    ``col`` names: what reaches it reaches this one, too. So labels travel by
+    leaps, in far fewer rounds than a path has edges.
+    """
+    labels = stored(nodes)
+    while True:
+        come = e.join(labels.select(F.col("id").alias("src"), F.col("col").alias("c")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("c"))
+        step = labels.join(come, "id", "left").select("id", F.col("col").alias("old"), F.least("col", "c").alias("col")).withColumn("to", F.col("col.id"))
+        leap = labels.select(F.col("id").alias("to"), F.col("col").alias("c"))
+        labels = stored(step.join(leap, "to").select("id", F.least("col", "c").alias("col"), (F.least("col", "c") != F.col("old")).alias("moved")))
+        if not labels.where("moved").take(1):
+            return labels.select("id", "col")
+
+
+def _ends(e: DataFrame) -> DataFrame:
+    return e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def reach_components(e: DataFrame) -> DataFrame:
+    """(id, component): nodes by the smallest node that reaches them along directed edges.
+
+    That is what a search from every node in turn, smallest first, leaves to
+    each start: whoever is reached by a smaller one was taken before.
+    """
+    e = cut(e.select("src", "dst").where("src <> dst").distinct().unionByName(e.select("src", "dst").where("src = dst").distinct()))
+    return _least_reaching(_ends(e).select("id", F.struct(F.lit(0).alias("no"), "id").alias("col")), e).select("id", F.col("col.id").alias("component"))
+
+
+def strong_components(e: DataFrame) -> DataFrame:
+    """(id, component): nodes that reach each other along directed edges, named by the smallest.
+
+    A round gives every node the first node, in an order drawn anew, that
+    reaches it; edges between different ones go, since no cycle has them. Nodes
+    that reach their first one back are its component and leave. Nodes without
+    a way in or out leave before, alone.
+    """
+    nodes = cut(_ends(e))
+    live, done, no = cut(e.select("src", "dst").where("src <> dst").distinct()), [], 0
+    while live.take(1):
+        inner = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        inner, no = stored(inner.select("src", "dst")), no + 1
+        if not inner.take(1):
+            break
+        drawn = stored(_ends(inner).select("id", F.struct(F.xxhash64(F.lit(no), F.col("id")).alias("no"), "id").alias("col")))
+        first = _least_reaching(drawn, inner)
+        colour = [first.select(F.col("id").alias(c), F.col("col").alias(f"col_{c}")) for c in ("src", "dst")]
+        same = stored(inner.join(colour[0], "src").join(colour[1], "dst").where("col_src = col_dst").select("src", "dst"))
+        back = _least_reaching(drawn, same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = stored(first.join(back.withColumnRenamed("col", "back"), "id").where("col = back").select("id", F.col("col.id").alias("root")))
+        done.append(found)
+        left = found.select("id")
+        live = stored(same.join(left.withColumnRenamed("id", "src"), "src", "left_anti").join(left.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    roots = nodes.withColumn("root", F.col("id"))
+    if done:
+        found = done[0]
+        for d in done[1:]:
+            found = found.unionByName(d)
+        roots = nodes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    roots = stored(roots)
+    names = roots.groupBy("root").agg(F.min("id").alias("component"))
+    return roots.join(names, "root").select("id", "component")
+
+
+def directed_stats(e: DataFrame) -> DataFrame:
+    """One row: nodes, components and largest of reach_components, dead ends (one neighbour ahead) and intersections (three or more)."""
+    sizes = reach_components(e).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
+    ahead = e.select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.crossJoin(ahead.agg(F.count_if(F.col("n") == 1).alias("dead_ends"), F.count_if(F.col("n") >= 3).alias("intersections")))  # one row each

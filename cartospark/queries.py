@@ -608,6 +608,26 @@ def _edge_sql(mode: str, directed: bool = True) -> str:
     return rows + f", e AS (SELECT src, dst, {cols} FROM s WHERE d >= 0 UNION ALL SELECT dst, src, {cols} FROM s WHERE d <= 0)"
 
 
+_AHEAD = M.with_("way", "seg", recursive=True) + f", {_edge_sql('drive')}, u AS (SELECT DISTINCT src AS a, dst AS b FROM e), comp(v, c) USING KEY (v) AS (SELECT id, id FROM (SELECT a AS id FROM u UNION SELECT b FROM u) UNION (SELECT u.b, min(comp.c) FROM comp JOIN u ON u.a = comp.v JOIN recurring.comp r ON r.v = u.b WHERE comp.c < r.c GROUP BY u.b))"
+
+
+@query(_AHEAD + " SELECT v AS id, c AS component FROM comp")
+def directed_components(m: GeoMap) -> DataFrame:
+    """Components along directed edges: each node with the smallest one that reaches it."""
+    return network.reach_components(network.edges(m))
+
+
+@query(_AHEAD + ", n AS (SELECT a, count(*) AS n FROM u GROUP BY a), sizes AS (SELECT c, count(*) AS size FROM comp GROUP BY c) SELECT CAST((SELECT sum(size) FROM sizes) AS BIGINT) AS nodes, (SELECT count(*) FROM sizes) AS components, (SELECT max(size) FROM sizes) AS largest, count(*) FILTER (n = 1) AS dead_ends, count(*) FILTER (n >= 3) AS intersections FROM n")
+def directed_stats(m: GeoMap) -> DataFrame:
+    return network.directed_stats(network.edges(m))
+
+
+@query()
+def strong_components(m: GeoMap) -> DataFrame:
+    """Nodes that reach each other along directed edges."""
+    return network.strong_components(network.edges(m))
+
+
 def _best(mode: str, roots: str, weight: str = "t", bound: float | None = None, directed: bool = True) -> str:
     """SQL table best(source, node, cost, metres, prev): shortest paths from the sources in the table that ``roots`` selects."""
     within = "" if bound is None else f" AND b.cost + x.w <= {bound}e0"
