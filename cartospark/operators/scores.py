@@ -102,7 +102,7 @@ def bike_intersections(m: GeoMap, lat: float, lon: float, radius: float) -> Data
     near = m.nodes.where(_within(lat, lon, radius))
     flags = near.select("id", T.column(T.eq("crossing:island", "yes"), t).alias("island"), T.column(T.isin("crossing", ("marked", "zebra", "controlled")), t).alias("marked"), T.column(T.any_of(T.eq("crossing", "traffic_signals"), T.all_of(T.eq("crossing:signals", "yes"), T.any_of(T.eq("crossing:island", "yes"), T.all_of(T.eq("highway", "crossing"), T.isin("bicycle", ("yes", "designated")))))), t).alias("own"), T.column(T.any_of(T.all_of(T.eq("highway", "crossing"), T.isin("bicycle", ("yes", "designated"))), T.eq("crossing", "traffic_signals"), T.eq("crossing:island", "yes")), t).alias("is"))
     signals = near.where(T.column(T.any_of(T.eq("highway", "traffic_signals"), T.eq("crossing", "traffic_signals")), t)).select("id", "lat", "lon")
-    close = spatial.within_distance(met.select("id", "lat", "lon"), signals, 25.0, max_lat=abs(lat) + radius / 100_000).select(F.col("l_id").alias("id")).distinct().withColumn("close", F.lit(True))
+    close = spatial.within_distance(met.select("id", "lat", "lon"), signals, 25.0).select(F.col("l_id").alias("id")).distinct().withColumn("close", F.lit(True))
     no = lambda c: F.coalesce(F.col(c), F.lit(False)) & F.coalesce(F.col("is"), F.lit(False))
     has = no("own") | F.coalesce(F.col("close"), F.lit(False))
     rows = met.join(flags, "id", "left").join(close, "id", "left")

@@ -1,8 +1,11 @@
 """Proximity, containment, tiles and attribute joins.
 
-Pairs within a distance meet in grid cells: the smaller side is put into a cell
-and its neighbours, cells join by equality, and the exact distance decides. No
-operator compares all rows with all rows.
+Pairs within a distance meet in grid cells: one side is put into its cell, the
+other into its own and the neighbours, cells join by equality, and the exact
+distance decides. No operator compares all rows with all rows. A cell is as wide
+as the distance at the latitude of its own row, so that a point near a pole
+widens the cells near that pole only. Cells that hold many rows are dealt over
+several tasks.
 """
 
 from __future__ import annotations
@@ -17,36 +20,71 @@ from ..constants import M_PER_DEG, R_ROUND
 from ..functions import geo
 from ..plans.filters import simple
 from ..plans.model import GeoMap
+from ..session import cut
 
 Ring = list[tuple[float, float]]
 
 
-def _cells(lat: Column, lon: Column, metres: float, max_lat: float, around: bool) -> tuple[Column, Column]:
-    d_lat = metres / M_PER_DEG
-    d_lon = metres / (M_PER_DEG * max(1e-6, math.cos(math.radians(min(89.9, max_lat)))))
-    y, x = F.floor(lat / d_lat), F.floor(lon / d_lon)
-    if not around:
-        return y, x
-    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    return F.explode(F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct((y + a).alias("cy"), (x + b).alias("cx")))))), None
+#: Metres of a degree of latitude at least, on either sphere.
+_DEGREE = 111_000.0
+#: Rows of a cell from which on it may be dealt over several tasks.
+CROWD = 10_000
 
 
-def within_distance(left: DataFrame, right: DataFrame, metres: float, radius: float = R_ROUND, max_lat: float | None = None) -> DataFrame:
-    """Pairs (l_*, r_*, distance_m) of rows with lat and lon not farther apart than ``metres``.
+def _columns(row: Column, step: float) -> Column:
+    """Number of columns around the globe in a row of cells: each as wide as the distance anywhere in the row or its neighbours."""
+    top = F.least(F.lit(90.0), (F.abs(row + 0.5) + 1.5) * step)
+    width = F.lit(step) / F.greatest(F.lit(1e-9), F.cos(F.radians(top)))
+    # a little wider: along a parallel a chord spans more degrees than its arc is long
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / F.least(F.lit(360.0), width * 1.6))).cast("long")
 
-    Cells are as wide as the distance at the highest latitude of either side
-    (one small aggregate, unless given), so the nine cells around a point hold all its partners.
+
+def _cell(lat: Column, lon: Column, step: float, row: Column | None = None) -> tuple[Column, Column]:
+    """(row, column) of a point; in another row, the column that lies beside it."""
+    row = F.floor(lat / step) if row is None else row
+    n = _columns(row, step)
+    return row, F.pmod(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n), n)
+
+
+def _around(lat: Column, lon: Column, step: float) -> Column:
+    """The cells (cy, cx) that can hold a partner of a point: three rows, in each the column beside it and its neighbours, around the globe."""
+    steps = F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))
+
+    def beside(a: Column) -> Column:
+        row = F.floor(lat / step) + a
+        n = _columns(row, step)
+        return F.transform(steps, lambda b: F.struct(row.alias("cy"), F.pmod(_cell(lat, lon, step, row)[1] + b, n).alias("cx")))
+
+    return F.array_distinct(F.flatten(F.transform(steps, beside)))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``; the left rows of a crowded key are dealt over several tasks, each with that key's right rows.
+
+    A key is crowded from CROWD rows on, or a quarter of a task's fair share if
+    that is more, so there are at most four times as many as tasks.
     """
-    if max_lat is None:
-        tops = [d.agg(F.max(F.abs("lat"))).first()[0] for d in (left, right)]
-        max_lat = max([t for t in tops if t is not None], default=0.0)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    tasks = 4 * max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    all_rows = counts.agg(F.sum("_n")).first()[0] or 0
+    share = max(CROWD, all_rows / tasks)
+    crowded = F.broadcast(cut(counts.where(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_deals"))))
+    deals = F.coalesce("_deals", F.lit(1))
+    one = left.join(crowded, keys, "left").withColumn("_deal", F.pmod(F.monotonically_increasing_id(), deals).cast("int")).drop("_deals")
+    every = right.join(crowded, keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
+    return one.join(every, [*keys, "_deal"]).drop("_deal")
+
+
+def within_distance(left: DataFrame, right: DataFrame, metres: float, radius: float = R_ROUND) -> DataFrame:
+    """Pairs (l_*, r_*, distance_m) of rows with lat and lon not farther apart than ``metres``, across the 180th meridian and the poles as well."""
+    step = max(metres, 1e-3) / _DEGREE
     l = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns))
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    cy, cx = _cells(F.col("l_lat"), F.col("l_lon"), metres, max_lat, False)
-    l = l.withColumn("_cy", cy).withColumn("_cx", cx)
-    r = r.withColumn("_c", _cells(F.col("r_lat"), F.col("r_lon"), metres, max_lat, True)[0])
-    met = l.join(r, (l["_cy"] == r["_c.cy"]) & (l["_cx"] == r["_c.cx"])).withColumn("distance_m", geo.haversine((F.col("l_lon"), F.col("l_lat")), (F.col("r_lon"), F.col("r_lat")), radius))
-    return met.where(F.col("distance_m") <= metres).drop("_cy", "_cx", "_c")
+    cy, cx = _cell(F.col("l_lat"), F.col("l_lon"), step)
+    l = l.withColumns({"_cy": cy, "_cx": cx})
+    r = r.withColumn("_c", F.explode(_around(F.col("r_lat"), F.col("r_lon"), step))).withColumns({"_cy": F.col("_c.cy"), "_cx": F.col("_c.cx")}).drop("_c")
+    met = dealt_join(l, r, ["_cy", "_cx"]).withColumn("distance_m", geo.haversine((F.col("l_lon"), F.col("l_lat")), (F.col("r_lon"), F.col("r_lat")), radius))
+    return met.where(F.col("distance_m") <= metres).drop("_cy", "_cx")
 
 
 def nearby(sources: DataFrame, targets: DataFrame, metres: float) -> DataFrame:
@@ -144,7 +182,7 @@ def point_in_rings(points: DataFrame, rings: DataFrame, metres: float = 2000.0)
     high = lambda k: F.array_max(F.transform(c, lambda p: p[k]))
     r = rings.select(F.col("id").alias("ring_id"), "coords", F.explode(F.sequence(cell(low("lat")), cell(high("lat")))).alias("cy"), low("lon").alias("x0"), high("lon").alias("x1")).withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))))
     p = points.select("id", "lat", "lon", cell(F.col("lat")).alias("cy"), cell(F.col("lon")).alias("cx"))
-    return p.join(r, ["cy", "cx"]).where(geo.in_ring_column((F.col("lon"), F.col("lat")), c)).select("id", "ring_id")
+    return dealt_join(p, r, ["cy", "cx"]).where(geo.in_ring_column((F.col("lon"), F.col("lat")), c)).select("id", "ring_id")
 
 
 # --- tiles
