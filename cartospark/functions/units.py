@@ -95,3 +95,22 @@ def file_size(n: float) -> str:
             return f"{n:.1f} {unit}"
         n /= 1024
     return f"{n:.1f} TB"
+
+
+def round_half_even(c: Column, digits: int = 0) -> Column:
+    """``c`` rounded on its exact binary value, ties to the even digit, where Spark's round() goes by the decimal text, ties up.
+
+    For up to 7 digits and values below 2^52 / 10^digits; others are left to
+    Spark's bround(). Twice the scaled value is split in two products without an
+    error, so that its side of a tie is known for certain.
+    """
+    if not 0 <= digits <= 7:
+        raise ValueError("0 to 7 digits")
+    x, k = c.cast("double"), float(2 * 10**digits)
+    big = x * 134217729.0  # 2^27 + 1: the upper half of the binary digits
+    high = big - (big - x)
+    low = x - high
+    down = F.floor(x * (k / 2))
+    side = (high * k - (2 * down + 1).cast("double")) + low * k
+    whole = down + F.when((side > 0) | ((side == 0) & (F.pmod(down, F.lit(2)) == 1)), 1).otherwise(0)
+    return F.when(F.abs(x) < 2.0**52 / 10**digits, whole.cast("double") / float(10**digits)).otherwise(F.bround(x, digits))

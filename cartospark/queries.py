@@ -504,13 +504,10 @@ SQL["roads_by_class"] = _LEN + f" SELECT {_CLASS} AS road_class, tags['highway']
 _LEAD = "CASE WHEN lower(tags['maxspeed']) IN ('none', 'signals', 'variable', 'walk') THEN NULL WHEN contains(lower(tags['maxspeed']), 'mph') THEN TRY_CAST(regexp_extract(lower(tags['maxspeed']), '^([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) * 1.60934e0 ELSE TRY_CAST(regexp_extract(lower(tags['maxspeed']), '^([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) END"
 
 
-@query(M.with_("way", "seg") + f", len AS (SELECT way_id, sum({M.hav('lon1', 'lat1', 'lon2', 'lat2', C.R_MEAN)}) AS m FROM seg GROUP BY way_id), s AS (SELECT id, m, tags, coalesce({_LEAD}, CASE " + " ".join(f"WHEN tags['highway'] = '{k}' THEN {v}.0e0" for k, v in C.EXTRACT_SPEEDS.items()) + " ELSE 40.0e0 END) AS kmh FROM way JOIN len ON way_id = id WHERE map_contains(tags, 'highway')) SELECT id, round(m, 1) AS length_m, round(kmh, 0) AS speed_kph, round(m / 1000 / kmh * 60, 1) AS travel_min, coalesce(TRY_CAST(tags['lanes'] AS INTEGER), 2) AS lanes, coalesce(lower(tags['oneway']) IN ('yes', '1', 'true', '-1'), false) AS is_oneway, CASE WHEN tags['bridge'] = 'viaduct' THEN 'bridge=viaduct' END AS infra_type FROM s")
+@query(M.with_("way", "seg") + f", len AS (SELECT way_id, sum({M.hav('lon1', 'lat1', 'lon2', 'lat2', C.R_MEAN)}) AS m FROM seg GROUP BY way_id), s AS (SELECT id, m, tags, coalesce({_LEAD}, CASE " + " ".join(f"WHEN tags['highway'] = '{k}' THEN {v}.0e0" for k, v in C.EXTRACT_SPEEDS.items()) + " ELSE 40.0e0 END) AS kmh FROM way JOIN len ON way_id = id WHERE map_contains(tags, 'highway')) SELECT id, round(m, 1) AS length_m, round(kmh, 0) AS speed_kph, round(m / 1000 / kmh * 60, 2) AS travel_min, coalesce(TRY_CAST(tags['lanes'] AS INTEGER), 2) AS lanes, coalesce(lower(tags['oneway']) IN ('yes', '1', 'true', '-1'), false) AS is_oneway, CASE WHEN tags['bridge'] = 'viaduct' THEN 'bridge=viaduct' END AS infra_type FROM s")
 def road_geometry(m: GeoMap) -> DataFrame:
     rows = features.road_geometry(m, infrastructure=True)
-    return rows.select("id", "length_m", "speed_kph", F.round("travel_min", 1).alias("travel_min"), "lanes", "is_oneway", "infra_type")
-
-
-SQL.pop("road_geometry")  # travel_min is rounded twice; the exact columns are checked next
+    return rows.select("id", "length_m", "speed_kph", "travel_min", "lanes", "is_oneway", "infra_type")
 
 
 @query(M.with_("way", "seg") + f", len AS (SELECT way_id, sum({M.hav('lon1', 'lat1', 'lon2', 'lat2', C.R_MEAN)}) AS m FROM seg GROUP BY way_id), s AS (SELECT id, m, tags, coalesce({_LEAD}, CASE " + " ".join(f"WHEN tags['highway'] = '{k}' THEN {v}.0e0" for k, v in C.EXTRACT_SPEEDS.items()) + " ELSE 40.0e0 END) AS kmh FROM way JOIN len ON way_id = id WHERE map_contains(tags, 'highway')) SELECT id, round(m, 1) AS length_m, round(kmh, 0) AS speed_kph, coalesce(TRY_CAST(tags['lanes'] AS INTEGER), 2) AS lanes, coalesce(lower(tags['oneway']) IN ('yes', '1', 'true', '-1'), false) AS is_oneway, coalesce(lower(tags['sidewalk']) IN ('yes', 'both', 'left', 'right', 'separate'), false) AS has_sidewalk, CASE WHEN tags['bridge'] = 'viaduct' THEN 'bridge=viaduct' END AS infra_type FROM s")
@@ -716,7 +713,15 @@ def isochrone(m: GeoMap) -> DataFrame:
     return reached.select("id", F.round("cost", 1).alias("cost"), "zone")
 
 
-@query()
+@query(
+    _reached("drive", (240.0, 480.0)) + """, z AS (SELECT unnest([240.0e0, 480.0e0]) AS zone), mid AS (SELECT lon AS cx, lat AS cy FROM coord WHERE id = (SELECT r FROM roots)),
+p AS (SELECT z.zone, lon, lat, CAST(floor((atan2(lat - cy, lon - cx) + pi()) / (2 * pi() / 24)) AS INT) % 24 AS bin, pow(lat - cy, 2) + pow(lon - cx, 2) AS d FROM reached, z, mid WHERE cost <= z.zone * 60),
+far AS (SELECT zone, bin, arg_max(struct_pack(lon := lon, lat := lat), struct_pack(d := d, lon := lon, lat := lat)) AS q FROM p GROUP BY zone, bin),
+grid AS (SELECT zone, CAST(b AS INT) AS bin FROM z, (SELECT unnest(range(24)) AS b)),
+ring AS (SELECT grid.zone, grid.bin, coalesce(far.q.lon, (a.q.lon + b.q.lon) / 2) AS lon, coalesce(far.q.lat, (a.q.lat + b.q.lat) / 2) AS lat FROM grid LEFT JOIN far ON far.zone = grid.zone AND far.bin = grid.bin
+    LEFT JOIN far a ON a.zone = grid.zone AND a.bin = (grid.bin + 23) % 24 LEFT JOIN far b ON b.zone = grid.zone AND b.bin = (grid.bin + 1) % 24)
+SELECT zone, bin, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ring WHERE lon IS NOT NULL"""
+)
 def isochrone_bins(m: GeoMap) -> DataFrame:
     _, rings = routing.isochrone(m, LAT, LON, [240.0, 480.0], "drive", 24)
     return rings.select("zone", "bin", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
@@ -811,15 +816,23 @@ def walk_isochrone(m: GeoMap) -> DataFrame:
     return reached.select("id", F.round("cost", 1).alias("cost"), "zone")
 
 
-@query()
-def multipolygons(m: GeoMap) -> DataFrame:
-    """Rings assembled from relations whose members are closed ways made of the nodes around each."""
-    spark = m.nodes.sparkSession
-    corners = F.array(*(F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0))))
-    base = spark.range(25).select("id", F.transform(corners, lambda p: F.struct((p["lon"] * F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25) + F.when(F.col("id") % 2 == 0, 0.0).otherwise(1.0)).alias("lon"), (p["lat"] * F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25) + F.when(F.col("id") % 2 == 0, 0.0).otherwise(1.0)).alias("lat"))).alias("coords"))
-    points = base.select("id", F.posexplode("coords").alias("pos", "p"))
+def multipolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of square rings around their nations' places, as wide as customers make them: outer ones of even nations, holes of odd ones."""
+    m = M.star(spark, sf_dir)
+    customers = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    at = M.points(spark, sf_dir, "nation", "n_nationkey").withColumn("id", F.col("id").cast("long")).join(customers, "id", "left")
+    half = F.when(F.col("id") % 2 == 0, 0.3).otherwise(0.02) + F.coalesce("n", F.lit(0)) % 10 / F.lit(1000.0)
+    corners = F.array(*(F.struct((F.col("lon") + x * half).alias("lon"), (F.col("lat") + y * half).alias("lat")) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))))
+    points = at.select("id", F.posexplode(corners).alias("pos", "p"))
     ref = F.col("id") * 10 + F.col("pos") % 4
-    coords = points.select(ref.alias("id"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon")).distinct()
-    refs = points.select(F.col("id").alias("way_id"), "pos", ref.alias("ref"))
-    shapes = geometry.multipolygons(m.with_(coords=coords, refs=refs))
+    coords = points.where("pos < 4").select(ref.alias("id"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
+    shapes = geometry.multipolygons(m.with_(coords=coords, refs=points.select(F.col("id").alias("way_id"), "pos", ref.alias("ref"))))
     return shapes.select("id", F.size("polygons").cast("long").alias("outers"), F.aggregate("polygons", F.lit(0), lambda s, p: s + F.size(p) - 1).cast("long").alias("holes"))
+
+
+QUERIES["multipolygons"] = multipolygons
+SQL["multipolygons"] = f"""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, {M.place('n_nationkey')}, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS c FROM nation),
+sq AS (SELECT k, r, lon, lat, k % 2 = 0 AS even, CASE WHEN k % 2 = 0 THEN 0.3e0 ELSE 0.02e0 END + (c % 10) / 1000.0e0 AS h FROM n),
+held AS (SELECT DISTINCT i.k FROM sq i JOIN sq o ON o.r = i.r AND o.even AND NOT i.even AND abs(i.lon - i.h - o.lon) < o.h AND abs(i.lat - i.h - o.lat) < o.h)
+SELECT CAST(r AS BIGINT) AS id, count(*) FILTER (even) AS outers, count(held.k) AS holes FROM sq LEFT JOIN held ON held.k = sq.k GROUP BY r HAVING count(*) FILTER (even) > 0"""
+

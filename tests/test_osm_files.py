@@ -176,6 +176,17 @@ def test_geometry_values(spark):
     assert units.metres("1km") == 1000 and units.degrees("1km") == pytest.approx(1000 / 111320) and units.file_size(2048) == "2.0 KB"
 
 
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+
+    r = random.Random(6)
+    values = [0.25, 0.35, 2.675, 1.005, 0.5, 1.5, 2.5, -0.5, -1.5, -2.675, 0.0, -0.25, 1e15, 123456.125, 123456.375, 8.5e-7] + [round(r.uniform(-1000, 1000), 5) for _ in range(2000)] + [k / 8 for k in range(-400, 400)] + [k / 1000 + 0.0005 for k in range(500)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        for row in df.select("v", units.round_half_even(F.col("v"), digits).alias("r")).collect():
+            assert row["r"] == round(row["v"], digits), row
+
+
 def test_thin_and_rings():
     import numpy as np
 
