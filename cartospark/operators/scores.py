@@ -6,6 +6,7 @@ where its mean vertex is. The parts are cross-joined, one row each.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,10 +59,9 @@ def walkability(m: GeoMap, lat: float | None = None, lon: float | None = None, r
     halves = walk.agg((F.coalesce(F.sum("distance_m"), F.lit(0.0)) / 2).alias("walk_m"), (F.coalesce(F.sum(F.when(F.col("highway").isin(*C.PEDESTRIAN_WAYS), F.col("distance_m"))), F.lit(0.0)) / 2).alias("pedestrian_m"))
     degree = walk.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k")).join(m.coords, "id").where(_within(lat, lon, radius))
     crossings = degree.agg(F.count_if(F.col("k") >= 3).alias("intersections"), F.count_if(F.col("k") == 1).alias("dead_ends"), F.count(F.lit(1)).alias("graph_nodes"), F.floor(F.coalesce(F.sum("k"), F.lit(0)) / 2).cast("long").alias("graph_edges"))
-    kinds = {k: is_in("amenity", v) | is_in("shop", v) | is_in("leisure", v) for k, v in C.WALK_AMENITIES.items()}
-    kinds["transit"] = kinds["transit"] | is_in("public_transport", ("stop_position", "platform", "station")) | is_in("highway", ("bus_stop",))
+    kinds = _walk_kinds(t)
     amenities = near.agg(*(F.count_if(c).alias(f"n_{k}") for k, c in kinds.items()), F.count_if(is_in("highway", ("crossing",))).alias("crossings"), F.count_if(is_in("highway", ("traffic_signals",))).alias("signals"), F.count_if(is_in("lit", ("yes",))).alias("lights"))
-    green = is_in("leisure", ("park", "garden", "playground")) | is_in("landuse", ("grass", "forest"))
+    green = _green(t)
     streets = is_in("highway", C.MODE_ROADS["walk"]) & (F.col("n") >= 2)
     sided = streets & ~is_in("highway", ("footway", "pedestrian", "path", "steps"))
     area = lambda c: F.coalesce(F.sum(F.when(c & (F.col("n") >= 3), F.col("a"))), F.lit(0.0))
@@ -71,6 +71,23 @@ def walkability(m: GeoMap, lat: float | None = None, lon: float | None = None, r
         F.coalesce(F.sum(F.when(sided, F.col("m"))), F.lit(0.0)).alias("sided_m"), F.coalesce(F.sum(F.when(sided & is_in("sidewalk", ("yes", "both", "left", "right", "separate")), F.col("m"))), F.lit(0.0)).alias("sidewalk_m"),
     )
     row = _cross([halves, crossings, amenities, around])
+    return _walk_scored(row, radius)
+
+
+def _walk_kinds(t: Column) -> dict[str, Column]:
+    """Conditions on a node's tags by sort of amenity."""
+    is_in = lambda key, vs: T.column(T.isin(key, vs), t)
+    kinds = {k: is_in("amenity", v) | is_in("shop", v) | is_in("leisure", v) for k, v in C.WALK_AMENITIES.items()}
+    kinds["transit"] = kinds["transit"] | is_in("public_transport", ("stop_position", "platform", "station")) | is_in("highway", ("bus_stop",))
+    return kinds
+
+
+def _green(t: Column) -> Column:
+    return T.column(T.any_of(T.isin("leisure", ("park", "garden", "playground")), T.isin("landuse", ("grass", "forest"))), t)
+
+
+def _walk_scored(row: DataFrame, radius: float) -> DataFrame:
+    """Rows of counts around a centre with six component scores, score and grade."""
     km2 = 3.141592653589793 * (radius / 1000) ** 2
     capped = lambda c: F.least(F.lit(100.0), c.cast("double"))
     scores = {
@@ -82,6 +99,50 @@ def walkability(m: GeoMap, lat: float | None = None, lon: float | None = None, r
     return row.withColumn("grade", letter).withColumn("grade_text", words)
 
 
+def walkability_map(m: GeoMap, step: float = 500.0, radius: float = 1000.0, bounds: tuple[float, float, float, float] | None = None, cells: tuple[int, int] | None = None) -> DataFrame:
+    """(cell_y, cell_x, lat, lon, counts, scores, grade): walkability around the middle of every cell of a grid, all cells at once.
+
+    Cells are ``step`` metres high and, at the middle latitude of the bounds
+    (south, west, north, east; the map's own if not given), as wide; or the
+    bounds are cut into ``cells`` (rows, columns). Crossroads,
+    nodes and green ways are points that count in every cell whose middle is
+    within ``radius``; they meet cells by proximity and are summed there. A
+    cell's score is that of walkability() at its middle.
+    """
+    if bounds is None:
+        r = m.coords.agg(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
+        bounds = tuple(r) if r[0] is not None else (0.0, 0.0, 0.0, 0.0)
+    south, west, north, east = bounds
+    d_lat, d_lon = geo.box(step, (south + north) / 2)
+    if cells:
+        (n_y, n_x), d_lat, d_lon = cells, (north - south) / cells[0], (east - west) / cells[1]
+    else:
+        n_y, n_x = (max(1, math.ceil((hi - lo) / d)) for lo, hi, d in ((south, north, d_lat), (west, east, d_lon)))
+    grid = m.coords.sparkSession.range(n_y * n_x).select("id", F.floor(F.col("id") / n_x).alias("cell_y"), (F.col("id") % n_x).alias("cell_x"))
+    grid = grid.withColumns({"lat": F.lit(south) + (F.col("cell_y") + 0.5) * d_lat, "lon": F.lit(west) + (F.col("cell_x") + 0.5) * d_lon})
+    t = F.col("tags")
+    is_in = lambda key, vs: T.column(T.isin(key, vs), t)
+    walk = network.edges(m, "walk", directed=False)
+    halves = walk.agg((F.coalesce(F.sum("distance_m"), F.lit(0.0)) / 2).alias("walk_m"), (F.coalesce(F.sum(F.when(F.col("highway").isin(*C.PEDESTRIAN_WAYS), F.col("distance_m"))), F.lit(0.0)) / 2).alias("pedestrian_m"))
+    kinds = _walk_kinds(t)
+    names = ["intersections", *(f"n_{k}" for k in kinds), "crossings", "signals", "greens"]
+
+    def events(rows: DataFrame, **counts: Column) -> DataFrame:
+        counts = {k: c.cast("long") for k, c in counts.items()}
+        full = rows.select("lat", "lon", *(F.coalesce(counts.get(k, F.lit(0)), F.lit(0)).cast("long").alias(k) for k in names))
+        return full.where(sum((F.col(k) for k in counts), F.lit(0)) > 0)
+
+    x, y = geo.mean_point(F.col("coords"))
+    crossroads = walk.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k")).join(m.coords, "id")
+    found = events(crossroads, intersections=F.col("k") >= 3)
+    found = found.unionByName(events(m.nodes, **{f"n_{k}": c for k, c in kinds.items()}, crossings=is_in("highway", ("crossing",)), signals=is_in("highway", ("traffic_signals",))))
+    found = found.unionByName(events(m.way_geometry().where(_green(t)).select(y.alias("lat"), x.alias("lon")), greens=F.lit(True)))
+    met = spatial.within_distance(found, grid.select("id", "lat", "lon"), radius)
+    sums = met.groupBy(F.col("r_id").alias("id")).agg(*(F.sum(f"l_{k}").alias(k) for k in names))
+    rows = grid.join(sums, "id", "left").fillna(0, names).crossJoin(F.broadcast(halves))  # one row
+    return _walk_scored(rows, radius).drop("id")
+
+
 def bike_car_nodes(m: GeoMap, lat: float, lon: float, radius: float) -> DataFrame:
     """(id): nodes around a centre on both a bike way and a car road, as a semi join of the two node sets."""
     t = F.col("tags")

@@ -794,6 +794,35 @@ def walk_points(m: GeoMap) -> DataFrame:
     return scores.walkability(m, LAT, LON, 20_000.0).select("n_food", "crossings", "signals", "lights")
 
 
+def _walk_map_sql(n: int, radius: float) -> str:
+    """Counts and score around the middles of n x n cells between 51 and 52 degrees north and -0.5 and 0.5 east."""
+    any_key = lambda v: T.any_of(*(T.isin(k, v) for k in ("amenity", "shop", "leisure")))
+    kinds = {k: any_key(v) for k, v in C.WALK_AMENITIES.items()}
+    kinds["transit"] = T.any_of(kinds["transit"], T.isin("public_transport", ("stop_position", "platform", "station")), T.isin("highway", ("bus_stop",)))
+    near = f"{M.hav('p.lon', 'p.lat', 'g.lon', 'g.lat', C.R_ROUND)} <= {radius}"
+    amenities = " + ".join(f"coalesce(n_{k}, 0)" for k in kinds if k != "transit")
+    part = {
+        "pedestrian_infrastructure": "(SELECT coalesce(sum(m) FILTER (highway IN " + _sql_in(C.PEDESTRIAN_WAYS) + ") / sum(m), 0) FROM e) * 200", "intersection_density": f"coalesce(intersections, 0) / {3.141592653589793 * (radius / 1000) ** 2}e0 / 1000 * 2000",
+        "amenity_access": f"({amenities}) * 5", "transit_access": "coalesce(n_transit, 0) * 20", "greenspace": "coalesce(greens, 0) * 20", "safety_features": "(coalesce(crossings, 0) + coalesce(signals, 0)) * 10",
+    }
+    score = " + ".join(f"least(100.0e0, {part[k]}) * {w}e0" for k, w in C.WALK_WEIGHTS.items())
+    return M.with_("way", "node", "seg", "shape") + f""", {_edge_sql("walk")}, g AS (SELECT y.i AS cell_y, x.i AS cell_x, 51 + (y.i + 0.5e0) / {n} AS lat, -0.5e0 + (x.i + 0.5e0) / {n} AS lon FROM (SELECT unnest(range({n})) AS i) y, (SELECT unnest(range({n})) AS i) x),
+k AS (SELECT lat, lon FROM (SELECT src AS id FROM e GROUP BY src HAVING count(*) >= 3) d JOIN coord USING (id)),
+a AS (SELECT cell_y, cell_x, count(*) AS intersections FROM g JOIN k p ON {near} GROUP BY ALL),
+b AS (SELECT cell_y, cell_x, {", ".join(f"count(*) FILTER ({T.sql(c)}) AS n_{k}" for k, c in kinds.items())}, count(*) FILTER (tags['highway'] = 'crossing') AS crossings, count(*) FILTER (tags['highway'] = 'traffic_signals') AS signals FROM g JOIN node p ON {near} GROUP BY ALL),
+w AS (SELECT shape.lat, shape.lon FROM shape JOIN way ON id = way_id WHERE tags['leisure'] IN ('park', 'garden', 'playground') OR tags['landuse'] IN ('grass', 'forest')),
+c AS (SELECT cell_y, cell_x, count(*) AS greens FROM g JOIN w p ON {near} GROUP BY ALL)
+SELECT cell_y, cell_x, coalesce(intersections, 0) AS intersections, coalesce(n_food, 0) AS n_food, coalesce(crossings, 0) AS crossings, coalesce(greens, 0) AS greens, round({score}, 2) AS score
+FROM g LEFT JOIN a USING (cell_y, cell_x) LEFT JOIN b USING (cell_y, cell_x) LEFT JOIN c USING (cell_y, cell_x)"""
+
+
+@query(_walk_map_sql(8, 3000.0))
+def walk_map(m: GeoMap) -> DataFrame:
+    """Walkability of every cell of a grid at once."""
+    rows = scores.walkability_map(m, radius=3000.0, bounds=(51.0, -0.5, 52.0, 0.5), cells=(8, 8))
+    return rows.select("cell_y", "cell_x", "intersections", "n_food", "crossings", "greens", F.round("score", 2).alias("score"))
+
+
 @query(M.with_("node") + f" SELECT count(*) FILTER (tags['amenity'] = 'bicycle_parking') AS parking, count(*) FILTER (tags['shop'] = 'bicycle') AS bike_shops, count(*) FILTER (map_contains(tags, 'barrier')) AS node_barriers, CAST(coalesce(sum(CASE " + " ".join(f"WHEN tags['barrier'] = '{k}' THEN {v}" for k, v in C.BARRIER_PENALTIES.items()) + f" WHEN map_contains(tags, 'barrier') THEN 20 END), 0) AS BIGINT) AS barrier_penalty FROM node WHERE {_AT}")
 def bike_points(m: GeoMap) -> DataFrame:
     return scores.bikeability(m, LAT, LON, 20_000.0).select("parking", "bike_shops", "node_barriers", "barrier_penalty")
