@@ -1,8 +1,8 @@
 """Writers: GeoJSON, JSON, CSV with discovered columns, OSM XML, GraphML, tiles, Shapefile field names.
 
 Rows become text in the JVM. ``lines_to`` writes distributed text files, one
-record a line; ``document`` streams the rows into one file on the driver, a
-partition at a time, for formats that are a single document.
+record a line; ``document`` puts such parts together to one file, for formats
+that are a single document.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import geo, units
 from ..plans.model import GeoMap, is_closed
+from ..session import scratch
 
 FORMATS = {".geojson": "geojson", ".json": "json", ".csv": "csv", ".xml": "osm", ".osm": "osm", ".shp": "shapefile", ".graphml": "graphml"}
 
@@ -70,15 +71,33 @@ def lines_to(rows: DataFrame, path: str) -> None:
 
 
 def document(rows: DataFrame, path: str, head: str, between: str, tail: str) -> int:
-    """One file of a text column; the number of records."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(head)
-        for r in rows.toLocalIterator(prefetchPartitions=True):
-            f.write((between if n else "") + r[0])
-            n += 1
-        f.write(tail)
-    return n
+    """One file of a text column, on any file system that Spark writes; the number of records.
+
+    Tasks write parts, in the order of the rows, to the shared folder. Then the
+    file is put together from head, parts and tail, bytes by bytes between file
+    systems; no row comes to the driver.
+    """
+    spark = rows.sparkSession
+    parts, seen = scratch(spark, "document"), Observation()
+    rows.select(F.col(rows.columns[0]).alias("value")).observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", between).text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    shared = source.getFileSystem(conf)
+    files = [f for f in shared.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen()]
+    files.sort(key=lambda f: (len(f.getPath().getName()), f.getPath().getName()))
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for f in files:
+            stream = shared.open(f.getPath())
+            # the last record has nothing behind it
+            spark._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, f.getLen() - (len(between.encode()) if f is files[-1] else 0))
+            stream.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    shared.delete(source, True)
+    return seen.get["n"]
 
 
 def geojson(rows: DataFrame, path: str, metadata: dict | None = None) -> int:

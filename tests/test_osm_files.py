@@ -101,6 +101,14 @@ def test_sinks_round_trip(spark, small, tmp_path):
     assert osm_xml.from_parquet(spark, str(tmp_path / "pq")).ways.count() == 3
 
 
+def test_documents_are_put_together_from_parts(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 7).select(F.concat(F.lit('{"é":"'), F.col("id").cast("string"), F.lit('"}')).alias("x"))
+    assert sinks.document(rows, f"file://{tmp_path}/a b.json", "[", ",\n", "]é") == 1000
+    assert (tmp_path / "a b.json").read_text() == "[" + ",\n".join(f'{{"é":"{i}"}}' for i in range(1000)) + "]é"
+    assert sinks.document(rows.where("x = ''"), str(tmp_path / "none.json"), "[", ",", "]") == 0 and (tmp_path / "none.json").read_text() == "[]"
+    assert sinks.document(rows.limit(1), str(tmp_path / "none.json"), "[", ",", "]") == 1 and (tmp_path / "none.json").read_text() == '[{"é":"0"}]'
+
+
 def test_merge_last_file_wins(spark, tmp_path):
     for i, n in enumerate(("First", "Second")):
         (tmp_path / f"{i}.osm").write_text(f'<osm><node id="1" lat="1" lon="1"><tag k="name" v="{n}"/></node></osm>')
