@@ -115,17 +115,18 @@ def tag_columns(rows: DataFrame) -> list[str]:
     return [r[0] for r in rows.select(F.explode(F.map_keys("tags")).alias("k")).distinct().orderBy("k").collect()]
 
 
-def wide(m: GeoMap, area: bool = False, length: bool = False) -> DataFrame:
-    """Nodes and ways with a column per tag key (primary columns, tags, then metadata); ways at their mean vertex."""
+def wide(m: GeoMap, area: bool = False, length: bool = False, flatten: bool = True) -> DataFrame:
+    """Nodes and ways with a column per tag key, or one of all tags as JSON (primary columns, tags, then metadata); ways at their mean vertex."""
     from ..operators.aggregates import elements
 
-    keys = tag_columns(elements(m))
+    keys = tag_columns(elements(m)) if flatten else []
+    tags = [F.col("tags")[k].alias(k) for k in keys] if flatten else [F.to_json("tags").alias("tags")]
     lon, lat = geo.mean_point(F.col("coords"))
     none = F.lit(None)
     nodes = m.nodes.select(F.lit("node").alias("elem"), F.col("id").cast("string").alias("id"), "lat", "lon", "tags", none.cast("int").alias("node_count"), none.cast("boolean").alias("is_closed"), none.cast("double").alias("area_sqm"), none.cast("double").alias("length_m"))
     ways = m.way_geometry().select(F.lit("way").alias("elem"), F.col("id").cast("string").alias("id"), lat.alias("lat"), lon.alias("lon"), "tags", F.size("node_refs").alias("node_count"), is_closed(F.col("node_refs")).alias("is_closed"), geo.area(F.col("coords")).alias("area_sqm"), geo.length(F.col("coords")).alias("length_m"))
     extra = [c for c, on in (("area_sqm", area), ("length_m", length)) if on]
-    return nodes.unionByName(ways).select("elem", "id", "lat", "lon", *(F.col("tags")[k].alias(k) for k in keys), F.size("tags").alias("tag_count"), "node_count", "is_closed", *extra)
+    return nodes.unionByName(ways).select("elem", "id", "lat", "lon", *tags, F.size(F.col("tags")).alias("tag_count"), "node_count", "is_closed", *extra)
 
 
 def csv(rows: DataFrame, path: str) -> None:

@@ -109,6 +109,24 @@ def test_documents_are_put_together_from_parts(spark, tmp_path):
     assert sinks.document(rows.limit(1), str(tmp_path / "none.json"), "[", ",", "]") == 1 and (tmp_path / "none.json").read_text() == '[{"é":"0"}]'
 
 
+def test_conversions_and_batches(spark, small, tmp_path):
+    _, path = small
+    api = Cartographer(spark)
+    kinds = lambda name: [f["geometry"]["type"] for f in json.loads((tmp_path / name).read_text())["features"]]
+    assert api.convert(path, str(tmp_path / "n.geojson"), nodes_only=True) == 2 and set(kinds("n.geojson")) == {"Point"}
+    assert api.convert(path, str(tmp_path / "w.out"), form="geojson", ways_only=True) == 3 and "Point" not in kinds("w.out")
+    api.convert(path, str(tmp_path / "one.csv"), flatten_tags=False, area=False)
+    rows = spark.read.csv(str(tmp_path / "one.csv"), header=True)
+    assert rows.columns == ["elem", "id", "lat", "lon", "tags", "tag_count", "node_count", "is_closed", "length_m"] and json.loads(rows.where("id = '100'").first()["tags"]) == {"highway": "primary"}
+    assert api.convert(path, str(tmp_path / "x.json")) == 5 and api.convert(path, str(tmp_path / "x.osm")) > 5
+    with pytest.raises(ValueError, match="writer"):
+        api.convert(path, "x", form="pdf")
+    counts = api.amenities_by_type(path, str(tmp_path / "types"))
+    assert [tuple(r) for r in counts.collect()] == [("atm", 1, 0, 0), ("restaurant", 1, 0, 0)]
+    assert json.loads(spark.read.text(str(tmp_path / "types" / "tile=atm")).first()[0])["properties"] == {"amenity": "atm"}
+    assert api.amenities_by_type(path, str(tmp_path / "some"), ["atm"]).count() == 1
+
+
 def test_merge_last_file_wins(spark, tmp_path):
     for i, n in enumerate(("First", "Second")):
         (tmp_path / f"{i}.osm").write_text(f'<osm><node id="1" lat="1" lon="1"><tag k="name" v="{n}"/></node></osm>')
