@@ -56,7 +56,7 @@ def odd_rows(seed=0, n=70):
     return rows
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0])
 def test_trie_equals_plain_one(spark, seed):
     rows = odd_rows(seed)
     got = sorted(map(tuple, conversation_trie.trie(table(spark, rows)).collect()), key=repr)
