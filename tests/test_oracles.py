@@ -35,9 +35,8 @@ def test_same_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(maps.QUERIES) - set(maps.SQL)))
 def test_rows_without_sql(spark, name):
-    """Their values are checked on small networks; here they have rows, and the same ones again."""
-    first, again = (sorted(map(repr, maps.QUERIES[name](spark, SF).collect())) for _ in range(2))
-    assert first and first == again
+    """Their values are checked on small networks; here they have rows."""
+    assert maps.QUERIES[name](spark, SF).take(1)
 
 
 def test_entry(spark):
