@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from . import constants as C
 from . import testmap as M
 from .functions import geo, units
-from .operators import aggregates, analysis, geometry, network, ordering, routing, scores, spatial
+from .operators import aggregates, analysis, geometry, network, ordering, routing, scores, spatial, sun
 from .plans import features, filters
 from .plans import tagexpr as T
 from .plans.model import GeoMap, members_by_role
 from .session import cut
-from .sources import osm_xml
+from .sources import osm_xml, raster
 from .streaming import counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -845,6 +845,33 @@ def walk_isochrone(m: GeoMap) -> DataFrame:
     return reached.select("id", F.round("cost", 1).alias("cost"), "zone")
 
 
+# --- pictures
+
+_DAY, _HOURS = 172, (9.0, 12.0, 15.5)
+_HIGH = "CASE tags['building'] " + " ".join(f"WHEN '{k}' THEN {float(v)}e0" for k, v in C.BUILDING_HEIGHTS.items()) + " ELSE 10.0e0 END"
+
+
+@query(M.with_("way", "shape") + f""", d AS (SELECT radians(23.45e0 * sin(2 * pi() * (284 + {_DAY}) / 365)) AS dec),
+b AS (SELECT id, hour, {_HIGH} AS high, lat, radians(lat) AS r, dec, sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(radians((hour - 12) * 15)) AS sine FROM way JOIN shape ON way_id = id, d, (SELECT unnest([{", ".join(f"{h}e0" for h in _HOURS)}]) AS hour) WHERE map_contains(tags, 'building') AND n >= 3),
+z AS (SELECT *, degrees(acos(greatest(-1, least(1, (sin(dec) - sin(r) * sine) / (cos(r) * sqrt(1 - sine * sine)))))) AS half, high / tan(asin(sine)) AS long FROM b WHERE sine > 0),
+a AS (SELECT *, CASE WHEN hour > 12 THEN 360 - half ELSE half END AS azimuth FROM z),
+p AS (SELECT DISTINCT id, hour, mid, pts.lon + k * long * sin(radians(azimuth + 180)) / (111320.0e0 * cos(r)) AS x, pts.lat + k * long * cos(radians(azimuth + 180)) / 111320.0e0 AS y FROM (SELECT id, hour, lat AS mid, r, long, azimuth FROM a) a JOIN (SELECT way_id, lon, lat FROM pts) pts ON way_id = id, (SELECT unnest([0, 1]) AS k)),
+e AS (SELECT i.id, i.hour, i.mid, i.x * j.y - j.x * i.y AS twice FROM p i JOIN p j ON i.id = j.id AND i.hour = j.hour AND (i.x <> j.x OR i.y <> j.y) JOIN p c ON c.id = i.id AND c.hour = i.hour
+GROUP BY i.id, i.hour, i.mid, i.x, i.y, j.x, j.y HAVING min((j.x - i.x) * (c.y - i.y) - (j.y - i.y) * (c.x - i.x)) >= 0),
+h AS (SELECT id, hour, sum(twice) / 2 * 111320.0e0 * 111320.0e0 * cos(radians(mid)) / 10000 AS hectares FROM e GROUP BY id, hour, mid)
+SELECT id, hour, high AS height_m, round(degrees(asin(sine)), 4) AS altitude, round(azimuth, 4) AS azimuth, round(long, 3) AS length_m, round(hectares, 1) AS hectares FROM a JOIN h USING (id, hour)""")
+def sun_shadows(m: GeoMap) -> DataFrame:
+    """V4: every building's shadow at three hours of midsummer."""
+    rows = sun.shadows(m, _DAY, _HOURS)
+    return rows.select("id", "hour", "height_m", F.round("altitude", 4).alias("altitude"), F.round("azimuth", 4).alias("azimuth"), F.round("length_m", 3).alias("length_m"), F.round(F.col("area_sqm") / 10000, 1).alias("hectares"))
+
+
+@query()
+def raster_tiles(m: GeoMap) -> DataFrame:
+    """V1: the map as PNG tiles; no SQL draws lines, tests compare the pixels with those of a picture drawn at once."""
+    return raster.tiles(m, 10).select("z", "x", "y", "drawn", F.sha2("png", 256).alias("png_sha256"))
+
+
 def multipolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of square rings around their nations' places, as wide as customers make them: outer ones of even nations, holes of odd ones."""
     m = M.star(spark, sf_dir)
