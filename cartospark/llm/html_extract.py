@@ -37,16 +37,17 @@ from .common import cut, partitions, small_batches
 #: A tag, comment or declaration; quoted attribute values may hold ">". No part of it backtracks.
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S)
 _OPENS = re.compile(r"<(?=[a-zA-Z/!?])")
-_ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: An attribute with its value, read in order, so that no name is found inside a value or a longer name.
+_ATTR = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 #: HTML elements that start a new block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Their content is no text.
 RAW = ("script", "style", "textarea", "template", "noscript", "iframe", "noembed", "noframes", "svg")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never the article's text.
-BOILER = frozenset("nav footer aside form head button select dialog menu".split())
+BOILER = frozenset("nav footer aside form head title label button select dialog menu".split())
 _BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|search|copyright|disclaimer|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|widget|toolbar|pagination|pager|search|copyright|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -86,13 +87,18 @@ def _role(tag: str, attrs: str, in_article: bool) -> str:
 
 
 def blocks(source: str) -> list[tuple[str, int]]:
-    """(text, zone) of the page's blocks in order; zone 1: in the part named as the article, 0: elsewhere, -1: boilerplate by markup."""
+    """(text, zone) of the page's blocks in order; zone 1: in the part named as the article, 0: elsewhere, -1: boilerplate by markup.
+
+    Boilerplate inside a line of text (a button, an advert in a span) is a block
+    of its own; the line around it goes on after it.
+    """
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, str]] = []
     boiler = main = 0
     open_tags: dict[str, int] = {}
     open_blocks: list[int] = []  # their places in the stack
+    around: list[list[str]] = []  # the texts that inline boilerplate interrupts
 
     def flush() -> None:
         if buffer:
@@ -102,8 +108,13 @@ def blocks(source: str) -> list[tuple[str, int]]:
                 out.append((text, -1 if boiler else 1 if main else 0))
 
     def pop() -> None:
-        nonlocal boiler, main
-        tag, role = stack.pop()
+        nonlocal boiler, main, buffer
+        tag, role = stack[-1]
+        if role and tag not in BLOCKS:
+            flush()
+            if role == "boiler":
+                buffer = around.pop()
+        stack.pop()
         open_tags[tag] -= 1
         if open_blocks and open_blocks[-1] == len(stack):
             open_blocks.pop()
@@ -126,13 +137,17 @@ def blocks(source: str) -> list[tuple[str, int]]:
                 if tag in BLOCKS or stack[-1][0] == tag:
                     while stack[-1][0] != tag:
                         pop()
+                    if tag in BLOCKS:
+                        flush()
                     pop()
-                else:  # misnested inline: only this one ends
+                else:  # misnested inline: only this one ends, or with a role all in it
                     i = len(stack) - 1
                     while stack[i][0] != tag:
                         i -= 1
-                    boiler -= stack[i][1] == "boiler"
-                    main -= stack[i][1] == "main"
+                    if stack[i][1]:
+                        while len(stack) > i:
+                            pop()
+                        continue
                     open_tags[tag] -= 1
                     del stack[i]
                     for k in range(len(open_blocks) - 1, -1, -1):
@@ -153,8 +168,10 @@ def blocks(source: str) -> list[tuple[str, int]]:
             if tag in _CLOSES_P or tag == "p":
                 k = open_blocks[-1] if open_blocks else -1
                 if k >= 0 and stack[k][0] == "p":
-                    while len(stack) > k:
+                    while len(stack) > k + 1:
                         pop()
+                    flush()
+                    pop()
             if stack and tag in ("li", "option", "tr", "td", "th", "dd", "dt") and stack[-1][0] == tag:
                 pop()
         elif tag in ("br", "img", "input", "wbr"):
@@ -163,7 +180,11 @@ def blocks(source: str) -> list[tuple[str, int]]:
             continue
         role = _role(tag, m[3], main > 0)
         if role and tag not in BLOCKS:
-            flush()
+            if role == "boiler":
+                around.append(buffer)
+                buffer = []
+            else:
+                flush()
         if tag in BLOCKS:
             open_blocks.append(len(stack))
         stack.append((tag, role))
@@ -172,6 +193,9 @@ def blocks(source: str) -> list[tuple[str, int]]:
         main += role == "main"
     buffer.append(_OPENS.split(source[at:], maxsplit=1)[0])  # a tag that never ends is no text
     flush()
+    while around:
+        pop()
+        flush()
     return out
 
 
