@@ -159,24 +159,28 @@ class ShardStore:
         return [sorted(run, key=lambda s: s.path) for k, run in sorted(tiers.items(), reverse=True) if k and len(run) >= MIN_RUN]
 
     def compact(self) -> Manifest:
-        """Merge runs until no tier has one (a merge moves its rows up at least one tier or leaves one file); the final manifest."""
+        """Merge runs until no tier has one (a merge leaves fewer files, sooner or later of a higher tier); the final manifest.
+
+        Every run is written by itself, so a file's rows come from one tier; the runs of a round are one commit.
+        """
         m = self.manifest()
         for _ in range(32):
             runs = self.plan(m)
             if not runs:
                 break
-            run = [s for r in runs for s in r]
-            files = max(1, round(sum(s.bytes for s in run) / self.target))
-            folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            self._read(m.schema, run).coalesce(files).write.mode("errorifexists").parquet(folder)
-            gone = {s.path for s in run}
-            merged = self._listed(folder)
+            merged: list[Shard] = []
+            for run in runs:
+                files = max(1, round(sum(s.bytes for s in run) / self.target))
+                folder = f"{self.root}/data/{uuid.uuid4().hex}"
+                self._read(m.schema, run).coalesce(files).write.mode("errorifexists").parquet(folder)
+                merged += self._listed(folder)
+            gone = {s.path for run in runs for s in run}
             done = self._rebased(None, lambda now: [s for s in now.shards if s.path not in gone] + merged if gone <= {s.path for s in now.shards} else None)
             if done is None:  # another writer merged some of the same files
                 for s in merged:
                     self._fs.delete(self._path(s.path), False)
             m = done or self.manifest()
-            if done and len(merged) >= len(run):
+            if done and len(merged) >= len(gone):
                 break
         return m
 
