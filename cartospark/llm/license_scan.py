@@ -46,7 +46,29 @@ NOTICES = (
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd 4 0"),
     ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "cc by nc sa 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 3 0 unported license", "creative commons attribution 3 0"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
+    ("cc-by-nd-4.0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives 4 0"),
+    ("cc-by-nc-sa-4.0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "creative commons attribution noncommercial sharealike 4 0"),
+    ("cc-by-nc-nd-4.0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "creative commons attribution noncommercial noderivatives 4 0"),
+    ("apache-2.0", "licensed under the apache licence version 2 0", "apache licence version 2 0"),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1"),
+    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3"),
+    ("bsd-2-clause", "licensed under the bsd 2 clause license", "bsd 2 clause license"),
+    ("bsd-3-clause", "licensed under the bsd 3 clause license", "bsd 3 clause license"),
+    ("epl-2.0", "made available under the terms of the eclipse public license v 2 0", "eclipse public license v 2 0"),
+    ("mit", "spdx license identifier mit", "spdx license identifier mit"),
+    ("apache-2.0", "spdx license identifier apache 2 0", "spdx license identifier apache 2 0"),
+    ("gpl-2.0", "spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0"),
+    ("gpl-3.0", "spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0"),
+    ("lgpl-2.1", "spdx license identifier lgpl 2 1", "spdx license identifier lgpl 2 1"),
+    ("agpl-3.0", "spdx license identifier agpl 3 0", "spdx license identifier agpl 3 0"),
+    ("bsd-2-clause", "spdx license identifier bsd 2 clause", "spdx license identifier bsd 2 clause"),
+    ("bsd-3-clause", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 3 clause"),
+    ("epl-2.0", "spdx license identifier epl 2 0", "spdx license identifier epl 2 0"),
+    ("mpl-2.0", "spdx license identifier mpl 2 0", "spdx license identifier mpl 2 0"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all rights", "dedicated the work to the public domain"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "see the gnu general public license for more details"),
