@@ -96,16 +96,16 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Parts are ranges of doc_id between quantiles. The first row of a part goes
     to the part before it as well, as a ``donor``: the successor of that part's
-    last row. The first row of all goes to the last part. Null ids come last.
+    last row. The first row of all goes to the last part. Null ids come last, in
+    parts of their own by ranges of their texts' hashes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = 2 * partitions(docs.sparkSession)
     cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts), reverse=True)  # at most n numbers: descending lower bounds
-    part = F.lit(len(cuts))
-    if cuts:
-        bounds = F.array(*(F.lit(c) for c in cuts))
-        part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
+    bounds = F.array(*(F.lit(c).cast("long") for c in cuts))
+    falling = n - 1 - F.floor((F.shiftright(F.xxhash64("text"), 32) + (1 << 31)) * n / (1 << 32))
+    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1 + falling).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))) if cuts else 0)
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text"))
     placed = rows.withColumn("part", part.cast("int"))
     heads = placed.groupBy("part").agg(F.max(order).alias("top")).collect()  # a row for each part
