@@ -60,6 +60,20 @@ def test_tiers():
     assert [[x.bytes for x in run] for run in s.plan(m)] == [[20, 20]]
 
 
+def test_a_merge_keeps_tiers_apart(spark, docs):
+    """Two large files and two small ones become one of each, in one commit."""
+    store = sharding.ShardStore(spark, scratch(spark, "t"), 1 << 20)
+    wide = F.expr("array_join(transform(sequence(1, 12), i -> sha2(concat_ws(':', id, i), 256)), '')")
+    for first, n in ((0, 500), (500, 500), (1000, 20), (1020, 20)):
+        store.append(spark.range(first, first + n, 1, 1).select(F.col("id").alias("doc_id"), wide.alias("text")))
+    before = store.manifest()
+    assert sorted(store.tier(s.bytes) for s in before.shards) == [1, 1, 3, 3] and [len(r) for r in store.plan(before)] == [2, 2]
+    after = store.compact()
+    assert after.version == before.version + 1
+    held = [(r["a"], r["b"]) for r in store.read().groupBy(F.input_file_name()).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()]
+    assert sorted(held) == [(0, 999), (1000, 1039)]
+
+
 def test_empty_store(spark, docs):
     store = sharding.ShardStore(spark, scratch(spark, "e"))
     with pytest.raises(ValueError, match="no version"):
@@ -159,6 +173,21 @@ def test_markup_inside_an_article(spark):
     assert got[1] == "Title\nE = mc2 and shape\nraw"
 
 
+def test_boilerplate_inside_a_line_and_names_inside_values():
+    kept = lambda source: [t for t, z in html_extract.blocks(source) if z >= 0]
+    for inner in ('<span class="advert">Buy now</span>', "<button>Buy now</button>", "<span hidden>Buy <b>now</b></span>", '<span style="display:none">Buy now</span>', '<a class="share" href="/x">Buy now</a>', "<select><option>Buy<option>now</select>"):
+        assert kept(f"<p>Hello {inner} world</p><p>next</p>") == ["Hello world", "next"], inner
+        assert kept(f"<article><p>Hello {inner} world</article>tail") == ["Hello world", "tail"]
+        assert html_extract.blocks(f"<article><p>Hello {inner} world</article>")[-1] == ("Hello world", 1)
+    assert kept("<p>Hello <span class=ad>Buy <b>now</span> world</b> again</p>") == ["Hello world again"]
+    assert kept("<p>Hello <span class=ad>Buy</p><p>next") == ["Hello", "next"] and kept("<p>Hello <span class=ad>Buy<p>next") == ["Hello", "next"]
+    assert kept("<p>Hello <span class=ad>Buy") == ["Hello"] and kept("Hello <span class=ad>a <span class=ad>b</span> c</span> world") == ["Hello world"]
+    for attrs in ('title="a hidden gem"', 'data-hidden="false"', 'data-id="ad"', 'href="/hidden-valley"', "href=/?id=menu", 'alt=\'class="menu"\'', "x = 'id=ad'"):
+        assert kept(f"<p {attrs}>One</p>") == ["One"] and kept(f"<p>One <a {attrs}>two</a> three</p>") == ["One two three"], attrs
+    assert kept('<p CLASS = "ad">no</p><p id=menu>no</p><div data-x="1" hidden>no</div><p>yes</p>') == ["yes"]
+    assert kept("<html><title>Name</title><body><label>Mail</label><ol class=commentlist><li>me, too</ol><p>yes</p>") == ["yes"]
+
+
 def test_differencing_decides_outside_a_named_article(spark):
     """A standfirst outside the article stays, lines of the site go; a page without a neighbour keeps its article only."""
     rows = [(i, f"https://a.b/x/{i}", PAGE.format(main=f"<p>Standfirst {i}</p><article><p>Body {i}</p><p>Same quote</p></article><p>After {i}</p>")) for i in (1, 2)]

@@ -103,6 +103,16 @@ def test_licenses(docs, words, odd):
     assert license_scan.scan(docs([])).count() == 0
 
 
+def test_close_licenses_and_identifiers(docs):
+    texts = {
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0", "under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "cc-by-nc-nd-4.0", "licensed under the Apache Licence, Version 2.0": "apache-2.0", "GNU Lesser General Public License, version 2.1": "lgpl-2.1",
+        "BSD 3-Clause License": "bsd-3-clause", "// SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1", "SPDX-License-Identifier: none of these": "", "the terms of the Eclipse Public License v. 2.0": "epl-2.0",
+    }
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_several_notices_in_one_file(docs):
     """Every notice whose key phrase stands in a file is found, whatever other licence words are there."""
     notice = {label: text for label, text, _ in reversed(license_scan.NOTICES)}
@@ -224,6 +234,20 @@ def test_fingerprints(docs, words, odd):
     assert fingerprints.fingerprint(docs(odd)).count() == len(odd)
 
 
+def test_fingerprints_of_many_null_ids(docs, words):
+    """Rows without an id follow the others in parts of their own, by falling hash."""
+    rows = [(i, " ".join(words(i, 30))) for i in range(5)] + [(None, " ".join(words(100 + i, 30))) for i in range(300)]
+    d = docs(rows)
+    parts = [r["part"] for r in fingerprints.in_order(d, "doc_id", "text").where("doc_id is null and not donor").select("part").collect()]
+    assert len(parts) == 300 and len(set(parts)) > 4 and max(Counter(parts).values()) < 150
+    order = d.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy(F.col("doc_id").desc_nulls_last(), F.col("h").desc()).collect()
+    want = Counter()
+    for k, r in enumerate(order):
+        t, nxt = r["text"], order[(k + 1) % len(order)]["text"]
+        want[r["doc_id"], hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.edits(d).collect()) == want
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(1)
     x = r.integers(0, 2**64 - 1, 30_000, dtype="u8")
