@@ -120,3 +120,20 @@ def test_betweenness_with_equal_paths(spark, monkeypatch):
     packed = plain()
     monkeypatch.setattr(routing, "MAX_EDGES", 3)
     assert plain() == pytest.approx(packed) and len(packed) == 18
+
+
+def test_parts_of_a_graph_that_is_too_large_to_pack(spark, monkeypatch):
+    """Parts go to tasks of their own, what is larger is relaxed; a source that no edge leaves reaches itself."""
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (11, 12), (12, 13), (13, 14), (21, 22), (22, 21), (30, 31)] + [(a, a + 1) for a in range(40, 52)]
+    rows = [(a, b, 7 * a, i % 3, "x", "y", 1.0 + a % 5, 2.0 + b % 3) for i, (a, b) in enumerate(pairs)]
+    e = spark.createDataFrame(rows, "src long, dst long, way_id long, pos int, highway string, name string, distance_m double, time_s double")
+    sources = [1, 3, 11, 13, 22, 31, 40, 99]
+    plain = lambda: {(r["source"], r["node"]): (r["cost"], r["distance_m"]) for r in routing.costs(e, sources).collect()}
+    packed = plain()
+    assert (31, 31) in packed and (40, 52) in packed and not any(99 in k for k in packed)
+    monkeypatch.setattr(routing, "MAX_EDGES", 5)  # the path of twelve edges is relaxed
+    got = plain()
+    assert got.keys() == packed.keys() and all(got[k] == pytest.approx(packed[k]) for k in got)
+    monkeypatch.setattr(routing, "HOPS", 1)
+    again = plain()
+    assert again.keys() == packed.keys() and all(again[k] == pytest.approx(packed[k]) for k in again)
