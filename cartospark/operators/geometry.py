@@ -33,8 +33,7 @@ def centroids(m: GeoMap) -> DataFrame:
 
 def midpoints(m: GeoMap) -> DataFrame:
     """(id, lon, lat): the point half-way along every way."""
-    p = geo.midpoint(F.col("coords"))
-    return m.lines().select(F.col("way_id").alias("id"), p["lon"].alias("lon"), p["lat"].alias("lat"))
+    return m.lines().select(F.col("way_id").alias("id"), geo.midpoint(F.col("coords")).alias("p")).select("id", "p.lon", "p.lat")
 
 
 def rings(m: GeoMap) -> DataFrame:
