@@ -8,7 +8,7 @@ from cartospark.functions import geo
 LINE = "array(struct(0.0D AS lon, 51.0D AS lat), struct(0.3D AS lon, 51.2D AS lat), struct(0.4D AS lon, 51.2D AS lat))"
 
 
-@pytest.mark.parametrize("measure", [lambda c: geo.midpoint(c)["lon"]])
+@pytest.mark.parametrize("measure", [lambda c: geo.midpoint(c)["lon"], lambda c: F.size(geo.densified(c, 2000.0))])
 def test_a_segment_is_measured_once(spark, measure):
     df = spark.range(1).select(F.expr(LINE).alias("c")).select(measure(F.col("c")).alias("v"))
     assert df._jdf.queryExecution().analyzed().toString().lower().count("asin(") == 1
