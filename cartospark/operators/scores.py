@@ -16,6 +16,7 @@ from .. import constants as C
 from ..functions import geo, units
 from ..plans import tagexpr as T
 from ..plans.model import GeoMap
+from ..session import stored
 from . import network, spatial
 
 
@@ -106,7 +107,7 @@ def walkability_map(m: GeoMap, step: float = 500.0, radius: float = 1000.0, boun
     (south, west, north, east; the map's own if not given), as wide; or the
     bounds are cut into ``cells`` (rows, columns). Crossroads,
     nodes and green ways are points that count in every cell whose middle is
-    within ``radius``; they meet cells by proximity and are summed there. A
+    within ``radius``; they are stored once, meet cells by proximity and are summed there. A
     cell's score is that of walkability() at its middle.
     """
     if bounds is None:
@@ -122,7 +123,7 @@ def walkability_map(m: GeoMap, step: float = 500.0, radius: float = 1000.0, boun
     grid = grid.withColumns({"lat": F.lit(south) + (F.col("cell_y") + 0.5) * d_lat, "lon": F.lit(west) + (F.col("cell_x") + 0.5) * d_lon})
     t = F.col("tags")
     is_in = lambda key, vs: T.column(T.isin(key, vs), t)
-    walk = network.edges(m, "walk", directed=False)
+    walk = stored(network.edges(m, "walk", directed=False).select("src", "highway", "distance_m"))
     halves = walk.agg((F.coalesce(F.sum("distance_m"), F.lit(0.0)) / 2).alias("walk_m"), (F.coalesce(F.sum(F.when(F.col("highway").isin(*C.PEDESTRIAN_WAYS), F.col("distance_m"))), F.lit(0.0)) / 2).alias("pedestrian_m"))
     kinds = _walk_kinds(t)
     names = ["intersections", *(f"n_{k}" for k in kinds), "crossings", "signals", "greens"]
@@ -136,7 +137,9 @@ def walkability_map(m: GeoMap, step: float = 500.0, radius: float = 1000.0, boun
     crossroads = walk.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k")).join(m.coords, "id")
     found = events(crossroads, intersections=F.col("k") >= 3)
     found = found.unionByName(events(m.nodes, **{f"n_{k}": c for k, c in kinds.items()}, crossings=is_in("highway", ("crossing",)), signals=is_in("highway", ("traffic_signals",))))
-    found = found.unionByName(events(m.way_geometry().where(_green(t)).select(y.alias("lat"), x.alias("lon")), greens=F.lit(True)))
+    green = m.ways.where(_green(t))
+    lines = m.with_(ways=green, refs=m.way_refs().join(green.select(F.col("id").alias("way_id")), "way_id", "left_semi")).way_geometry()
+    found = stored(found.unionByName(events(lines.select(y.alias("lat"), x.alias("lon")), greens=F.lit(True))))
     met = spatial.within_distance(found, grid.select("id", "lat", "lon"), radius)
     sums = met.groupBy(F.col("r_id").alias("id")).agg(*(F.sum(f"l_{k}").alias(k) for k in names))
     rows = grid.join(sums, "id", "left").fillna(0, names).crossJoin(F.broadcast(halves))  # one row
