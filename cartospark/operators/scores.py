@@ -34,9 +34,8 @@ def _within(lat: float, lon: float, radius: float, x: Column = None, y: Column =
 
 def _ways(m: GeoMap, lat: float, lon: float, radius: float) -> DataFrame:
     """Ways around the centre with n points, length and area."""
-    x, y = geo.mean_point(F.col("coords"))
-    g = m.way_geometry().withColumn("x", x).withColumn("y", y).where(_within(lat, lon, radius, F.col("x"), F.col("y")))
     c = F.col("coords")
+    g = m.way_geometry().where(geo.let(F.struct(*geo.mean_point(c)), lambda p: _within(lat, lon, radius, p["col1"], p["col2"])))
     return g.select("id", "tags", F.size(c).alias("n"), geo.length(c, C.R_ROUND).alias("m"), geo.area(c).alias("a"))
 
 
@@ -162,10 +161,11 @@ def bike_intersections(m: GeoMap, lat: float, lon: float, radius: float) -> Data
     bike = T.column(T.any_of(T.isin("highway", ("cycleway", "path")), T.eq("bicycle_road", "yes"), T.isin("cycleway", C.BIKE_LANES), T.isin("bicycle", ("designated", "yes"))), t)
     roads = m.ways.where(F.map_contains_key("tags", F.lit("highway"))).select(F.col("id").alias("way_id"), bike.alias("bike"), F.coalesce(F.element_at(danger, t["highway"]), F.lit(0)).alias("d"))
     met = m.way_refs().join(roads, "way_id").groupBy(F.col("ref").alias("id")).agg(F.count(F.lit(1)).alias("k"), F.bool_or("bike").alias("bike"), F.max(F.when(F.col("d") >= 25, F.col("d"))).alias("danger")).where("k >= 2 and bike and danger is not null")
-    met = met.join(m.coords, "id").where(_within(lat, lon, radius))
+    met = stored(met.join(m.coords, "id").where(_within(lat, lon, radius)))
     near = m.nodes.where(_within(lat, lon, radius))
     flags = near.select("id", T.column(T.eq("crossing:island", "yes"), t).alias("island"), T.column(T.isin("crossing", ("marked", "zebra", "controlled")), t).alias("marked"), T.column(T.any_of(T.eq("crossing", "traffic_signals"), T.all_of(T.eq("crossing:signals", "yes"), T.any_of(T.eq("crossing:island", "yes"), T.all_of(T.eq("highway", "crossing"), T.isin("bicycle", ("yes", "designated")))))), t).alias("own"), T.column(T.any_of(T.all_of(T.eq("highway", "crossing"), T.isin("bicycle", ("yes", "designated"))), T.eq("crossing", "traffic_signals"), T.eq("crossing:island", "yes")), t).alias("is"))
     signals = near.where(T.column(T.any_of(T.eq("highway", "traffic_signals"), T.eq("crossing", "traffic_signals")), t)).select("id", "lat", "lon")
+    signals = stored(signals)
     close = spatial.within_distance(met.select("id", "lat", "lon"), signals, 25.0).select(F.col("l_id").alias("id")).distinct().withColumn("close", F.lit(True))
     no = lambda c: F.coalesce(F.col(c), F.lit(False)) & F.coalesce(F.col("is"), F.lit(False))
     has = no("own") | F.coalesce(F.col("close"), F.lit(False))
@@ -178,12 +178,13 @@ def bikeability(m: GeoMap, lat: float | None = None, lon: float | None = None, r
     """One row: lengths, facilities, barriers, parking, traffic context, connectivity, intersections; eight component scores, score and grade."""
     if lat is None or lon is None:
         lat, lon = center(m)
-    t, metres = F.col("tags"), F.col("m")
+    t = F.col("tags")
+    is_road = F.map_contains_key("tags", F.lit("highway"))
+    metres = F.when(is_road, F.col("m"))
     is_in = lambda key, *vs: T.column(T.isin(key, vs), t)
     table = lambda d, key, other: F.coalesce(F.element_at(F.create_map(*(x for k, v in d.items() for x in (F.lit(k), F.lit(v)))), t[key]), F.lit(other))
     near = m.nodes.where(_within(lat, lon, radius))
     around = _ways(m, lat, lon, radius).where("n >= 2")
-    roads = around.where(F.map_contains_key("tags", F.lit("highway")))
     total = lambda c, k: F.coalesce(F.sum(c), F.lit(0.0)).alias(k)
     on = lambda cond, k=1.0: F.when(cond, metres * k).otherwise(0.0)
     lane = {s: is_in(f"cycleway{s}", *C.BIKE_LANES) for s in ("", ":left", ":right", ":both")}
@@ -199,12 +200,13 @@ def bikeability(m: GeoMap, lat: float | None = None, lon: float | None = None, r
     trucks = F.map_contains_key("tags", F.lit("hgv")) & ~is_in("hgv", "no")
     one = is_in("oneway", "yes")
     exempt = one & (is_in("oneway:bicycle", "no") | F.coalesce(t["cycleway"].contains("opposite"), F.lit(False)))
-    network_row = roads.agg(
+    lengths = around.agg(
         total(metres, "total_m"), total(on(is_in("highway", "cycleway")), "cycleway_m"), total(lanes, "lane_m"), total(on(is_in("bicycle_road", "yes", "designated") | is_in("cyclestreet", "yes")), "bike_road_m"), total(on(apart), "separated_m"),
         total(by_lane(against) + on(one & is_in("oneway:bicycle", "no")), "contraflow_m"), total(on(is_in("highway", "living_street", "residential", "pedestrian", "path")), "low_traffic_m"),
         total(on(F.map_contains_key("tags", F.lit("surface"))), "surface_m"), total(F.when(F.map_contains_key("tags", F.lit("surface")), metres * table(C.SURFACE_SCORES, "surface", 50)).otherwise(0.0), "surface_weighted"),
         total(on(F.coalesce(speed <= 30, F.lit(False))), "slow_m"), total(on(speed.isNotNull()), "speed_m"), total(on(has_bus & is_in("bicycle", "yes", "designated")), "busway_m"), total(on(trucks), "hgv_m"), total(F.when(trucks, metres * table(C.HGV_DANGER, "hgv", 40)).otherwise(0.0), "hgv_weighted"),
-        total(on(one), "oneway_m"), F.count_if(exempt).alias("exemptions"), total(on(exempt), "exempt_m"),
+        total(on(one), "oneway_m"), F.count_if(is_road & exempt).alias("exemptions"), total(on(exempt), "exempt_m"),
+        F.count_if(F.map_contains_key("tags", F.lit("barrier"))).alias("way_barriers"), F.count_if(is_in("bicycle", "dismount")).alias("dismounts"), total(F.when(is_in("bicycle", "dismount"), F.col("m")), "dismount_m"),
     )
     capacity = F.coalesce(F.trim(t["capacity"]).try_cast("int"), F.lit(10))
     parks = is_in("amenity", "bicycle_parking")
@@ -216,15 +218,14 @@ def bikeability(m: GeoMap, lat: float | None = None, lon: float | None = None, r
         F.count_if(F.map_contains_key("tags", F.lit("barrier"))).alias("node_barriers"), F.coalesce(F.sum(F.when(F.map_contains_key("tags", F.lit("barrier")), table(C.BARRIER_PENALTIES, "barrier", 20))), F.lit(0)).alias("barrier_penalty"),
         F.coalesce(F.sum(F.when(F.map_contains_key("tags", F.lit("kerb")), table(C.KERB_PENALTIES, "kerb", 20))), F.lit(0)).alias("kerb_penalty"), F.count_if(is_in("highway", "crossing")).alias("crossings"), F.count_if(is_in("highway", "traffic_signals")).alias("signals"),
     )
-    blocks = around.agg(F.count_if(F.map_contains_key("tags", F.lit("barrier"))).alias("way_barriers"), F.count_if(is_in("bicycle", "dismount")).alias("dismounts"), total(on(is_in("bicycle", "dismount")), "dismount_m"))
     rideable = tuple(k for k, v in C.BIKE_ROADS.items() if v >= 20)
-    seg = spatial.segments(m, strict=True, ways=m.ways.where(is_in("highway", *rideable)))
+    seg = stored(spatial.segments(m, strict=True, ways=m.ways.where(is_in("highway", *rideable))).select("src", "dst"))
     inside = m.coords.where(_within(lat, lon, radius)).select("id")
     links = seg.select("src", "dst").join(inside.withColumnRenamed("id", "src"), "src", "left_semi").join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi")
     parts = network.components(links).groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest"), F.count(F.lit(1)).alias("components"))
     nodes = seg.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(inside, "id", "left_semi").agg(F.count(F.lit(1)).alias("bike_nodes"))
     meets = bike_intersections(m, lat, lon, radius).agg(F.count(F.lit(1)).alias("meets"), F.count_if(F.col("safety_score") >= 60).alias("safe_meets"), F.coalesce(F.avg("safety_score"), F.lit(70.0)).alias("meet_safety"))
-    row = _cross([network_row, points, blocks, parts, nodes, meets])
+    row = _cross([lengths, points, parts, nodes, meets])
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     capped = lambda c, top=100.0: F.least(F.lit(top), c.cast("double"))
     row = row.withColumn("_all", F.col("cycleway_m") + F.col("lane_m") + F.col("bike_road_m"))

@@ -14,3 +14,8 @@ def test_walk_map_reads_stored_edges_and_points(spark):
     m = testmap.star(spark, SF)
     rows = scores.walkability_map(m, radius=3000.0, bounds=(51.0, -0.5, 52.0, 0.5), cells=(2, 2))
     assert "Window" not in plan(rows) and "collect_list" not in plan(rows)
+
+
+def test_bikeability_puts_ways_together_once(spark):
+    m = testmap.star(spark, SF)
+    assert plan(scores.bikeability(m, 51.5, -0.1, 20_000.0)).count("collect_list(") == 1
