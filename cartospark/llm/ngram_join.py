@@ -21,7 +21,9 @@ Steps, none of which gathers more than a bounded slice in one place:
    components are verified then, each once; pairs inside a component cannot
    change it and are never listed. Where links are counted, every candidate
    pair is verified once but those that the distances to a common leader prove
-   linked: these are counted and never listed (``counted_links``).
+   linked: these are counted and never listed (``counted_links``). Where many
+   texts meet one another, their pairs are not listed either: such a crowd is
+   cut into blocks, and a task counts the links between two of them (``_crowds``).
 
 In the shuffles a shingle is its bucket and the upper 48 bits of its hash; that
 is enough to tell the shingles of two texts apart (a false match takes a chance
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import cut, partitions, small_batches, spread_join
+from .common import cut, partitions, small, small_batches, spread_join
 from .components import components
 
 K = 5
@@ -51,6 +53,10 @@ FLUSH, CLASSES = 1 << 21, 16
 BUCKET, HOT, HOT_SHARE = 1 << 21, 1 << 17, 1 / 65_536
 #: Steps in which distances to a leader are kept.
 FAR = 10_000
+#: Texts of a star from which it may be a crowd; texts that a block of a crowd should hold, texts and shingles that it holds at most, blocks of a crowd from which only these two count.
+CROWD, BLOCK, BLOCK_MOST, BLOCK_SHINGLES, BLOCKS = 64, 128, 1 << 11, 1 << 22, 12
+#: Shingles that a product of two blocks takes at a time.
+WIDE = 1 << 10
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -296,14 +302,112 @@ def linked_texts(docs: DataFrame, base: DataFrame, text_col: str = "text", num:
     return components(tried.where("linked").select("a", "b").unionByName(found.select("a", "b")))
 
 
+def _crowds(per_star: DataFrame, stars: DataFrame) -> DataFrame:
+    """(star, crowd): stars whose pairs are counted block by block; ``per_star`` has (h, star, n) for each prefix shingle.
+
+    A star of CROWD texts or more is a crowd if its pairs meet once at two
+    prefix shingles at most, so that the blocks never compare many more pairs than a join
+    would list. A smaller star or single text joins the crowd that is the
+    largest at its shingles if half of their pairs meet.
+    """
+    sizes = stars.groupBy("star").agg(F.count(F.lit(1)).alias("g"))
+    met = per_star.groupBy("star").agg(F.sum(F.col("n") * F.col("n")).alias("met"))
+    seeds = cut(met.join(sizes.where(F.col("g") >= CROWD), "star").where("2 * met >= g * g").select(F.col("star").alias("seed"), F.col("g").alias("g_seed")))
+    n_seeds = seeds.count()
+    top = per_star.where(F.col("n") >= CROWD // 4).groupBy("h").agg(F.max(F.struct("n", "star")).alias("t")).select("h", F.col("t.n").alias("m"), F.col("t.star").alias("seed"))
+    pull = per_star.join(top, "h").where("star <> seed").groupBy("star", "seed").agg(F.sum(F.col("n") * F.col("m")).alias("met")).join(small(seeds, n_seeds), "seed")
+    pull = pull.join(sizes, "star", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    pull = pull.where("2 * met >= g * g_seed and (g < g_seed or g = g_seed and star < seed)")
+    to = cut(pull.groupBy("star").agg(F.max_by("seed", F.struct("met", "seed")).alias("to")))
+    on = to.select(F.col("star").alias("to"), F.col("to").alias("on"))
+    named = to.join(small(on.join(small(seeds.select(F.col("seed").alias("to")), n_seeds), "to", "left_semi"), n_seeds), "to", "left").select("star", F.coalesce("on", "to").alias("crowd"))
+    return cut(named.unionByName(seeds.select(F.col("seed").alias("star"), F.col("seed").alias("crowd")).join(to, "star", "left_anti")))
+
+
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's texts in one row."""
+    toks = [np.asarray(t, dtype="<i8") for t in pdf["toks"]]
+    packed = {c: [pdf[c].to_numpy().astype("<i8").tobytes()] for c in ("key", "star", "n", "n_copies")}
+    return pd.DataFrame({c: [pdf[c].iloc[0]] for c in ("crowd", "block", "blocks")} | packed | {"counts": [np.array([len(t) for t in toks], dtype="<i8").tobytes()], "toks": [np.concatenate(toks).tobytes()]})
+
+
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b``, given their sizes and elements: products of 0-1 matrices, WIDE elements at a time."""
+    both = np.zeros((len(a[0]), len(b[0])))
+    shared = np.intersect1d(a[1], b[1])
+    sides = []
+    for counts, toks in (a, b):
+        of = np.repeat(np.arange(len(counts)), counts)
+        at = np.minimum(np.searchsorted(shared, toks), max(len(shared) - 1, 0))
+        here = shared[at] == toks if len(shared) else np.zeros(len(toks), dtype=bool)
+        of, at = of[here], at[here]
+        order = np.argsort(at, kind="stable")
+        sides.append((of[order], at[order], len(counts)))
+    for lo in range(0, len(shared), WIDE):
+        parts = []
+        for of, at, n in sides:
+            i, j = np.searchsorted(at, (lo, lo + WIDE))
+            part = np.zeros((n, min(WIDE, len(shared) - lo)), dtype=np.float32)
+            part[of[i:j], at[i:j] - lo] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both.astype(np.int64)
+
+
+def _block_links(num: int, den: int):
+    """(key, others, to): links of the texts of two blocks (or of one with itself), weighted by copies; and edges (key, to) that hang together what links hang together."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for _, row in pdf.iterrows():
+            key, star, n, copies, counts, toks = (np.frombuffer(row[c], dtype="<i8") for c in ("key", "star", "n", "n_copies", "counts", "toks"))
+            sides.append((key, star, n, copies, (counts, toks)))
+        alone = len(sides) == 1
+        a, b = sides[0], sides[-1]
+        linked = _common(a[4], b[4]) * (num + den) >= (a[2][:, None] + b[2][None, :]) * num
+        if alone:
+            np.fill_diagonal(linked, False)
+        keys, others = [a[0]], [linked @ a[3] if alone else linked @ b[3]]
+        if not alone:
+            keys.append(b[0])
+            others.append(a[3] @ linked)
+        names, at = np.unique(np.concatenate([a[1], b[1]]), return_inverse=True)
+        at_a, at_b = at[: len(a[1])], at[len(a[1]) :]
+        least = np.arange(len(names))
+        while True:  # the smallest star that a star's links lead to
+            before = least.copy()
+            np.minimum.at(least, at_a, np.where(linked, before[at_b][None, :], len(names)).min(axis=1))
+            np.minimum.at(least, at_b, np.where(linked, before[at_a][:, None], len(names)).min(axis=0))
+            if (least == before).all():
+                break
+        moved = np.flatnonzero(least != np.arange(len(names)))
+        key, n = np.concatenate([*keys, names[moved]]), len(moved)
+        return pd.DataFrame({"key": key, "others": pd.array([*np.concatenate(others).tolist(), *[None] * n], dtype="Int64"), "to": pd.array([*[None] * (len(key) - n), *names[least[moved]].tolist()], dtype="Int64")})
+
+    return run
+
+
+def _crowd_links(members: DataFrame, texts: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, others, to) as _block_links() gives them, for all pairs of blocks of each crowd; ``members`` has (key, star, crowd)."""
+    rows = members.join(texts.select("key", "n", "toks"), "key").join(copies.select("key", "n_copies"), "key")
+    sizes = cut(rows.groupBy("crowd").agg(F.count(F.lit(1)).alias("g"), F.sum(F.size("toks")).alias("t")))
+    parts = lambda x, most: F.ceil(F.col(x) / most)
+    blocks = F.greatest(F.least(parts("g", BLOCK), F.lit(BLOCKS)), parts("g", BLOCK_MOST), parts("t", BLOCK_SHINGLES)).cast("int")
+    rows = rows.join(small(sizes.select("crowd", blocks.alias("blocks")), sizes.count()), "crowd").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    packed = rows.groupBy("crowd", "block").applyInPandas(_packed, "crowd long, block int, blocks int, key binary, star binary, n binary, n_copies binary, counts binary, toks binary")
+    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    return cut(pairs.groupBy("crowd", "lo", "hi").applyInPandas(_block_links(num, den), "key long, others long, to long"))
+
+
 def counted_links(docs: DataFrame, base: DataFrame, copies: DataFrame, text_col: str = "text", num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(v, root) as linked_texts(), and (key, others): documents with a different text that link with text ``key``; ``copies`` has key and n_copies.
 
     A text that links with its leader stands in the leader's star, at a known
     distance. Two texts of a star whose distances add up to the threshold at
     most are linked, by the triangle inequality; they are counted from the
-    star's histogram of distances (at most FAR steps) and never listed. Every
-    other candidate pair is verified.
+    star's histogram of distances (at most FAR steps) and never listed. Pairs
+    inside a crowd are counted block by block. Every other candidate pair is
+    verified.
     """
     texts, posts, first, tried = _led(docs, base, text_col, num, den)
     limit = FAR * (den - num) // den
@@ -313,8 +417,16 @@ def counted_links(docs: DataFrame, base: DataFrame, copies: DataFrame, text_col:
     stars = spread_join(led, cut(centers), "lead", rows).where("center").select("key", F.col("lead").alias("star"), "far")
     stars = cut(stars.unionByName(centers.select(F.col("lead").alias("key"), F.col("lead").alias("star"), F.lit(0).alias("far"))))
 
-    placed = posts.join(stars, "key", "left").withColumn("star", F.coalesce("star", "key")).withColumn("far", F.coalesce("far", F.lit(0)))
+    alone = [F.coalesce("star", "key").alias("star"), F.coalesce("far", F.lit(0)).alias("far")]
+    units = cut(texts.select("key").join(stars, "key", "left").select("key", *alone))
     near = (2 * F.col("far") <= limit).cast("long")
+    per_star = cut(posts.select("key", "h").join(units, "key").groupBy("h", "star").agg(F.count(F.lit(1)).alias("n"), F.sum(near).alias("near")))
+    crowds = _crowds(per_star, stars)
+    units = cut(spread_join(units, crowds, "star", units.count()))
+    blocks = _crowd_links(units.where("crowd is not null").select("key", "star", "crowd"), texts, copies, num, den)
+
+    units = units.select("key", F.coalesce("crowd", "star").alias("star"), F.when(F.col("crowd").isNull(), F.col("far")).otherwise(0).alias("far"))
+    placed = posts.join(units, "key")
     per_star = placed.groupBy("h", "star").agg(F.count(F.lit(1)).alias("n"), F.sum(near).alias("near"))
     mixed = per_star.groupBy("h").agg(F.max_by("star", F.struct("near", "star")).alias("major"), F.max("near").alias("near"), F.sum("n").alias("n")).where("n > 1 and n > near").select("h", "major")
     placed = cut(placed.join(mixed, "h").withColumn("inside", (F.col("star") == F.col("major")) & (near == 1)))
@@ -324,16 +436,16 @@ def counted_links(docs: DataFrame, base: DataFrame, copies: DataFrame, text_col:
     open_ = (F.col("x_star") != F.col("y_star")) | (F.col("x_far") + F.col("y_far") > limit)
     more = x.join(y, (x.h == y.h) & (F.col("y_inside") | (F.col("x_key") < F.col("y_key"))) & open_ & _possible("x_", "y_", num, den))
     found = cut(_links(more.select(*_pair("x_key", "y_key")).distinct(), texts, num, den).where("linked").select("a", "b"))
-    roots = components(tried.where("linked").select("a", "b").unionByName(found))
+    roots = components(tried.where("linked").select("a", "b").unionByName(found).unionByName(blocks.where("to is not null").select(F.col("key").alias("a"), F.col("to").alias("b"))))
 
     ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("other")), F.struct(F.col("b").alias("key"), F.col("a").alias("other")))).alias("e")).select("e.*")
     listed = ends.join(copies.select(F.col("key").alias("other"), "n_copies"), "other").groupBy("key").agg(F.sum("n_copies").alias("others"))
-    members = cut(stars.join(copies.select("key", "n_copies"), "key").withColumn("cell", F.struct("star", "far")))
+    members = cut(stars.join(crowds, "star", "left_anti").join(copies.select("key", "n_copies"), "key").withColumn("cell", F.struct("star", "far")))
     cells = members.groupBy("star", "far").agg(F.sum("n_copies").alias("w")).groupBy("star").agg(F.collect_list(F.struct("far", "w")).alias("all"))
     reach = cells.select("star", "all", F.explode("all").alias("c"))
     reach = reach.select(F.struct(F.col("star"), F.col("c.far").alias("far")).alias("cell"), F.aggregate("all", F.lit(0).cast("long"), lambda s, y: s + F.when(y["far"] + F.col("c.far") <= limit, y["w"]).otherwise(0)).alias("reach"))
     certain = spread_join(members, cut(reach), "cell", rows).select("key", (F.col("reach") - F.when(2 * F.col("far") <= limit, F.col("n_copies")).otherwise(0)).alias("others"))
-    return roots, cut(listed.unionByName(certain).groupBy("key").agg(F.sum("others").alias("others")))
+    return roots, cut(listed.unionByName(certain).unionByName(blocks.where("to is null").select("key", "others")).groupBy("key").agg(F.sum("others").alias("others")))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, links: bool = False) -> DataFrame:

@@ -111,3 +111,48 @@ def test_components_of_a_path(spark, n):
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 102), (102, 100), (7, 7)], "a long, b long")
     got = dict(components(e).collect())
     assert got == {i: 0 for i in range(n + 1 if n else 0)} | {100: 100, 101: 100, 102: 100}
+
+
+def crowd(words, texts, edits=5, at=0):
+    """Near copies of one text, a few words changed in each."""
+    r, base = random.Random(9), words(8, 140)
+    rows = []
+    for i in range(texts):
+        w = list(base)
+        for _ in range(r.randrange(1, edits)):
+            w[r.randrange(len(w))] = "edit" + str(r.randrange(900))
+        rows.append((at + i, " ".join(w)))
+    return rows
+
+
+def test_pairs_of_a_crowd_are_not_listed(docs, words, monkeypatch):
+    """Pairs that are verified one by one grow with the texts of a large group of near copies, not with their square."""
+    listed, links = [], ngram_join._links
+
+    def counted(pairs, *more):
+        listed.append(pairs.count())
+        return links(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_links", counted)
+    rows = crowd(words, 240)
+    got = ngram_join.ngram_components(docs(rows), links=True).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    assert sum(listed) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 16}, {"BLOCKS": 1, "BLOCK_MOST": 50, "WIDE": 7}, {"BLOCK_SHINGLES": 3_000}])
+def test_crowds_like_all_pairs(docs, words, odd, monkeypatch, sizes):
+    """Several crowds, copies, texts beside them, whatever the blocks."""
+    for k, v in ({"CROWD": 8} | sizes).items():
+        monkeypatch.setattr(ngram_join, k, v)
+    rows = crowd(words, 60, at=3000) + crowd(words, 50, edits=9, at=4000) + corpus(words) + odd
+    rows += [(5000 + i, t) for i, (_, t) in enumerate(rows[:90:3])]
+    assert_like_brute(docs(rows), rows)
+
+
+def test_intersections_of_blocks():
+    r = np.random.default_rng(3)
+    a, b = ([np.sort(r.choice(5_000, r.integers(0, 3_000), replace=False)) for _ in range(n)] for n in (7, 5))
+    packed = [(np.array([len(x) for x in s]), np.concatenate(s).astype("<i8")) for s in (a, b)]
+    assert ngram_join._common(*packed).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert not ngram_join._common(packed[0], (np.array([0]), np.zeros(0, dtype="<i8"))).any()
