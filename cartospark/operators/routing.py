@@ -545,10 +545,15 @@ def alternatives(edges: DataFrame, a, b, count: int = 3, weight: str = "time_s",
 def distance_matrix(edges: DataFrame, nodes: list, weight: str = "time_s") -> DataFrame:
     """(origin, destination, time_s or cost, distance_m): all pairs of given nodes; null where there is no path; distance_m is that of the cheapest path."""
     spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
-    reached = reach(edges, nodes, weight)
     points = spark.createDataFrame([(n,) for n in dict.fromkeys(nodes)], f"n {kind}")  # the caller's list
     pairs = points.withColumnRenamed("n", "origin").crossJoin(points.withColumnRenamed("n", "destination"))
-    return pairs.join(reached.select(F.col("source").alias("origin"), F.col("node").alias("destination"), "cost", "distance_m"), ["origin", "destination"], "left").select("origin", "destination", "cost", "distance_m")
+    n = len(set(nodes))
+    if n * n > PAIRS or edges.count() <= MAX_EDGES:
+        found = reach(edges, nodes, weight).withColumnRenamed("node", "target")
+    else:
+        each = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in dict.fromkeys(nodes) for b in dict.fromkeys(nodes))]
+        found = pair_costs(edges, spark.createDataFrame(each, f"pair int, source {kind}, target {kind}"), weight)
+    return pairs.join(found.select(F.col("source").alias("origin"), F.col("target").alias("destination"), "cost", "distance_m"), ["origin", "destination"], "left").select("origin", "destination", "cost", "distance_m")
 
 
 def isochrone(m: GeoMap, lat: float, lon: float, minutes: list[float], mode: str = "walk", bins: int = 36) -> tuple[DataFrame, DataFrame]:
