@@ -424,17 +424,25 @@ def _step_table(spark: SparkSession, edges: DataFrame, steps: list[tuple]) -> Da
 
 
 def _paths(edges: DataFrame, asked: DataFrame, weight: str, find, joined) -> DataFrame:
-    """The step table of ``find(graph, row) -> [(leg, path)]`` for every row of ``asked`` (with source), in the workers, and of ``joined(edges, rows)`` for those whose part of the graph is too large."""
+    """The step table of ``find`` (see ``met``) for every row of ``asked`` (pair, source, target), in the workers, and of ``joined(edges, rows)`` for those whose part of the graph is too large."""
     kind = dict(edges.dtypes)
 
     def search(g: Graph, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for row in pdf.itertuples(index=False):
-            for leg, path in find(g, row):
+        for row in pdf.to_dict("records"):
+            for leg, path in find(g, row, float("inf"))[0]:
                 at = [g.origin(k) for k in path]
                 yield pd.DataFrame({"leg": leg, "seq": range(len(path)), "src": g.ids[at], "dst": g.ids[g.to[path]], "way_id": g.way[path], "pos": g.pos[path]})
 
-    keys = ", ".join(f"{c} {kind[c]}" for c in ("src", "dst", "way_id", "pos"))
-    found, rest = in_parts(edges, asked, weight, search, f"leg int, seq int, {keys}")
+    keys = ["src", "dst", "way_id", "pos"]
+    near, rest = None, None
+    if edges.count() > MAX_EDGES:
+        near, asked = met(edges, asked, weight, find)
+        near = near.where("seq >= 0").select("leg", "seq", *keys)
+    if near is None or asked.take(1):
+        found, rest = in_parts(edges, asked, weight, search, "leg int, seq int, " + ", ".join(f"{c} {kind[c]}" for c in keys))
+        found = near if found is None else found if near is None else found.unionByName(near)
+    else:
+        found = near
     cols = ["leg", "seq", "src", "dst", "way_id", "highway", "name", "distance_m", "time_s"]
     large = None if rest is None else joined(*rest).select(*cols)
     if found is None:
@@ -447,16 +455,8 @@ def route_nodes(edges: DataFrame, stops: list, weight: str = "time_s") -> DataFr
     """(leg, seq, src, dst, way_id, highway, name, distance_m, time_s) of the cheapest path over given nodes in order; empty if a leg has none."""
     spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
     pairs = list(zip(stops, stops[1:], strict=False))
-    legs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"leg int, source {kind}, target {kind}")
-
-    def find(g: Graph, row) -> list[tuple[int, list[int]]]:
-        i, j = g.index(row.source), g.index(row.target)
-        if i < 0 or j < 0:
-            return []
-        best, via = g.tree(i, {j})
-        return [(row.leg, g.path(via, j))] if j in best else []
-
-    steps = cut(_paths(edges, legs, weight, find, lambda e, rows: joined_steps(e, rows, weight, narrow=False)))
+    legs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"pair int, source {kind}, target {kind}")
+    steps = cut(_paths(edges, legs, weight, _cheapest, lambda e, rows: joined_steps(e, rows.withColumnRenamed("pair", "leg"), weight, narrow=False)))
     there = steps.select("leg").distinct().count()  # a leg from a node to itself needs no step
     return steps if there == sum(a != b for a, b in pairs) else _step_table(spark, edges, [])
 
@@ -522,24 +522,27 @@ def alternatives(edges: DataFrame, a, b, count: int = 3, weight: str = "time_s",
     """(route, seq, src, dst, ...): the best path and others found by penalising the edges used so far (twice, four times if a path is too alike)."""
     spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
 
-    def find(g: Graph, row) -> list[tuple[int, list[int]]]:
-        i, j = g.index(row.source), g.index(row.target)
-        cost, found = g.cost.copy(), []
+    def find(g: Graph, row, within: float) -> tuple[list[tuple[int, list[int]]], float]:
+        i, j = g.index(row["source"]), g.index(row["target"])
+        cost, found, dearest = g.cost.copy(), [], 0.0
         for _ in range(max(1, 4 * count)):
             if i < 0 or j < 0 or len(found) >= count:
                 break
             best, via = g.tree(i, {j}, cost=cost)
             if j not in best:
                 break
+            dearest = max(dearest, best[j])
+            if dearest > within:  # edges dearer by then may hide a better path; what follows depends on this one
+                break
             path = g.path(via, j)
             alike = any(len(set(path) & set(p)) / max(1, len(path)) > too_alike for p in found)
             cost[path] *= 4 if alike else 2
             if not alike:
                 found.append(path)
-        return list(enumerate(found))
+        return list(enumerate(found)), dearest
 
     joined = lambda e, _: _joined_alternatives(e, a, b, count, weight, too_alike).withColumnRenamed("route", "leg")
-    return _paths(edges, spark.createDataFrame([(a, b)], f"source {kind}, target {kind}"), weight, find, joined).withColumnRenamed("leg", "route")
+    return _paths(edges, spark.createDataFrame([(0, a, b)], f"pair int, source {kind}, target {kind}"), weight, find, joined).withColumnRenamed("leg", "route")
 
 
 def distance_matrix(edges: DataFrame, nodes: list, weight: str = "time_s") -> DataFrame:
