@@ -45,6 +45,8 @@ SOURCES = 16
 BALL = 1_000_000
 #: Nodes whose edges an end of a pair asks for at once, at least.
 ASKED = 2_000
+#: Cells that a walk to a POI is long.
+CELLS = 6
 #: Pairs up to which both ends of each are searched from.
 PAIRS = 1_000
 
@@ -577,14 +579,44 @@ def isochrone(m: GeoMap, lat: float, lon: float, minutes: list[float], mode: str
     return reached, rings
 
 
+def _walks(pois: DataFrame, nodes: DataFrame, walk_in: float, speed: float) -> DataFrame:
+    """``pois`` with cost_s, a node's cost and the walk from it, for nodes within ``walk_in`` metres: of each POI its least one, and others.
+
+    Both sides are put into small cells. From cells that lie within ``walk_in`` of
+    all POIs of a cell their least cost and the longest walk bound what these
+    POIs can cost; of every cell around only nodes that can be cheaper than
+    that meet the POIs, so pairs do not grow with all nodes around.
+    """
+    step = walk_in / CELLS / 111_000
+    row = F.floor(F.col("lat") / step)
+    col = F.floor(F.col("lon") * F.greatest(F.lit(1e-3), F.cos(F.radians((row + 0.5) * step))) / step)
+    meters = lambda a, b: geo.haversine((F.col(f"{a}lon"), F.col(f"{a}lat")), (F.col(f"{b}lon"), F.col(f"{b}lat")))
+
+    def cells(df: DataFrame, *more) -> DataFrame:
+        """(cy, cx, lat, lon, far): a middle of each cell's rows, and how far they are from it at most."""
+        middle = df.groupBy("cy", "cx").agg(F.avg("lat").alias("m_lat"), F.avg("lon").alias("m_lon"))
+        rows = df.join(middle, ["cy", "cx"]).withColumn("far", meters("", "m_") + 0.01)
+        return cut(rows.groupBy("cy", "cx").agg(F.first("m_lat").alias("lat"), F.first("m_lon").alias("lon"), F.max("far").alias("far"), *more))
+
+    pois, nodes = (stored(df.withColumn("cy", row).withColumn("cx", col)) for df in (pois, nodes))
+    left, right = cells(pois), cells(nodes, F.min("cost").alias("least"))
+    widest = sum(c.agg(F.coalesce(F.max("far"), F.lit(0.0))).first()[0] for c in (left, right))
+    near, both = spatial.within_distance(left, right, walk_in + widest), F.col("l_far") + F.col("r_far")
+    walk = F.when(F.col("distance_m") + both <= walk_in, F.col("r_least") + (F.col("distance_m") + both) / speed)
+    near = near.where(F.col("distance_m") - both <= walk_in).withColumn("most", F.min(walk).over(Window.partitionBy("l_cy", "l_cx")))
+    near = near.select("l_cy", "l_cx", F.col("r_cy").alias("cy"), F.col("r_cx").alias("cx"), "r_least", (F.coalesce("most", F.lit(float("inf"))) - F.greatest(F.lit(0.0), F.col("distance_m") - both) / speed + 1e-6).alias("most")).where("r_least <= most")
+    some = nodes.join(near, ["cy", "cx"]).where("cost <= most").select(F.col("l_cy").alias("cy"), F.col("l_cx").alias("cx"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "cost")
+    out = spatial.dealt_join(pois, stored(some), ["cy", "cx"]).withColumn("distance_m", meters("", "r_"))
+    return out.where(F.col("distance_m") <= walk_in).withColumn("cost_s", F.col("cost") + F.col("distance_m") / speed)
+
+
 def catchment(m: GeoMap, lat: float, lon: float, minutes: list[float], mode: str = "walk", walk_in: float = 500.0) -> DataFrame:
     """(id, category, name, cost_s, zone): POIs with the least travel plus walk (5 km/h) from a reached node within ``walk_in`` metres, in their smallest zone."""
     reached, _ = isochrone(m, lat, lon, minutes, mode)
     tags, spec = F.col("tags"), SPECS["catchment_poi"]
     pois = m.nodes.where(T.column(spec.where, tags)).select("id", "lat", "lon", T.column(spec.kind, tags).alias("category"), tags["name"].alias("name"))
-    met = spatial.within_distance(pois, reached.select("id", "lat", "lon", "cost"), walk_in)
-    cost = F.col("r_cost") + F.col("distance_m") / (5000 / 3600)
-    per = met.groupBy(F.col("l_id").alias("id"), F.col("l_category").alias("category"), F.col("l_name").alias("name")).agg(F.min(cost).alias("cost_s"))
+    pairs = _walks(pois, reached.select("id", "lat", "lon", "cost"), walk_in, 5000 / 3600)
+    per = pairs.groupBy("id", "category", "name").agg(F.min("cost_s").alias("cost_s"))
     zone = F.lit(None).cast("double")
     for t in sorted(minutes, reverse=True):
         zone = F.when(F.col("cost_s") <= t * 60, float(t)).otherwise(zone)
